@@ -97,6 +97,7 @@ if __name__ == "__main__":
 
     spark = get_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8",
                                               "spark.ui.enabled": "false",
+                                              "spark.ui.showConsoleProgress": "false",
                                               "spark.driver.memory": "16g"})
     spark.sparkContext.setLogLevel("ERROR")
     folder = f"/root/testdata/sf{sf}"
