@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["sales_reports", "profile_reports", "catalog_reports"]
+MODULES = ["sales_reports", "profile_reports", "catalog_reports", "cleaning_checks"]
 
 
 def load_all():
