@@ -283,17 +283,17 @@ DECISION_LABEL = {"revenue": "Pricing & revenue optimisation",
                   "growth": "Growth & capacity planning"}
 # (confidence, impact) -> (gate, rationale) (fixed values)
 GATES = {
-    ("high", "high"): ("Proceed", "High confidence, well-validated."),
-    ("high", "medium"): ("Proceed", "High confidence, well-validated."),
-    ("high", "low"): ("Proceed", "High confidence, well-validated."),
-    ("medium", "high"): ("Pilot only", "Medium confidence, high impact -- validate at small "
+    ("high", "high"): ("✅ Proceed", "High confidence, well-validated."),
+    ("high", "medium"): ("✅ Proceed", "High confidence, well-validated."),
+    ("high", "low"): ("✅ Proceed", "High confidence, well-validated."),
+    ("medium", "high"): ("⚠️ Pilot only", "Medium confidence, high impact -- validate at small "
                          "scale before full rollout."),
-    ("medium", "medium"): ("Pilot only", "Validate at small scale before full rollout."),
-    ("medium", "low"): ("Pilot only", "Acceptable for a pilot."),
-    ("low", "high"): ("Escalate", "Low confidence on a HIGH-impact decision -- requires human "
+    ("medium", "medium"): ("⚠️ Pilot only", "Validate at small scale before full rollout."),
+    ("medium", "low"): ("⚠️ Pilot only", "Acceptable for a pilot."),
+    ("low", "high"): ("🚨 Escalate", "Low confidence on a HIGH-impact decision -- requires human "
                       "review before any commitment."),
-    ("low", "medium"): ("Block", "Address the underlying limitation before acting."),
-    ("low", "low"): ("Block", "Address the underlying limitation before acting."),
+    ("low", "medium"): ("❌ Block", "Address the underlying limitation before acting."),
+    ("low", "low"): ("❌ Block", "Address the underlying limitation before acting."),
 }
 
 # Inputs of the three trained models (fixed values)

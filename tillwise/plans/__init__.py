@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["sales_reports", "profile_reports", "catalog_reports", "cleaning_checks"]
+MODULES = ["sales_reports", "profile_reports", "catalog_reports", "cleaning_checks",
+           "text_reports", "erp_reports", "governance_reports"]
 
 
 def load_all():

@@ -356,14 +356,14 @@ def _(i):
 WITH m AS (SELECT customer_id, CAST(date_trunc('month', order_date) AS DATE) AS month_key,
              CAST(SUM(amount) AS DOUBLE) AS r FROM tx GROUP BY ALL),
 q AS (SELECT customer_id, quantile_cont(r, [0.25, 0.75]) AS q FROM m GROUP BY 1)
-SELECT customer_id, month_key, ROUND(LEAST(GREATEST(r, q[1] - (q[2] - q[1]) * 1.5), q[2] + (q[2] - q[1]) * 1.5), 2)
+SELECT customer_id, month_key, ROUND(LEAST(GREATEST(r, q[1] - (q[2] - q[1]) * 1.5), q[2] + (q[2] - q[1]) * 1.5), 6)
   AS monthly_revenue FROM m JOIN q USING (customer_id)"""))
 def _(i):
     from tillwise.operators.aggregates import monthly_aggregate
 
     m = monthly_aggregate(i.view("tx"), "order_date", "amount", ("customer_id",)).drop("monthly_orders")
     return C.clip_series_iqr(m, by=("customer_id",)).select(
-        "customer_id", "month_key", F.round("monthly_revenue", 2).alias("monthly_revenue"))
+        "customer_id", "month_key", F.round("monthly_revenue", 6).alias("monthly_revenue"))
 
 
 @query("narrow_types", """

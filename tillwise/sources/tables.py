@@ -1,15 +1,121 @@
-"""Table reads and writes."""
+"""Reads and writes: encoded CSV, documents, evaluation runs, reports, cleaned tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tillwise.functions.exprs import col
+
+_TOP = "array<struct<feature:string,importance:string>>"
+_REPORT = ("strategy:string,confidence:string,definition:string,suitable_for:array<string>,"
+           "not_suitable_for:array<string>,warnings:array<string>")
+_PROFILE = (f"struct<{_REPORT},recommended_aggregation:string,coefficient_of_variation:double,"
+            "safe_horizon_months:int,recommended_test_months:int,train_test_split_ratio:double>")
+_LABELS = (f"struct<{_REPORT},total_customers:bigint,one_time_buyers:bigint,new_customers:bigint,"
+           "eligible_customers:bigint,churned_customers:bigint,cutoff_date:string,"
+           "holdout_window_days:int,median_ipi_days:double>")
+_POINTS = "array<struct<period:string,forecast:double>>"
+EVAL_SCHEMA = (
+    f"revenue_model struct<status:string,RMSE:double,MAE:double,MAPE_pct:double,sMAPE_pct:double,"
+    f"R2:double,forecast_bias:double,target:string,train_rows:bigint,test_rows:bigint,"
+    f"`12_period_forecast`:array<double>,top_features:{_TOP},data_profile:{_PROFILE}>, "
+    f"churn_model struct<status:string,ROC_AUC:double,F1_Score:double,Precision:double,"
+    f"Recall:double,churn_rate_pct:double,train_rows:bigint,test_rows:bigint,"
+    f"top_features:{_TOP},labelling:{_LABELS}>, "
+    f"growth_model struct<status:string,RMSE:double,MAE:double,MAPE_pct:double,R2:double,"
+    f"target:string,train_months:int,test_months:int,forecast_horizon_months:int,"
+    f"forecast:{_POINTS},`12_month_forecast`:{_POINTS},top_features:{_TOP},data_profile:{_PROFILE}>, "
+    f"prophet_model struct<MAPE_pct:double>")
+
+
+def csv_charset(spark: SparkSession, path: str) -> str:
+    """UTF-8 when every line of every file is valid, else Latin-1; checked in parallel."""
+    ok = spark.read.text(path).agg(F.bool_and(F.is_valid_utf8("value"))).first()[0]
+    return "UTF-8" if ok in (None, True) else "ISO-8859-1"
+
+
+def read_csv_encoded(spark: SparkSession, path: str, schema=None, encoding: str | None = None
+                     ) -> DataFrame:
+    """CSV with header in whichever of the known encodings fits.
+
+    Give a schema for large input; without one, types are inferred by an extra pass.
+    """
+    r = spark.read.option("header", True).option(
+        "encoding", encoding or csv_charset(spark, path))
+    df = r.schema(schema).csv(path) if schema else r.option("inferSchema", True).csv(path)
+    first = df.columns[0]
+    return df.withColumnRenamed(first, first.lstrip("﻿"))
+
+
+def read_documents(spark: SparkSession, path: str, category: str = "general") -> DataFrame:
+    """txt, md, csv and json files as text documents named after their file."""
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True,
+                            pathGlobFilter="*.{txt,md,csv,json}")
+    return files.select(
+        F.col("_metadata.file_name").alias("source"), F.lit(category).alias("category"),
+        F.col("value").alias("text")).where(F.trim("text") != "")
+
+
+def read_table(spark: SparkSession, name_or_path: str) -> DataFrame:
+    return (spark.read.parquet(name_or_path) if "/" in name_or_path
+            else spark.table(name_or_path))
+
+
+def read_eval_runs(spark: SparkSession, path: str) -> DataFrame:
+    """All evaluation runs (one JSON file each) with the version in their path as run_id."""
+    return spark.read.schema(EVAL_SCHEMA).option("multiLine", True).json(path).select(
+        F.regexp_extract("_metadata.file_path", r"_v(\d+_\d+)", 1).alias("run_id"), "*")
+
+
+def latest_eval_run(runs: DataFrame) -> DataFrame:
+    """The run with the greatest version."""
+    return runs.agg(F.max_by(F.struct(*runs.columns), "run_id").alias("r")).select("r.*")
+
+
+def read_data_report(spark: SparkSession, path: str, schema: str | None = None,
+                     one_per_file: bool = True) -> DataFrame | None:
+    """The report beside a dataset, or None when there is none."""
+    try:
+        r = spark.read.option("multiLine", one_per_file)
+        return r.schema(schema).json(path) if schema else r.json(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def write_cleaned(df: DataFrame, path: str, upload_id: int | None = None) -> None:
+    """A new cleaned table; fails when it exists."""
+    out = df if upload_id is None else df.withColumn("upload_id", F.lit(upload_id))
+    w = out.write.mode("errorifexists")
+    (w.partitionBy("upload_id") if upload_id is not None else w).parquet(path)
+
+
+def write_aggregates(customer: DataFrame | None, monthly: DataFrame | None, folder: str) -> None:
+    """Customer and monthly tables, replaced when present."""
+    for name, df in (("customer", customer), ("monthly", monthly)):
+        if df is not None:
+            df.write.mode("overwrite").parquet(f"{folder}/{name}")
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_report_json(report: DataFrame, path: str) -> None:
+    """A report as JSON lines; NaN becomes null."""
+    clean = report.select(*[
+        F.when(~F.isnan(col(c)), col(c)).alias(c) if t in ("double", "float") else col(c)
+        for c, t in report.dtypes])
+    clean.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
 def export_task_datasets(tables: dict[str, DataFrame], folder: str, fmt: str = "parquet") -> None:
-    """Write the three training tables side by side."""
+    """The three training tables side by side."""
     for name, df in tables.items():
         w = df.write.mode("overwrite")
         if fmt == "csv":
-            w.option("header", True).csv(f"{folder}/{name}")
-        else:
-            w.format(fmt).save(f"{folder}/{name}")
+            w = w.option("header", True)
+        w.format(fmt).save(f"{folder}/{name}")
