@@ -5,7 +5,8 @@ from __future__ import annotations
 import importlib
 
 MODULES = ["sales_reports", "profile_reports", "catalog_reports", "cleaning_checks",
-           "text_reports", "erp_reports", "governance_reports"]
+           "text_reports", "erp_reports", "governance_reports",
+           "model_reports"]
 
 
 def load_all():

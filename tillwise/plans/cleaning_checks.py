@@ -626,3 +626,11 @@ def _(i):
     b, a = Q.quality_score(F.col("null_cells"), F.col("n_cells"), F.col("n_rows") - F.col("u"),
                            F.col("n_rows"), 2, 0, F.col("na"), F.col("ca"), 1, 1, 0, 0)
     return s.select(b.alias("before"), a.alias("after"))
+
+
+@query("clean_table")
+def _(i):
+    from tillwise.plans.clean_table import clean_table
+
+    raw = i.sql(RAW).withColumn("line", F.trim("order_id").cast("long"))
+    return clean_table(raw, AS_OF, row_id="line").report
