@@ -19,17 +19,10 @@ from tillwise.functions.vocab import (
 # Shares of readable values that decide a type (fixed values)
 DATE_SHARE, NUMBER_SHARE, YMD_SHARE = 0.40, 0.80, 0.80
 
-# Written date forms that are read, each with the shape it applies to
-DATE_FORMS = [
-    (r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"),
-    (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"),
-    (r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$", "yyyy-MM-dd HH:mm:ss"),
-    (r"^\d{4}-\d{2}-\d{2}[tT]\d{2}:\d{2}:\d{2}$", "yyyy-MM-dd'T'HH:mm:ss"),
-    (r"^\d{4}-\d{2}-\d{2}[tT]\d{2}:\d{2}:\d{2}([zZ]|[+-]\d{2}:\d{2})$", "yyyy-MM-dd'T'HH:mm:ssXXX"),
-    (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"),
-    (r"^\d{1,2}-\d{1,2}-\d{4}$", "M-d-yyyy"),
-    (r"^\d{1,2} [A-Za-z]{3} \d{4}$", "d MMM yyyy"),
-]
+# Written date forms that are read: year first with - or /, month first with / or -, each with
+# one- or two-digit parts; a time and a zone after a year-first date; and day, short month, year
+ISO_SHAPE = (r"^\d{4}-\d{1,2}-\d{1,2}([T ]\d{1,2}:\d{1,2}(:\d{1,2}(\.\d+)?)?(Z|[+-]\d{1,2}:\d{2})?)?$")
+NAMED_SHAPE = r"^\d{1,2} [A-Za-z]{3} \d{4}$"
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
 SIGNS = r"[$€£¥₹]"
 
@@ -39,16 +32,16 @@ def is_numeric(kind: str) -> bool:
 
 
 def parse_date(c) -> Column:
-    """Text as UTC date-time without zone; NULL for placeholders and unknown forms."""
-    t = F.trim(col(c))
-    # the time separator is matched in either case, because text columns are lower-cased
-    t_up = F.regexp_replace(F.regexp_replace(t, r"(?<=\d)t(?=\d)", "T"), r"(?<=\d)z$", "Z")
-    out = None
-    for shape, form in DATE_FORMS:
-        value = F.try_to_timestamp(
-            F.initcap(t) if "MMM" in form else t_up, F.lit(form)).cast("timestamp_ntz")
-        out = F.when(t.rlike(shape), value) if out is None else out.when(t.rlike(shape), value)
-    return out
+    """Text as UTC date-time without zone; NULL for placeholders and unknown forms.
+
+    The forms are rewritten to year-month-day first, so one cast reads them all.  Letters count
+    in either case, because text columns are lower-cased before dates are looked for again.
+    """
+    t = F.upper(F.trim(col(c)))
+    iso = F.regexp_replace(t, r"^(\d{4})/(\d{1,2})/(\d{1,2})", "$1-$2-$3")
+    iso = F.regexp_replace(iso, r"^(\d{1,2})[/-](\d{1,2})[/-](\d{4})$", "$3-$1-$2")
+    named = F.when(t.rlike(NAMED_SHAPE), F.try_to_timestamp(F.initcap(t), F.lit("d MMM yyyy")))
+    return F.when(iso.rlike(ISO_SHAPE), iso.try_cast("timestamp")).otherwise(named).cast("timestamp_ntz")
 
 
 def parse_number(c, european: bool = False) -> Column:
