@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
@@ -116,3 +117,13 @@ def lookup(key, table: dict, default=None) -> Column:
     # try_element_at: a missing key is NULL, never an error under ANSI rules
     found = F.try_element_at(F.create_map(*items), col(key))
     return found if default is None else F.coalesce(found, F.lit(default))
+
+
+def table_literal(rows: Iterable[tuple], schema: str) -> Column:
+    """A small fixed table as one array-of-structs literal (folded when the plan is built).
+
+    ``schema`` reads like ``"q int, word string"``.
+    """
+    names = [part.split()[0] for part in schema.split(",")]
+    data = json.dumps([dict(zip(names, r)) for r in rows], ensure_ascii=False)
+    return F.from_json(F.lit(data), f"array<struct<{','.join(':'.join(p.split()) for p in schema.split(','))}>>")

@@ -9,9 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tillwise.functions.exprs import any_word_pattern, col, edge_pattern, snake
+from tillwise.functions.exprs import any_word_pattern, col, edge_pattern, snake, table_literal
 from tillwise.functions.vocab import (
     DASHBOARD_CANDIDATES, DATE_HINTS, FEATURE_SYNONYMS, ID_WORDS, MODEL_FEATURES, MONEY_WORDS,
     NAME_ACRONYMS, ROLE_SYNONYMS, TOPIC_WORDS,
@@ -103,18 +102,10 @@ def topics_from_columns(columns: DataFrame) -> DataFrame:
 
 # Matching names to a vocabulary -------------------------------------------------------------
 
-_WORD = T.StructType([T.StructField("target", T.StringType()), T.StructField("word", T.StringType()),
-                      T.StructField("exact_rank", T.IntegerType()),
-                      T.StructField("part_rank", T.IntegerType()),
-                      T.StructField("exact_score", T.DoubleType()),
-                      T.StructField("part_score", T.DoubleType())])
-
-
 def _words(entries) -> Column:
-    return F.array(*[F.struct(
-        F.lit(t).alias("target"), F.lit(w).alias("word"), F.lit(e).cast("int").alias("exact_rank"),
-        F.lit(p).cast("int").alias("part_rank"), F.lit(es).cast("double").alias("exact_score"),
-        F.lit(ps).cast("double").alias("part_score")) for t, w, e, p, es, ps in entries])
+    """(target, word, rank and score of an exact and of a partial match) rows as a literal."""
+    return table_literal(entries, "target string, word string, exact_rank int, part_rank int, "
+                                  "exact_score double, part_score double")
 
 
 def _best(columns: DataFrame, entries, norm: Column) -> DataFrame:

@@ -4,16 +4,15 @@ from __future__ import annotations
 
 import itertools
 
-from pyspark.ml.feature import Bucketizer, VectorAssembler
-from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillwise.functions.exprs import col, size_estimate
-from tillwise.functions.quantiles import DIRECT_LIMIT_BYTES
+from tillwise.functions.exprs import col
+from tillwise.session import checkpointed
 
 HIGH_CORRELATION = 0.85   # fixed value
 PAIRS_PER_JOB = 200
+RANGES = 64
 
 
 def null_and_shape_metrics(df: DataFrame) -> DataFrame:
@@ -83,52 +82,48 @@ def _corr_rows(df: DataFrame, columns: list[str], names: dict[str, str]) -> dict
     return out
 
 
-def average_ranks(df: DataFrame, column: str, out: str) -> DataFrame:
-    """Rows with the average rank of a column, without a global sort in one task.
+def average_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rank table (column, value, average rank) of several columns, no global sort in one task.
 
-    Equal values collapse to one row first; the distinct values are cut into ranges of similar
-    size, ranked inside their range and shifted by the rows before it.
+    Equal values collapse to one row first.  The distinct values of a column are cut into ranges
+    of similar size, ranked inside their range and shifted by the rows before it.
     """
-    counts = df.groupBy(col(column).cast("double").alias("_v")).agg(F.count("*").alias("_k"))
-    cuts = sorted(set(counts.approxQuantile("_v", [k / 64 for k in range(1, 64)], 0.005)))
-    if cuts:
-        splits = [float("-inf"), *cuts, float("inf")]
-        counts = Bucketizer(splits=splits, inputCol="_v", outputCol="_b").transform(counts)
-    else:
-        counts = counts.withColumn("_b", F.lit(0.0))
-    totals = counts.groupBy("_b").agg(F.sum("_k").alias("_t"))
-    shift = totals.select("_b", (F.sum("_t").over(Window.orderBy("_b")) - F.col("_t")).alias("_s"))
-    within = Window.partitionBy("_b").orderBy("_v")
-    ranks = counts.join(shift, "_b").select(
-        F.col("_v"), (F.col("_s") + F.sum("_k").over(within) - F.col("_k")
-                      + (F.col("_k") + 1) / 2).alias(out))
-    return df.join(ranks, col(column).cast("double") == F.col("_v")).drop("_v")
-
-
-def spearman(df: DataFrame, columns: list[str], direct_limit: int | None = None) -> dict:
+    cells = df.select(F.explode(F.array(*[F.struct(
+        F.lit(k).alias("c"), col(c).cast("double").alias("v")) for k, c in enumerate(columns)]))
+        .alias("x")).select("x.*")
+    counts = cells.groupBy("c", "v").agg(F.count("*").alias("k"))
+    cuts = counts.groupBy("c").agg(F.approx_percentile(
+        "v", F.array(*[F.lit(p / RANGES) for p in range(1, RANGES)]), F.lit(1000)).alias("cuts"))
+    counts = counts.join(F.broadcast(cuts), "c")       # one row per column
+    counts = counts.withColumn("b", F.size(F.filter("cuts", lambda e: e <= F.col("v")))).drop("cuts")
+    totals = counts.groupBy("c", "b").agg(F.sum("k").alias("t"))
+    w = Window.partitionBy("c").orderBy("b")
+    shift = totals.select("c", "b", (F.sum("t").over(w) - F.col("t")).alias("s"))
+    within = Window.partitionBy("c", "b").orderBy("v")
+    return counts.join(F.broadcast(shift), ["c", "b"]).select(   # at most RANGES rows per column
+        "c", "v", (F.col("s") + F.sum("k").over(within) - F.col("k") + (F.col("k") + 1) / 2).alias("r"))
+
+
+def spearman(df: DataFrame, columns: list[str]) -> dict:
     """Rank correlation of all pairs on rows where every column is known."""
     full = df.select(*[col(c).cast("double").alias(c) for c in columns]).dropna()
-    limit = DIRECT_LIMIT_BYTES if direct_limit is None else direct_limit
-    if size_estimate(full) <= limit:
-        vec = VectorAssembler(inputCols=columns, outputCol="_x").transform(full)
-        m = Correlation.corr(vec, "_x", "spearman").first()[0].toArray()
-        at = {c: k for k, c in enumerate(columns)}
-        return {(a, b): float(m[at[a], at[b]]) for a, b in itertools.combinations(columns, 2)}
-    ranked = full
+    ranks = checkpointed(average_ranks(full, columns))
+    out = full
     for k, c in enumerate(columns):
-        ranked = average_ranks(ranked, c, f"_r{k}")
-    return _corr_rows(ranked, columns, {c: f"_r{k}" for k, c in enumerate(columns)})
+        out = out.join(ranks.where(F.col("c") == k).select(
+            F.col("v").alias(f"_v{k}"), F.col("r").alias(f"_r{k}")), col(c) == F.col(f"_v{k}"))
+    return _corr_rows(out, columns, {c: f"_r{k}" for k, c in enumerate(columns)})
 
 
-def correlation_pairs(df: DataFrame, columns: list[str], threshold: float = HIGH_CORRELATION,
-                      direct_limit: int | None = None) -> DataFrame:
+def correlation_pairs(df: DataFrame, columns: list[str],
+                      threshold: float = HIGH_CORRELATION) -> DataFrame:
     """Pairs whose Pearson or Spearman correlation is high in size."""
     schema = "col_a string, col_b string, pearson double, spearman double, method string"
     use = _varied(df, columns) if len(columns) >= 2 else []
     rows = []
     if len(use) >= 2:
         p = _corr_rows(df, use, {c: c for c in use})
-        s = spearman(df, use, direct_limit)
+        s = spearman(df, use)
         for a, b in itertools.combinations(use, 2):
             pa, sa = abs(p[a, b] or 0.0), abs(s[a, b] or 0.0)
             if pa >= threshold or sa >= threshold:

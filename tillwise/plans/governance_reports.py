@@ -46,7 +46,7 @@ def runs(i):
                     lit("0.2").alias("importance")))
     points = F.transform(F.sequence(lit(1), c("horizon")), lambda m: s(
         F.concat(lit("2002-"), F.lpad(m.cast("string"), 2, "0")).alias("period"),
-        ((d + 700) * c("factor")).alias("forecast")))
+        ((d + 705) * c("factor")).alias("forecast")))
     flat = i.sql(RUNS)
     df = flat.select(
         "run_id",
@@ -75,7 +75,7 @@ WARN_SQL = f"""
 f AS (SELECT *, k % 29 <> 0 AS has_rev, base::DOUBLE AS d,
    CASE WHEN is_flat THEN base::DOUBLE + 1000.5 ELSE base::DOUBLE + 700 END AS mean0,
    CASE WHEN is_flat THEN (base::DOUBLE + 1001) - (base::DOUBLE + 1000) ELSE (base::DOUBLE + 900) - (base::DOUBLE + 500) END AS span0,
-   (base::DOUBLE + 700) * factor AS gmean, safe IS NOT NULL AND horizon <= safe AS certified,
+   (base::DOUBLE + 705) * factor AS gmean, safe IS NOT NULL AND horizon <= safe AS certified,
    COALESCE(lab_conf = 'high', FALSE) AND NOT rate_warned AS vouched,
    rev_conf IS NOT NULL AND cov_warned AS cov_said FROM r),
 w AS (SELECT *, concat_ws(' ## ',

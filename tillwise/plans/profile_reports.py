@@ -146,9 +146,9 @@ SELECT dataset,
  CAST(n AS INT) AS months_of_history,
  CAST(CASE WHEN n >= 6 THEN pos ELSE 0 END AS INT) AS months_with_revenue,
  CAST(CASE WHEN n >= 6 THEN n - pos ELSE 0 END AS INT) AS months_zero_or_missing,
- CASE WHEN n >= 6 THEN ROUND(mid, 2) ELSE 0 END AS median_monthly_revenue,
- CASE WHEN n >= 6 THEN ROUND(low, 2) ELSE 0 END AS min_monthly_revenue,
- CASE WHEN n >= 6 THEN ROUND(high, 2) ELSE 0 END AS max_monthly_revenue,
+ CASE WHEN n >= 6 THEN $R(mid) ELSE 0 END AS median_monthly_revenue,
+ CASE WHEN n >= 6 THEN $R(low) ELSE 0 END AS min_monthly_revenue,
+ CASE WHEN n >= 6 THEN $R(high) ELSE 0 END AS max_monthly_revenue,
  n >= 12 AS has_full_seasonal_cycle, n >= 24 AS has_yoy_capability,
  CAST(h AS INT) AS safe_horizon_months, CAST(train AS INT) AS recommended_train_months,
  CAST(test AS INT) AS recommended_test_months,
@@ -163,6 +163,10 @@ SELECT dataset,
 FROM w"""
 
 
+for _c in ("mid", "low", "high"):
+    GROWTH_PROFILE = GROWTH_PROFILE.replace(f"$R({_c})", rounded(_c, 2))
+
+
 @query("growth_profile", _tenant_sql(GROWTH_PROFILE))
 def _(i):
     monthly = A.transactions_to_monthly(_tenants(i), "order_date", "amount", ("dataset",))

@@ -65,14 +65,14 @@ def _(i):
                                                   "is_returned": "is_returned"})
 
 
-FEATURES_SQL = """
+FEATURES_SQL = f"""
 f AS (
   SELECT g.*, date_diff('day', first_order_date, snap) AS customer_tenure_days,
          date_diff('day', last_order_date, snap) AS days_since_last_order,
-         ROUND(CAST(date_diff('day', first_order_date, snap) AS DOUBLE)
-               / GREATEST(total_orders, 1), 1) AS avg_days_between_orders,
-         ROUND(CAST(return_count AS DOUBLE) / total_orders, 4) AS return_rate,
-         ROUND(total_spent / date_diff('day', first_order_date, snap), 4) AS spend_per_day
+         {rounded("CAST(date_diff('day', first_order_date, snap) AS DOUBLE) / GREATEST(total_orders, 1)", 1)}
+           AS avg_days_between_orders,
+         {rounded("CAST(return_count AS DOUBLE) / total_orders", 4)} AS return_rate,
+         {rounded("total_spent / date_diff('day', first_order_date, snap)", 4)} AS spend_per_day
   FROM (SELECT customer_id, MIN(order_date) AS first_order_date, MAX(order_date) AS last_order_date,
                COUNT(order_id) AS total_orders, CAST(SUM(net_revenue) AS DOUBLE) AS total_spent,
                CAST(SUM(net_revenue) AS DOUBLE) / COUNT(*) AS avg_order_value,
