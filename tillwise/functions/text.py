@@ -11,22 +11,28 @@ from tillwise.functions.vocab import (
     STRONG_HEDGES,
 )
 
+# White space of every script
+BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(
+    chr(k) for k in range(0x2000, 0x200b))
 SPACE = r"(?U)\s+"
 
 
 def strip(c) -> Column:
     """Without white space (of any script) at either end."""
-    return F.regexp_replace(col(c), r"(?U)^\s+|\s+$", "")
+    return F.trim(col(c), F.lit(BLANKS))
 
 
 def words(c) -> Column:
-    return F.filter(F.split(col(c), SPACE), lambda w: w != "")
+    """Words of a text; none for a text of white space."""
+    return F.array_remove(F.split(col(c), SPACE), "")
 
 
-def chunks(c, size: int = 400, overlap: int = 80) -> Column:
-    """Windows of ``size`` words; the last one reaches the end; short scraps are dropped."""
+def chunks(w: Column, size: int = 400, overlap: int = 80) -> Column:
+    """Windows of ``size`` words; the last one reaches the end; short scraps are dropped.
+
+    ``w`` should be a stored column of words, because each window reads it.
+    """
     step = max(1, size - overlap)
-    w = words(c)
     n = F.size(w)
     count = F.when(n <= size, 1).otherwise(1 + F.ceil((n - size) / step)).cast("int")
     cut = F.transform(F.sequence(F.lit(0), count - 1),
@@ -80,7 +86,7 @@ def strip_reasoning(c) -> Column:
 def reasoning_leak(c) -> Column:
     """The text opens with, or is dense with, visible self-talk."""
     t = col(c)
-    head = F.lower(F.regexp_replace(t, r"(?U)^\s+", ""))
+    head = F.lower(F.ltrim(t, F.lit(BLANKS)))
     opens = head.rlike("^(" + any_word_pattern(LEAK_OPENINGS) + ")")
     early = F.lower(F.substring(t, 1, 600))
     hits = sum((F.contains(early, F.lit(m)).cast("int") for m in LEAK_MARKERS), F.lit(0))

@@ -24,7 +24,6 @@ DATE_SHARE, NUMBER_SHARE, YMD_SHARE = 0.40, 0.80, 0.80
 ISO_SHAPE = (r"^\d{4}-\d{1,2}-\d{1,2}([T ]\d{1,2}:\d{1,2}(:\d{1,2}(\.\d+)?)?(Z|[+-]\d{1,2}:\d{2})?)?$")
 NAMED_SHAPE = r"^\d{1,2} [A-Za-z]{3} \d{4}$"
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
-SIGNS = r"[$€£¥₹]"
 
 
 def is_numeric(kind: str) -> bool:
@@ -41,20 +40,16 @@ def parse_date(c) -> Column:
     iso = F.regexp_replace(t, r"^(\d{4})/(\d{1,2})/(\d{1,2})", "$1-$2-$3")
     iso = F.regexp_replace(iso, r"^(\d{1,2})[/-](\d{1,2})[/-](\d{4})$", "$3-$1-$2")
     named = F.when(t.rlike(NAMED_SHAPE), F.try_to_timestamp(F.initcap(t), F.lit("d MMM yyyy")))
-    return F.when(iso.rlike(ISO_SHAPE), iso.try_cast("timestamp")).otherwise(named).cast("timestamp_ntz")
+    read = F.when(iso.rlike(ISO_SHAPE), iso.try_cast("timestamp")).otherwise(named)
+    return F.when(F.substring(t, 1, 1).between("0", "9"), read).cast("timestamp_ntz")
 
 
 def parse_number(c, european: bool = False) -> Column:
     """Text as double after removing separators, percent and currency signs; number words too."""
-    t = col(c)
-    if european:
-        t = F.replace(F.replace(F.regexp_replace(t, r"[$€£¥₹\s]", ""), F.lit("."), F.lit("")),
-                      F.lit(","), F.lit("."))
-    else:
-        t = F.regexp_replace(F.regexp_replace(t, "[,%]", ""), SIGNS, "")
+    t = F.translate(col(c), ",.$€£¥₹ \t", ".") if european else F.translate(col(c), ",%$€£¥₹", "")
     t = F.trim(t)
     plain = F.when(t.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), t)
-    return F.coalesce(lookup(F.lower(t), NUMBER_WORDS), plain).try_cast("double")
+    return F.coalesce(plain, F.when(F.length(t) <= 9, lookup(F.lower(t), NUMBER_WORDS))).try_cast("double")
 
 
 def parse_boolean(c) -> Column:
@@ -100,7 +95,7 @@ def type_profile(df: DataFrame) -> DataFrame:
         (F.col("t").isNotNull() & ~F.lower(F.trim("t")).isin(DATE_PLACEHOLDERS)).alias("real"),
         parse_date("t").isNotNull().alias("is_date"), parse_number("t").alias("n"),
         parse_number("t", True).isNotNull().alias("is_eu_number"),
-        F.regexp_replace(F.trim("t"), r"[$€£¥₹\s]", "").alias("bare"),
+        F.translate("t", "$€£¥₹ \t", "").alias("bare"),
         parse_boolean("t").isNotNull().alias("is_bool"), ymd_date("d").isNotNull().alias("is_ymd"))
     number = F.coalesce("n", "d")
     counts = tests.groupBy("position").agg(

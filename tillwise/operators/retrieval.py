@@ -18,7 +18,9 @@ QUESTIONS_PER_BATCH = 2048      # bounds what one task holds; more questions run
 def chunk_text(docs: DataFrame, text: str = "text", size: int = 400, overlap: int = 80) -> DataFrame:
     """One row per chunk with its index; other columns are kept."""
     rest = [c for c in docs.columns if c != text]
-    return docs.select(*rest, F.posexplode(T.chunks(text, size, overlap)).alias("chunk_idx", "text"))
+    split = docs.select(*rest, T.words(text).alias("_words"))
+    return split.select(*rest, F.posexplode(T.chunks(F.col("_words"), size, overlap))
+                        .alias("chunk_idx", "text"))
 
 
 def ingest_documents(docs: DataFrame, ingested, source: str = "source",
