@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tillwise.functions import lags
 from tillwise.functions.lags import sliced_lags
 from tillwise.functions.quantiles import quantiles
 from tillwise.operators import calibrate, cleaning, laws, learn, quality
@@ -27,7 +28,7 @@ def test_narrowed_quantiles(spark):
             assert np.allclose(a[k].v, b[k].v) and np.allclose(a[k].w, b[k].w)
 
 
-def test_sliced_lags_with_a_hot_group(spark):
+def test_sliced_lags_with_a_hot_group(spark, monkeypatch):
     rng = random.Random(2)
     day = datetime.date(2020, 1, 1)
     rows = [(k, "hot" if k % 3 else f"g{k % 50}", day + datetime.timedelta(days=rng.randrange(400)),
@@ -35,6 +36,13 @@ def test_sliced_lags_with_a_hot_group(spark):
     df = spark.createDataFrame(rows, "id long, g string, d date, v double")
     w = Window.partitionBy("g").orderBy("d", "id")
     want = df.select("id", F.lag("v", 1).over(w).alias("a"), F.lag("v", 3).over(w).alias("b"))
+    monkeypatch.setattr(lags, "ROW_ID_SPAN", 500)
+    stamped = df.withColumn("ts", (F.col("d").cast("timestamp") + F.make_dt_interval(
+        secs=F.col("id") * 7919 % 86400)).cast("timestamp_ntz"))
+    by_time = Window.partitionBy("g").orderBy("ts", "id")
+    late = stamped.select("id", F.lag("v", 1).over(by_time).alias("a"))
+    got = sliced_lags(stamped, ["g"], "ts", "id", ["v"], (1,), "DAY").join(late, "id")
+    assert got.where(~F.col("v__lag1").eqNullSafe(F.col("a"))).count() == 0
     for unit in ("MONTH", "DAY"):
         got = sliced_lags(df, ["g"], "d", "id", ["v"], (1, 3), unit)
         diff = got.join(want, "id").where(

@@ -30,13 +30,15 @@ def sliced_lags(
     """Add ``{value}__lag{k}`` for every value and offset; order is (order_col, row_id).
 
     ``row_id`` must be a unique whole number; rows with NULL order or group are not expected.
+    ``slice_unit`` is any unit of ``date_trunc``: choose a finer one for denser data.  A single
+    date is cut further by ranges of ``row_id``, which is the order inside it.
     """
     depth = max(offsets)
     day = col(order_col)
+    by_row = slice_unit == "DAY" and dict(df.dtypes)[order_col] == "date"
     slice_key = F.struct(
         F.date_trunc(slice_unit, day).alias("t"),
-        F.when(F.lit(slice_unit == "DAY"),
-               F.floor(col(row_id) / ROW_ID_SPAN)).otherwise(0).cast("long").alias("r"),
+        (F.floor(col(row_id) / ROW_ID_SPAN) if by_row else F.lit(0)).cast("long").alias("r"),
     )
     base = df.withColumn("_sl", slice_key)
     keys = [*group, "_sl"]
