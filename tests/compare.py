@@ -18,6 +18,11 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
+SAME_TYPE = {"int": "INTEGER", "bigint": "BIGINT", "smallint": "SMALLINT", "double": "DOUBLE",
+             "float": "FLOAT", "string": "VARCHAR", "boolean": "BOOLEAN", "date": "DATE",
+             "timestamp_ntz": "TIMESTAMP"}
+
+
 def duck(sf_dir: str):
     import duckdb
 
@@ -53,8 +58,7 @@ def norm(v, digits=None):
 def rows_of(cols, rows, digits):
     order = sorted(range(len(cols)), key=lambda k: cols[k])
     out = [tuple(norm(r[k], digits) for k in order) for r in rows]
-    return sorted(out, key=lambda t: tuple((x is None, str(type(x)), x if not isinstance(x, tuple)
-                                            else str(x)) for x in t) if False else repr(t))
+    return sorted(out, key=repr)
 
 
 def compare(spark_df, con, sql):
@@ -68,12 +72,9 @@ def compare(spark_df, con, sql):
     if len(srows) != len(drows):
         return f"ROWS spark={len(srows)} duck={len(drows)}"
     stypes = dict(spark_df.dtypes)
-    dtypes = {d[0]: str(d[1]) for d in res.description}
+    dtypes = {r[0]: str(r[1]) for r in con.execute("DESCRIBE " + sql).fetchall()}
     for c in scols:
-        s_int = stypes[c] in ("int", "bigint", "smallint", "tinyint")
-        d_int = dtypes[c].upper() in ("INTEGER", "BIGINT", "SMALLINT", "TINYINT", "UBIGINT",
-                                      "UINTEGER", "HUGEINT", "UTINYINT")
-        if s_int != d_int or dtypes[c].upper() == "HUGEINT" or stypes[c].startswith("decimal"):
+        if SAME_TYPE.get(stypes[c]) != dtypes[c]:
             return f"TYPE {c}: spark={stypes[c]} duck={dtypes[c]}"
     for digits, word in ((None, "EXACT"), (9, "CLOSE")):
         a, b = rows_of(scols, srows, digits), rows_of(dcols, drows, digits)

@@ -3,6 +3,8 @@
 540 days or more: forward holdout.  180 to 539: each customer's own cadence.  Less: no labels.
 The strategy is a column, so one job labels any number of datasets (``by`` keys), each under
 the rule its own history allows.
+
+The message texts are fixed values that reports are compared by.
 """
 
 from __future__ import annotations

@@ -2,6 +2,8 @@
 
 Input rows follow the nested run schema (``sources.tables.EVAL_SCHEMA``) plus ``run_id``; every
 rule is a column expression, so any number of runs is judged in one job.
+
+The message texts are fixed values that reports are compared by.
 """
 
 from __future__ import annotations

@@ -1,6 +1,8 @@
 """Fitness profiles of revenue and growth data: one aggregate, then rules as columns.
 
 Both take ``by`` keys, so one job profiles any number of datasets.
+
+The message texts are fixed values that reports are compared by.
 """
 
 from __future__ import annotations

@@ -488,7 +488,7 @@ SELECT row_num, COALESCE(year(order_day), -1) AS "order_day_Year", COALESCE(mont
   COALESCE(dayname(order_day), 'Unknown') AS "order_day_DayName",
   COALESCE(CASE WHEN month(order_day) IN (12, 1, 2) THEN 'Winter' WHEN month(order_day) <= 5 THEN 'Spring'
    WHEN month(order_day) <= 8 THEN 'Summer' WHEN order_day IS NOT NULL THEN 'Autumn' END, 'Unknown') AS "order_day_Season"
-FROM ({HOLES})""")
+FROM ({HOLES})""", INT="order_day_Year order_day_Month order_day_Day order_day_DayOfWeek order_day_Quarter")
 def _(i):
     return X.date_parts(i.sql(HOLES).select("row_num", "order_day"), "order_day").drop("order_day")
 

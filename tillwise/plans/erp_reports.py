@@ -185,7 +185,7 @@ def _(i):
 @query("erp_derived_columns", f"""
 SELECT source, order_id, strftime(CAST(order_date AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') AS order_date,
   month(CAST(order_date AS TIMESTAMP)) AS month, quarter(CAST(order_date AS TIMESTAMP)) AS quarter,
-  year(CAST(order_date AS TIMESTAMP)) AS year, CAST(1 AS INT) AS quantity_sold, amount AS price FROM ({UNION})""")
+  year(CAST(order_date AS TIMESTAMP)) AS year, CAST(1 AS INT) AS quantity_sold, amount AS price FROM ({UNION})""", INT="month quarter year")
 def _(i):
     out = E.erp_derived_columns(_all(i)).select(
         "source", "order_id", "order_date", "month", "quarter", "year", "quantity_sold", "price")

@@ -64,6 +64,13 @@ def rounded(expr: str, digits: int) -> str:
     return f"CAST(ROUND(CAST(CAST({expr} AS VARCHAR) AS DECIMAL(38,19)), {digits}) AS DOUBLE)"
 
 
+def typed(sql: str, **kinds: str) -> str:
+    """Give result columns of a twin the types Spark has: ``typed(sql, INT="year month")``."""
+    casts = ", ".join(f'CAST("{c}" AS {kind}) AS "{c}"' for kind, names in kinds.items()
+                      for c in names.split())
+    return f"SELECT * REPLACE ({casts}) FROM ({sql.strip()})"
+
+
 def with_views(sql: str) -> str:
     """Prepend the views a SQL text names as common table expressions."""
     used = [n for n in VIEWS if re.search(rf"\b{n}\b", sql)]

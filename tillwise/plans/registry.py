@@ -10,11 +10,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
-    """Register ``fn(inputs) -> DataFrame`` under ``name``."""
+def query(name: str, sql: str | None = None, **kinds: str):
+    """Register ``fn(inputs) -> DataFrame`` under ``name``; ``kinds`` casts columns of the twin."""
 
     def wrap(fn):
-        from tillwise.plans.inputs import Inputs
+        from tillwise.plans.inputs import Inputs, typed
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return fn(Inputs(spark, sf_dir))
@@ -22,7 +22,7 @@ def query(name: str, sql: str | None = None):
         run.__name__ = name
         QUERIES[name] = run
         if sql is not None:
-            ORACLE[name] = sql.strip()
+            ORACLE[name] = typed(sql, **kinds) if kinds else sql.strip()
         return fn
 
     return wrap

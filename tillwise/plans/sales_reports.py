@@ -59,7 +59,7 @@ SELECT customer_id, COUNT(*) AS total_orders, 0.0 AS total_spent, 0.0 AS avg_ord
        0.0 AS avg_days_between_orders, CAST(COUNT(*) AS DOUBLE) AS total_items,
        CAST(SUM(is_returned) AS DOUBLE) / COUNT(*) AS return_rate,
        4.0 AS avg_rating_given, CAST(1 AS BIGINT) AS unique_categories, 0.0 AS predicted_clv
-FROM sales GROUP BY customer_id"""))
+FROM sales GROUP BY customer_id"""), DOUBLE="total_spent avg_order_value spend_per_day avg_days_between_orders avg_rating_given predicted_clv")
 def _(i):
     return A.customer_aggregate(i.view("sales"), {"customer_id": "customer_id",
                                                   "is_returned": "is_returned"})
@@ -86,14 +86,14 @@ f AS (
 )"""
 
 
-@query("customer_features_full", with_views(f"WITH {FEATURES_SQL.strip()} SELECT * FROM f"))
+@query("customer_features_full", with_views(f"WITH {FEATURES_SQL.strip()} SELECT * FROM f"), INT="customer_tenure_days days_since_last_order")
 def _(i):
     return A.customer_features(i.view("sales"))
 
 
 @query("churn_rule_label", with_views(f"""WITH {FEATURES_SQL.strip()}
 SELECT customer_id, days_since_last_order,
-       CASE WHEN days_since_last_order > 90 THEN 1 ELSE 0 END AS is_churned FROM f"""))
+       CASE WHEN days_since_last_order > 90 THEN 1 ELSE 0 END AS is_churned FROM f"""), INT="days_since_last_order")
 def _(i):
     return A.churn_rule_label(A.customer_features(i.view("sales"))).select(
         "customer_id", "days_since_last_order", "is_churned")
@@ -167,7 +167,7 @@ SELECT order_id, year(order_date) AS year, month(order_date) AS month,
        quarter(order_date) AS quarter, weekofyear(order_date) AS week_of_year,
        isodow(order_date) - 1 AS day_of_week,
        CASE WHEN isodow(order_date) >= 6 THEN 1 ELSE 0 END AS is_weekend,
-       {SEASON_SQL} AS seasonal_index FROM tx"""))
+       {SEASON_SQL} AS seasonal_index FROM tx"""), INT="year month quarter week_of_year day_of_week")
 def _(i):
     return A.order_date_features(i.view("tx")).select(
         "order_id", "year", "month", "quarter", "week_of_year", "day_of_week", "is_weekend",
@@ -176,7 +176,7 @@ def _(i):
 
 @query("category_lookup_map", with_views(f"""
 SELECT product_category, month(order_date) AS month, CAST({COST_SQL} AS DOUBLE) AS cogs_ratio,
-       {SEASON_SQL} AS seasonal_index, COUNT(*) AS order_lines FROM sales GROUP BY ALL"""))
+       {SEASON_SQL} AS seasonal_index, COUNT(*) AS order_lines FROM sales GROUP BY ALL"""), INT="month")
 def _(i):
     df = A.order_date_features(A.cost_ratio_lookup(i.view("sales"))).withColumn(
         "cogs_ratio", F.col("cogs_ratio").cast("double"))
@@ -275,7 +275,7 @@ SELECT month_key, monthly_revenue, monthly_orders,
   ROUND(CASE WHEN ROW_NUMBER() OVER w >= 3 THEN AVG(monthly_revenue)
        OVER (ORDER BY month_key ROWS 2 PRECEDING) ELSE 0 END, 4) AS "3m_rolling_avg",
   month(month_key) AS month_num, quarter(month_key) AS quarter_num
-FROM m WINDOW w AS (ORDER BY month_key)"""))
+FROM m WINDOW w AS (ORDER BY month_key)"""), INT="month_num quarter_num")
 def _(i):
     out = A.monthly_lags(A.monthly_aggregate(i.view("tx"), "order_date", "amount"))
     return out.withColumn("3m_rolling_avg", F.round("3m_rolling_avg", 4))
@@ -297,12 +297,12 @@ p AS (SELECT *, ROUND(revenue_3m_avg * (1 + COALESCE(mom_growth, 0)), 2) AS reve
       FROM h)"""
 
 
-@query("monthly_growth_table", with_views(f"WITH {GROWTH_SQL.strip()} SELECT * FROM g"))
+@query("monthly_growth_table", with_views(f"WITH {GROWTH_SQL.strip()} SELECT * FROM g"), INT="year month")
 def _(i):
     return A.monthly_growth_table(i.view("sales"))
 
 
-@query("monthly_growth_features", with_views(f"WITH {GROWTH_SQL.strip()} SELECT * FROM p"))
+@query("monthly_growth_features", with_views(f"WITH {GROWTH_SQL.strip()} SELECT * FROM p"), INT="year month")
 def _(i):
     return A.monthly_growth_features(A.monthly_growth_table(i.view("sales")))
 
@@ -310,17 +310,17 @@ def _(i):
 @query("trainer_monthly_lags", with_views(f"""WITH {GROWTH_SQL.strip()},
 k AS (SELECT *, (SELECT AVG(monthly_revenue) FROM g) AS mean FROM g)
 SELECT month_label,
-  ROUND(COALESCE(LAG(monthly_revenue) OVER w, mean), 4) AS lag_1_rev,
-  ROUND(COALESCE(LAG(monthly_revenue, 2) OVER w, mean), 4) AS lag_2_rev,
-  ROUND(COALESCE(LAG(monthly_revenue, 3) OVER w, mean), 4) AS lag_3_rev,
-  ROUND(COALESCE(LAG(monthly_revenue, 12) OVER w, mean), 4) AS lag_12_rev,
+  ROUND(COALESCE(LAG(monthly_revenue) OVER w, mean), 2) AS lag_1_rev,
+  ROUND(COALESCE(LAG(monthly_revenue, 2) OVER w, mean), 2) AS lag_2_rev,
+  ROUND(COALESCE(LAG(monthly_revenue, 3) OVER w, mean), 2) AS lag_3_rev,
+  ROUND(COALESCE(LAG(monthly_revenue, 12) OVER w, mean), 2) AS lag_12_rev,
   month(month_label) AS month_num, year(month_label) AS year_num,
   ROUND(sin(2 * pi() * month(month_label) / 12), 6) + 0 AS sin_m,
   ROUND(cos(2 * pi() * month(month_label) / 12), 6) + 0 AS cos_m
-FROM k WINDOW w AS (ORDER BY month_label)"""))
+FROM k WINDOW w AS (ORDER BY month_label)"""), INT="month_num year_num")
 def _(i):
     out = A.trainer_monthly_lags(A.monthly_growth_table(i.view("sales")))
-    return out.select("month_label", *[F.round(f"lag_{n}_rev", 4).alias(f"lag_{n}_rev")
+    return out.select("month_label", *[F.round(f"lag_{n}_rev", 2).alias(f"lag_{n}_rev")
                                        for n in (1, 2, 3, 12)], "month_num", "year_num",
                       (F.round("sin_m", 6) + 0).alias("sin_m"),
                       (F.round("cos_m", 6) + 0).alias("cos_m"))
@@ -377,7 +377,7 @@ c AS (SELECT f.*, CASE WHEN days_since_last_order > 90 THEN 1 ELSE 0 END AS is_c
 @query("join_customer_features", with_views(f"""WITH {FEATURES_SQL.strip()}, {SCORED_SQL.strip()}
 SELECT s.order_id, s.product_id, s.quantity_sold, c.customer_tenure_days, c.days_since_last_order,
   c.total_orders, c.avg_order_value, c.return_rate, c.customer_segment, c.predicted_clv,
-  c.churn_risk_score, c.is_churned FROM sales s LEFT JOIN c ON s.customer_id = c.customer_id"""))
+  c.churn_risk_score, c.is_churned FROM sales s LEFT JOIN c ON s.customer_id = c.customer_id"""), INT="customer_tenure_days days_since_last_order")
 def _(i):
     sales = i.view("sales")
     return A.join_customer_features(
