@@ -206,3 +206,23 @@ def test_clean_table_run(spark):
     found = {(r.finding, r.subject) for r in run.report.collect()}
     assert ("duplicates", "rows") in found and ("score", "after") in found
     assert any(w.derived == "load_cost" for w in run.laws)
+
+
+def test_other_time_zone_changes_nothing(spark):
+    from tillwise.operators.features import date_deltas
+
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        read = lambda v: one(spark, Y.parse_date(F.lit(v)))
+        assert read("2024-03-10T12:00:00+02:00") == datetime.datetime(2024, 3, 10, 10)
+        assert read("2024-3-10 02:30:00") == datetime.datetime(2024, 3, 10, 2, 30)
+        assert read("3/4/2024") == datetime.datetime(2024, 3, 4) and read("20240304") is None
+        df = spark.createDataFrame([(D(2024, 3, 9), D(2024, 3, 12)), (D(2024, 3, 12), D(2024, 3, 9))],
+                                   "a date, b date")
+        assert sorted(r.b_days_from_a for r in date_deltas(df, "a", ["b"]).collect()) == [-3, 3]
+        part = df.limit(1).select((F.col("a").cast("timestamp_ntz")).alias("a"), (
+            F.col("a").cast("timestamp_ntz") - F.make_dt_interval(hours=F.lit(1))).alias("b"))
+        assert date_deltas(part, "a", ["b"]).first().b_days_from_a == -1
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)

@@ -40,8 +40,11 @@ def parse_date(c) -> Column:
     iso = F.regexp_replace(t, r"^(\d{4})/(\d{1,2})/(\d{1,2})", "$1-$2-$3")
     iso = F.regexp_replace(iso, r"^(\d{1,2})[/-](\d{1,2})[/-](\d{4})$", "$3-$1-$2")
     named = F.when(t.rlike(NAMED_SHAPE), F.try_to_timestamp(F.initcap(t), F.lit("d MMM yyyy")))
-    read = F.when(iso.rlike(ISO_SHAPE), iso.try_cast("timestamp")).otherwise(named)
-    return F.when(F.substring(t, 1, 1).between("0", "9"), read).cast("timestamp_ntz")
+    zoned = F.convert_timezone(F.current_timezone(), F.lit("UTC"),
+                               iso.try_cast("timestamp").cast("timestamp_ntz"))
+    read = F.when(iso.rlike(ISO_SHAPE), F.when(iso.rlike(r":\S*(Z|[+-]\d{1,2}:\d{2})$"), zoned)
+                  .otherwise(iso.try_cast("timestamp_ntz"))).otherwise(named.cast("timestamp_ntz"))
+    return F.when(F.substring(t, 1, 1).between("0", "9"), read)
 
 
 def parse_number(c, european: bool = False) -> Column:

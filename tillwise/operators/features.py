@@ -38,12 +38,16 @@ def date_parts(df: DataFrame, date: str) -> DataFrame:
 
 
 def date_deltas(df: DataFrame, primary: str, others: Sequence[str]) -> DataFrame:
-    """Days from the primary date to each other date; -1 where either is missing."""
+    """Whole days from the primary date to each other date, floored; -1 where either is missing."""
     p = primary.replace(" ", "_")
-    day_us = 86_400_000_000
-    us = lambda c: F.unix_micros(col(c).cast("timestamp"))
-    new = {f"{c.replace(' ', '_')}_days_from_{p}": F.coalesce(
-        F.floor((us(c) - us(primary)) / day_us).cast("int"), F.lit(-1)) for c in others}
+    start = col(primary).cast("timestamp_ntz")
+
+    def delta(c):
+        d = days_between(primary, c).cast("int")
+        early = start + F.make_dt_interval(days=d) > col(c).cast("timestamp_ntz")
+        return F.coalesce(F.when(early, d - 1).otherwise(d), F.lit(-1)).cast("int")
+
+    new = {f"{c.replace(' ', '_')}_days_from_{p}": delta(c) for c in others}
     return df.withColumns(new) if new else df
 
 
