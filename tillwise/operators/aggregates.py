@@ -7,8 +7,6 @@ decimal money gives the same digits in any row order.
 
 from __future__ import annotations
 
-from decimal import Decimal
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,28 +105,20 @@ def customer_aggregate(df: DataFrame, roles: dict[str, str]) -> DataFrame:
 def customer_features(df: DataFrame, row_id: str = "order_id") -> DataFrame:
     """Customer table measured from a snapshot one day after the last order.
 
-    Rows first collapse to one per customer, region and category, where every buffer is a number
-    and Spark aggregates by hash; the text-valued "first region" is then picked from those few.
-    ``row_id`` (a whole number) settles which region is first on a day with several orders.
+    One aggregate, so a caller that does not use a column does not pay for it.
     """
     snapshot = scalar(df, F.date_add(F.max("order_date"), 1))
-    place = F.unix_date("order_date").cast("decimal(12,0)") * F.lit(Decimal(10 ** 19)) \
-        + F.col(row_id).cast("decimal(19,0)")
-    part = df.groupBy("customer_id", "customer_region", "product_category").agg(
-        F.min("order_date").alias("first"), F.max("order_date").alias("last"),
-        F.count("order_id").alias("orders"), F.sum("net_revenue").alias("net"),
-        F.count("net_revenue").alias("net_n"), F.sum("quantity_sold").alias("items"),
-        F.sum("rating").alias("rating"), F.count("rating").alias("rating_n"),
-        F.sum("is_returned").alias("returns"), F.min(place).alias("place"))
-    g = part.groupBy("customer_id").agg(
-        F.min("first").alias("first_order_date"), F.max("last").alias("last_order_date"),
-        F.sum("orders").alias("total_orders"), F.sum("net").cast("double").alias("total_spent"),
-        ratio(F.sum("net"), F.sum("net_n")).alias("avg_order_value"),
-        F.sum("items").cast("long").alias("total_items"),
-        ratio(F.sum("rating"), F.sum("rating_n")).alias("avg_rating_given"),
-        F.sum("returns").cast("long").alias("return_count"),
+    g = df.groupBy("customer_id").agg(
+        F.min("order_date").alias("first_order_date"),
+        F.max("order_date").alias("last_order_date"),
+        F.count("order_id").alias("total_orders"),
+        F.sum("net_revenue").cast("double").alias("total_spent"),
+        mean_of("net_revenue").alias("avg_order_value"),
+        F.sum("quantity_sold").cast("long").alias("total_items"),
+        mean_of("rating").alias("avg_rating_given"),
+        F.sum("is_returned").cast("long").alias("return_count"),
         F.count_distinct("product_category").alias("unique_categories"),
-        F.min_by("customer_region", "place").alias("preferred_region"),
+        F.min_by("customer_region", F.struct("order_date", row_id)).alias("preferred_region"),
     )
     return (
         g.withColumn("customer_tenure_days", F.date_diff(snapshot, "first_order_date"))
@@ -148,9 +138,15 @@ def churn_rule_label(cust: DataFrame, window_days: int = 90) -> DataFrame:
         "is_churned", (F.col("days_since_last_order") > window_days).cast("int"))
 
 
-def churn_risk_score(cust: DataFrame) -> DataFrame:
-    """Weighted mix of recency, frequency, returns, rating and cadence, in 0..1."""
-    most = scalar(cust, F.max("total_orders"))
+def churn_risk_score(cust: DataFrame, orders: DataFrame | None = None) -> DataFrame:
+    """Weighted mix of recency, frequency, returns, rating and cadence, in 0..1.
+
+    Given the order lines, the greatest order count comes from a plain count of them instead of
+    from the whole customer table.
+    """
+    counts = cust if orders is None else orders.groupBy("customer_id").agg(
+        F.count("order_id").alias("total_orders"))
+    most = scalar(counts, F.max("total_orders"))
     score = (
         0.30 * clip(F.col("days_since_last_order") / 180, 0.0, 1.0)
         + 0.25 * (1 - ratio("total_orders", most))
@@ -175,7 +171,8 @@ def customer_segment(cust: DataFrame, orders: str = "total_orders") -> DataFrame
 
 def full_customer_table(df: DataFrame) -> DataFrame:
     """Features, label, score, value and segment in one lazy plan."""
-    return customer_segment(clv_estimate(churn_risk_score(churn_rule_label(customer_features(df)))))
+    return customer_segment(clv_estimate(churn_risk_score(
+        churn_rule_label(customer_features(df)), df)))
 
 
 # Order-level columns -----------------------------------------------------------------------

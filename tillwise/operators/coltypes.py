@@ -106,8 +106,10 @@ def type_profile(df: DataFrame) -> DataFrame:
         F.count_if("real").alias("n_checked"),
         F.count_if(F.col("real") & F.col("is_date")).alias("n_dates"),
         F.count("n").alias("n_numbers"), F.count_if("is_eu_number").alias("n_numbers_eu"),
-        F.count_if(F.col("bare").rlike(r"^-?(\d{1,3}\.)*\d{1,3},\d+$")).alias("n_eu"),
-        F.count_if(F.col("bare").rlike(r"^-?(\d{1,3},)*\d{1,3}\.\d+$")).alias("n_us"),
+        F.count_if(F.contains("bare", F.lit(",")) & F.col("bare").rlike(
+            r"^-?(\d{1,3}\.)*\d{1,3},\d+$")).alias("n_eu"),
+        F.count_if(F.contains("bare", F.lit(".")) & F.col("bare").rlike(
+            r"^-?(\d{1,3},)*\d{1,3}\.\d+$")).alias("n_us"),
         F.count_if("is_bool").alias("n_bool"),
         F.count_if(F.col("d").between(19000101, 21001231)).alias("n_ymd_range"),
         F.count_if("is_ymd").alias("n_ymd"),

@@ -107,7 +107,8 @@ SELECT customer_id, LEAST(GREATEST(ROUND(
   + 0.10 * LEAST(GREATEST(avg_days_between_orders / 60.0::DOUBLE, 0.0), 1.0), 4), 0.0), 1.0)
   AS churn_risk_score FROM f"""))
 def _(i):
-    return A.churn_risk_score(A.customer_features(i.view("sales"))).select(
+    sales = i.view("sales")
+    return A.churn_risk_score(A.customer_features(sales), sales).select(
         "customer_id", "churn_risk_score")
 
 
