@@ -2,7 +2,7 @@
 
 Only settings that change results or planning are set here; master, memory and the
 checkpoint folder belong to the cluster.  ``spark.checkpoint.dir`` is read from the
-session and a local folder is used only where the session has none (tests).
+session; only a local master, where all tasks see the same disk, may do without it.
 """
 
 from __future__ import annotations
@@ -30,12 +30,15 @@ def get_session(app: str = "tillwise", master: str | None = None, **conf: str) -
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """Shared folder for cut lineage; a temporary one only when the session names none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder that the session names; on a local master a temporary one will do."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="tillwise-")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
     return folder
 
 
