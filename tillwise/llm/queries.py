@@ -28,3 +28,34 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_hosts(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "kept", "host_docs", "host_failed", "host_rate", "host_rejected")
+
+
+@corpus_query
+def op4_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives written to the shared folder and read back; the digest outlives the archives."""
+    from tillwise.llm.staging import Scratch
+    from tillwise.llm.warc import read_archives, write_archives
+    from tillwise.session import checkpointed
+
+    scratch = Scratch(spark)
+    folder = f"{scratch.folder}/archives"
+    scratch.table(write_archives(table(spark, sf_dir, "pages"), folder), "manifest")
+    records = checkpointed(read_archives(spark, folder).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact"))
+    scratch.drop()
+    return records
+
+
+@corpus_query
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digests of personal data in each text."""
+    from tillwise.llm.pii import BASE_KINDS, KINDS, personal_data, spans_text
+
+    found = personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("pii_spans", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id", *[count(kind).alias(f"n_{kind}") for kind in BASE_KINDS],
+        F.sha2(spans_text(BASE_KINDS), 256).alias("base_sha256"),
+        spans_text(KINDS).alias("spans"),
+        F.coalesce(F.array_max(F.transform("pii_spans", lambda s: s["score"])), F.lit(0.0))
+        .alias("top_score"))
