@@ -59,3 +59,20 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
         spans_text(KINDS).alias("spans"),
         F.coalesce(F.array_max(F.transform("pii_spans", lambda s: s["score"])), F.lit(0.0))
         .alias("top_score"))
+
+
+def fold(folds: int):
+    """crc32 of the id as text, modulo ``folds``; a null id is in fold 0."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")), F.lit(0)) % folds
+
+
+@corpus_query
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all texts by a model from the labels outside fold 0 of 5."""
+    from tillwise.llm.toxicity import fit, score_texts
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit(docs.where(fold(5) != 0), table(spark, sf_dir, "labels"))
+    return score_texts(docs, model, "score").select(
+        "doc_id", (fold(5) == 0).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))
