@@ -76,3 +76,18 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(docs, model, "score").select(
         "doc_id", (fold(5) == 0).alias("held_out"), "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@corpus_query
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark phrases of ten words in all documents."""
+    from tillwise.llm.decontaminate import find_items
+    from tillwise.llm.staging import Scratch
+
+    found = find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"),
+                       Scratch(spark))
+    listed = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(listed, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+        F.size("near_items").cast("long").alias("n_near_items"))
