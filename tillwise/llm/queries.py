@@ -91,3 +91,14 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(listed, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
         F.size("near_items").cast("long").alias("n_near_items"))
+
+
+@corpus_query
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 13 words that start in an earlier document, removed from all documents."""
+    from tillwise.llm.staging import Scratch
+    from tillwise.llm.substrings import remove_repeats
+
+    kept = remove_repeats(table(spark, sf_dir, "documents"), Scratch(spark))
+    return kept.select("doc_id", "n_words", "n_removed",
+                       F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
