@@ -102,3 +102,12 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = remove_repeats(table(spark, sf_dir, "documents"), Scratch(spark))
     return kept.select("doc_id", "n_words", "n_removed",
                        F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
+
+
+@corpus_query
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes and links of all documents: shingles of five words, 0.8 or more."""
+    from tillwise.llm.jaccard import jaccard_classes
+    from tillwise.llm.staging import Scratch
+
+    return jaccard_classes(table(spark, sf_dir, "documents"), Scratch(spark)).drop("print")
