@@ -111,3 +111,20 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tillwise.llm.staging import Scratch
 
     return jaccard_classes(table(spark, sf_dir, "documents"), Scratch(spark)).drop("print")
+
+
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@corpus_query
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each text by the lower-casing word BPE."""
+    from tillwise.llm.token_counts import count_tokens
+
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
+    return count_tokens(docs, tokenizer_file("word_bpe_49k.json")).withColumn(
+        "over_limit", F.col("n_tokens") > 2048)
