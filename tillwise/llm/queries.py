@@ -128,3 +128,14 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
     return count_tokens(docs, tokenizer_file("word_bpe_49k.json")).withColumn(
         "over_limit", F.col("n_tokens") > 2048)
+
+
+@corpus_query
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 1024 tokens along the curve."""
+    from tillwise.llm.packing import pack
+    from tillwise.llm.staging import Scratch
+
+    pieces = pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), Scratch(spark))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
+                         "sequence_id", "offset")

@@ -20,9 +20,9 @@ class Scratch:
         self.spark = spark
         self.folder = f"{checkpoint_folder(spark).rstrip('/')}/tillwise-{uuid.uuid4().hex}"
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
+    def table(self, df: DataFrame, name: str, **options: str) -> DataFrame:
         """``df`` written as Parquet and read again."""
-        df.write.parquet(f"{self.folder}/{name}")
+        df.write.options(**options).parquet(f"{self.folder}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
 
     def drop(self, name: str = "") -> None:
