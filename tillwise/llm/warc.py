@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
 import struct
 from collections.abc import Iterator
 
@@ -24,6 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillwise.llm.shared_files import put
 from tillwise.llm.staging import estimated_rows
 
 #: Magic number of the skippable frame that holds a dictionary in WARC files (fixed value).
@@ -99,25 +99,11 @@ def archive(records: list[bytes]) -> bytes:
                      *[squeeze.compress(r) for r in records]])
 
 
-def put(folder: str, name: str, content: bytes) -> None:
-    """Write a file in one step, so a task that runs again replaces it by the same one."""
-    from pyarrow import fs
-
-    store, path = fs.FileSystem.from_uri(folder)
-    store.create_dir(path, recursive=True)
-    attempt = f"{path}/.{name}.{TaskContext.get().taskAttemptId()}"
-    with store.open_output_stream(attempt) as out:
-        out.write(content)
-    store.move(attempt, f"{path}/{name}")
-
-
 def write_archives(pages: DataFrame, folder: str, least_bytes: int = 1000) -> DataFrame:
     """Archives of up to ``ARCHIVE_BYTES`` of records each, in ``folder``, a shared URI.
 
     Returns the manifest; archives are written when it is computed.
     """
-    folder = re.sub(r"^(file:)?/(?!/)", "file:///", folder)
-
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, held, size = TaskContext.get().partitionId(), 0, [], 0
 
