@@ -265,11 +265,14 @@ def compare_bucket(table: pa.Table, threshold: Fraction) -> pa.Table:
 def jaccard_classes(docs: DataFrame, scratch: Scratch, threshold: Fraction = Fraction(4, 5),
                     size: int = SIZE, recall: float = 0.999, branches: int = 3,
                     depth: int = 8) -> DataFrame:
-    """One row for each row of ``docs``: ``doc_id, print, class_id, copy_id, n_links``.
+    """One row for each row of ``docs``: ``doc_id, print, class_id, copy_id, n_links, is_first``.
 
     ``class_id`` is the smallest id of the component, ``copy_id`` that of the texts with the same
-    shingles, ``n_links`` the number of other shingle sets at or above the threshold.
+    shingles, ``n_links`` the number of other shingle sets at or above the threshold.  ``print`` is
+    the text's fingerprint, and ``is_first`` marks the smallest (id, fingerprint) of a component.
+    The result is a table of ``scratch``; what led to it lies in a folder of its own and is dropped.
     """
+    result, scratch = scratch, Scratch(docs.sparkSession)
     rows = scratch.table(sketched(docs, size), "sketches")
     first = F.min(F.struct("doc", "print", "sketch"))
     classes = scratch.table(rows.where("a is not null").groupBy("a", "b").agg(first.alias("r"))
@@ -296,14 +299,36 @@ def jaccard_classes(docs: DataFrame, scratch: Scratch, threshold: Fraction = Fra
     joined = components(compared.select(key("a", "b").alias("u"), key("root_a", "root_b").alias("v")),
                         scratch)
     root = classes.join(joined.select("u.a", "u.b", F.col("v").alias("root")), ["a", "b"], "left") \
-        .select("a", "b", "doc", F.coalesce("root", key("a", "b")).alias("root"))
-    smallest = root.groupBy("root").agg(F.min("doc").alias("class_doc"))
-    told = (root.join(smallest, "root").join(links, ["a", "b"], "left")
-            .select("a", "b", F.col("doc").alias("copy_doc"), "class_doc",
+        .select("a", "b", "doc", "print", F.coalesce("root", key("a", "b")).alias("root"))
+    smallest = root.groupBy("root").agg(F.min(F.struct("doc", "print")).alias("first"))
+    told = (root.drop("print").join(smallest, "root").join(links, ["a", "b"], "left")
+            .select("a", "b", F.col("doc").alias("copy_doc"), "first",
                     F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
     real = lambda c: F.when(F.col(c) != int(LAST), F.col(c))
-    return rows.drop("sketch").join(told, ["a", "b"], "left").select(
+    alone = F.col("a").isNull()
+    out = result.table(rows.drop("sketch").join(told, ["a", "b"], "left").select(
         real("doc").alias("doc_id"), "print",
-        F.when(F.col("a").isNull(), real("doc")).otherwise(real("class_doc")).alias("class_id"),
-        F.when(F.col("a").isNull(), real("doc")).otherwise(real("copy_doc")).alias("copy_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+        F.when(alone, real("doc")).otherwise(real("first.doc")).alias("class_id"),
+        F.when(alone, real("doc")).otherwise(real("copy_doc")).alias("copy_id"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        (alone | (F.struct("doc", "print") == F.col("first"))).alias("is_first")), "classes")
+    scratch.drop()
+    return out
+
+
+def one_of_each(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:
+    """The rows of ``docs`` without the near copies: of each class its first row, and all texts
+    without shingles."""
+    rows = jaccard_classes(docs, scratch, **options)
+    near = lambda t: (F.col("doc_id").eqNullSafe(t["_doc"])
+                      & (F.xxhash64("text") == t["_print"]))
+    names = [F.col("doc_id").alias("_doc"), F.col("print").alias("_print")]
+    left = docs.join(gone := rows.where(~F.col("is_first")).select(*names).distinct(), near(gone),
+                     "left_anti")
+    # repeated rows of one id and text are all first; one of them stays
+    again = (rows.where("is_first").groupBy("doc_id", "print")
+             .count().where("count > 1").select(*names))
+    words = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    single = left.join(again, near(again) & words, "left_anti")
+    several = left.where(words).join(again, near(again), "left_semi").dropDuplicates(["doc_id", "text"])
+    return single.unionByName(several)

@@ -385,9 +385,9 @@ class Scorer:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` without the text, with tokens, known tokens, the unigram base and the model's score."""
-    kept = [c for c in docs.columns if c != "text"]
     new = [("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base_score", T.DoubleType()),
            ("score", T.DoubleType())]
+    kept = [c for c in docs.columns if c not in ("text", *(n for n, _ in new))]
     schema = T.StructType([*[docs.schema[c] for c in kept], *[T.StructField(*f) for f in new]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -13,6 +13,8 @@ Null text has no spans.  Rows are read one by one, so repeated rows and ids need
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -103,13 +105,16 @@ def scored(text: str, kind: str, start: int, end: int) -> float:
 
 def find_spans(text: str, least_score: float) -> list[tuple[str, int, int, float]]:
     """Base spans, and added spans with a sufficient score that overlap no base span."""
-    out, taken = [], []
+    out, taken, reach = [], None, None
     for kind, start, end in proposals(text):
         score = scored(text, kind, start, end)
-        if kind in BASE_KINDS:
-            taken.append((start, end))
-        elif score < least_score or any(s < end and start < e for s, e in taken):
-            continue
+        if kind not in BASE_KINDS:
+            if taken is None:  # base spans by start, with the furthest end so far
+                taken = sorted((s, e) for _, s, e, _ in out)
+                reach = list(itertools.accumulate((e for _, e in taken), max))
+            before = bisect.bisect_left(taken, (end,))
+            if score < least_score or before and reach[before - 1] > start:
+                continue
         out.append((kind, start, end, score))
     return out
 
@@ -134,6 +139,7 @@ def personal_data(docs: DataFrame, text: str = "text", least_score: float = 0.5,
                   redact: bool = False) -> DataFrame:
     """``docs`` with ``pii_spans``; with ``redact`` the text has placeholders for its spans,
     without it the text column is dropped."""
+    docs = docs.drop("pii_spans")
     kept = [c for c in docs.columns if c != text]
     schema = T.StructType([docs.schema[c] for c in docs.columns if c != text or redact]
                           + [T.StructField("pii_spans", T.ArrayType(SPAN))])

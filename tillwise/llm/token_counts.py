@@ -117,7 +117,7 @@ class Counter:
 
 def count_tokens(docs: DataFrame, path: str, text: str = "text", name: str = "n_tokens") -> DataFrame:
     """``docs`` without the text, with the tokens of each whole text by the tokenizer file."""
-    kept = [c for c in docs.columns if c != text]
+    kept = [c for c in docs.columns if c not in (text, name)]
     schema = T.StructType([*[docs.schema[c] for c in kept], T.StructField(name, T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

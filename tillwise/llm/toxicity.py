@@ -238,7 +238,9 @@ def scores(words: Words, model: Model, pair) -> np.ndarray:
 
 
 def score_texts(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:
-    """``docs`` with a score from 0 to 1 for each whole text."""
+    """``docs`` with a score from 0 to 1 for each whole text; it takes the place of a column of
+    that name."""
+    docs = docs.drop(name)
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries and a few weights
 
