@@ -13,8 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 from tillwise.session import checkpoint_folder
 
 
+#: Spark's setting to delete an execution's shuffle files when the execution ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
-    """A fresh folder beside the session's checkpoints."""
+    """A fresh folder beside the session's checkpoints.
+
+    Once a table is written nothing reads the shuffles behind it, so they go at once.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
@@ -22,7 +29,12 @@ class Scratch:
 
     def table(self, df: DataFrame, name: str, **options: str) -> DataFrame:
         """``df`` written as Parquet and read again."""
-        df.write.options(**options).parquet(f"{self.folder}/{name}")
+        before = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.options(**options).parquet(f"{self.folder}/{name}")
+        finally:
+            self.spark.conf.set(CLEANUP, before) if before else self.spark.conf.unset(CLEANUP)
         return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
 
     def drop(self, name: str = "") -> None:

@@ -182,12 +182,12 @@ def repeated_stretches(docs: DataFrame, scratch: Scratch, most_cells: int) -> Da
     """``doc, tag, stretches``: starts and ends, in words, of what repeats a smaller id."""
     cells = sketch_cells(docs, most_cells)
     sketch = np.zeros(cells // 8, np.uint8)  # bounded by most_cells
-    for r in merged_sketch(partition_sketches(docs, cells)).toLocalIterator():
+    for r in scratch.table(merged_sketch(partition_sketches(docs, cells)), "sketch").collect():
         sketch[r["block"] * (BLOCK_CELLS // 8):(r["block"] + 1) * (BLOCK_CELLS // 8)] = \
             np.frombuffer(bytes(r["bits"]), np.uint8)
+    scratch.drop("sketch")
     windows = estimated_repeats(docs, sketch, cells)
-    first = (windows.groupBy("h", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
-             .where("first < last").select("h", "h2", "first"))
+    first = windows.groupBy("h", "h2").agg(F.min("doc").alias("first"))
     found = windows.join(first, ["h", "h2"]).where("doc > first")
 
     def join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
