@@ -85,19 +85,23 @@ class Encoder:
         direction = _DIRECTIONS[(pieces.hash % np.uint64(HASHED)).astype(np.int64)]
         row = owner[pieces.row]
         sums = np.stack([np.bincount(row, direction[:, d], len(texts)) for d in range(DIMENSIONS)], 1)
-        return out, sums
+        return out, sums.astype(np.float64)
 
 
 def hilbert_keys(sums: np.ndarray) -> np.ndarray:
-    """Place on the Hilbert curve of each direction, on a grid of ``BITS`` bits a dimension.
+    """Place on the Hilbert curve of each direction, on a grid of ``BITS`` bits a dimension."""
+    length = np.sqrt((sums ** 2).sum(1, keepdims=True))
+    unit = np.divide(sums, length, out=np.zeros_like(sums), where=length > 0)
+    return grid_keys(np.minimum(((unit + 1) / 2 * (1 << BITS)).astype(np.int64), (1 << BITS) - 1).T.copy())
+
+
+def grid_keys(x: np.ndarray) -> np.ndarray:
+    """Hilbert keys of grid points, one row for each dimension.
 
     The grid point's bits are turned into the curve's transposed index dimension by dimension, from
     the highest bit: where a bit is set the lower bits of the first axis are inverted, where it is
     clear they are exchanged with those of that axis; Gray decoding follows.
     """
-    length = np.sqrt((sums ** 2).sum(1, keepdims=True))
-    unit = np.divide(sums, length, out=np.zeros_like(sums), where=length > 0)
-    x = np.minimum(((unit + 1) / 2 * (1 << BITS)).astype(np.int64), (1 << BITS) - 1).T.copy()
     for b in range(BITS - 1, 0, -1):
         low = (1 << b) - 1
         for d in range(DIMENSIONS):
