@@ -217,7 +217,7 @@ def test_other_time_zone_changes_nothing(spark):
         read = lambda v: one(spark, Y.parse_date(F.lit(v)))
         assert read("2024-03-10T12:00:00+02:00") == datetime.datetime(2024, 3, 10, 10)
         assert read("2024-3-10 02:30:00") == datetime.datetime(2024, 3, 10, 2, 30)
-        assert read("3/4/2024") == datetime.datetime(2024, 3, 4) and read("20240304") is None
+        assert read("3/4/2024") == datetime.datetime(2024, 3, 4) and read("20240304") == datetime.datetime(2024, 3, 4)
         df = spark.createDataFrame([(D(2024, 3, 9), D(2024, 3, 12)), (D(2024, 3, 12), D(2024, 3, 9))],
                                    "a date, b date")
         assert sorted(r.b_days_from_a for r in date_deltas(df, "a", ["b"]).collect()) == [-3, 3]
@@ -226,3 +226,73 @@ def test_other_time_zone_changes_nothing(spark):
         assert date_deltas(part, "a", ["b"]).first().b_days_from_a == -1
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_written_dates(spark):
+    from tillwise.operators.coltypes import parse_date
+
+    day = datetime.datetime(2024, 3, 5)
+    forms = {"March 5, 2024": day, "5 March 2024": day, "05-Mar-2024": day, "Mar 5 2024": day,
+             "2024.03.05": day, "20240305": day, "03/05/24": day, "mar 5 2024": day,
+             "15/03/2024": datetime.datetime(2024, 3, 15), "31/12/99": datetime.datetime(1999, 12, 31),
+             "2024-03-05 10:00 PM": datetime.datetime(2024, 3, 5, 22),
+             "2024-03-05 10:11:12.5+02:00": datetime.datetime(2024, 3, 5, 8, 11, 12, 500000),
+             "13/13/2024": None, "5 foo 2024": None, "march": None, "12": None, "1.5": None, "": None}
+    df = spark.createDataFrame([(k,) for k in forms], "s string")
+    assert {r.s: r.d for r in df.select("s", parse_date("s").alias("d")).collect()} == forms
+
+
+def test_spearman_with_gaps(spark):
+    import itertools
+
+    import pandas as pd
+
+    from tillwise.operators import quality
+
+    rows = [(float(k) if k % 3 else None, float(k * k) if k % 5 else None, float(-k) if k % 2 else None,
+             float(k % 7)) for k in range(60)]
+    got = quality.spearman(spark.createDataFrame(rows, "a double, b double, c double, d double"), list("abcd"))
+    want = pd.DataFrame(rows, columns=list("abcd")).corr("spearman")
+    assert all(abs(got[p] - want.loc[p]) < 1e-9 for p in itertools.combinations("abcd", 2))
+    apart = [(float(k), None, float(k)) if k % 2 else (None, float(k), float(k)) for k in range(20)]
+    got = quality.spearman(spark.createDataFrame(apart, "a double, b double, c double"), list("abc"))
+    assert got["a", "c"] == got["b", "c"] == 1.0 and got["a", "b"] is None
+
+
+def test_not_a_number(spark):
+    from tillwise.functions.quantiles import quantiles
+
+    df = spark.createDataFrame([(1.0,), (float("nan"),), (3.0,), (2.0,)], "v double")
+    assert L.nth_smallest(df, "v", 2) == 2.0
+    assert [quantiles(df, ["v"], [0.5], direct_values=n).first().v[0] for n in (10, 0)] == [2.0, 2.0]
+
+
+def test_laws_among_many_columns(spark):
+    from tillwise.operators import laws
+
+    names = [f"m{k}" for k in range(20)]
+    rows = []
+    for k in range(120):
+        r = [float((k * (7 + j) + j * j) % 101 + j / 7) for j in range(20)]
+        rows.append((*r[:19], r[17] + r[18]))
+    df = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names))
+    assert len(laws.eligible_columns(df, names)) == 20
+    kept = laws.kept_laws(laws.law_resolution(laws.law_discovery(df, names)))
+    assert [(w.base_a, w.op, w.base_b, w.derived) for w in kept] == [("m17", "addition", "m18", "m19")]
+
+
+def test_csv_charset_for_each_file(spark, tmp_path):
+    from tillwise.sources.tables import read_csv_encoded
+
+    (tmp_path / "a.csv").write_bytes("k,v\n1,é\n".encode())
+    (tmp_path / "b c.csv").write_bytes("k,v\n2,é\n".encode("latin-1"))
+    rows = read_csv_encoded(spark, str(tmp_path), "k int, v string").collect()
+    assert {(r.k, r.v) for r in rows} == {(1, "é"), (2, "é")}
+
+
+def test_search_skips_missing_vectors(spark):
+    from tillwise.operators.retrieval import semantic_search
+
+    chunks = spark.createDataFrame([("a", [1.0, 0.0]), ("b", None)], "chunk_id string, embedding array<double>")
+    asked = spark.createDataFrame([(1, [1.0, 0.0]), (2, None)], "question_id int, embedding array<double>")
+    assert [(r.question_id, r.chunk_id) for r in semantic_search(chunks, asked).collect()] == [(1, "a")]

@@ -22,7 +22,7 @@ def test_narrowed_quantiles(spark):
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0]
     for by in ((), ("g",)):
         a = {r[0] if by else 0: r for r in quantiles(df, ["v", "w"], probs, by).collect()}
-        b = {r[0] if by else 0: r for r in quantiles(df, ["v", "w"], probs, by, direct_limit=0).collect()}
+        b = {r[0] if by else 0: r for r in quantiles(df, ["v", "w"], probs, by, direct_values=0).collect()}
         assert a.keys() == b.keys()
         for k in a:
             assert np.allclose(a[k].v, b[k].v) and np.allclose(a[k].w, b[k].w)
@@ -71,7 +71,7 @@ def test_law_pruning_changes_nothing(spark, monkeypatch):
     df = spark.createDataFrame(rows, "a double, b double, ab double, c double, diff double")
     cols = ["a", "b", "ab", "c", "diff"]
     whole = sorted(map(tuple, laws.law_discovery(df, cols).collect()))
-    monkeypatch.setattr(laws, "PRUNE_FROM", 100)
+    monkeypatch.setattr(laws, "TESTS_PER_PASS", 40)
     assert sorted(map(tuple, laws.law_discovery(df, cols).collect())) == whole
     kept = {(w.base_a, w.op, w.base_b, w.derived) for w in laws.kept_laws(
         laws.law_resolution(laws.law_discovery(df, cols)))}

@@ -1,10 +1,11 @@
 """Exact quantiles (linear interpolation) that scale.
 
-Spark's ``percentile`` keeps every distinct value of a group in one aggregation buffer.
-That is the fastest plan while the input is small, and the size is checked.  Beyond the
-limit the same answer comes from narrowing: count values in equal-width buckets, keep only
-the buckets that hold a wanted rank, repeat, and read the ranks off the few values left.
-Every step is a map-side combined count; no task ever holds a whole column.
+Spark's ``percentile`` keeps every distinct value of a group in one aggregation buffer.  It is used
+where a distinct count of the values has shown that buffer to be small.  Otherwise the same answer
+comes from narrowing: approximate quantiles cut the values into ranges of similar size, ranges are
+counted exactly, only those that hold a wanted rank stay, and the cut is repeated inside them; ranks
+are read off the values left.  Cuts go by rank, so values of very different scales are cut as evenly
+as any.  NULL and NaN are no values.
 """
 
 from __future__ import annotations
@@ -14,11 +15,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillwise.functions.exprs import col, size_estimate
+from tillwise.functions.exprs import col
 
-DIRECT_LIMIT_BYTES = 256 * 1024 * 1024
-BUCKETS = 4096
-LEVELS = 2
+#: Distinct values of all groups and columns that one aggregate may hold (about 50 bytes each).
+DIRECT_VALUES = 1_000_000
+BUCKETS = 32
+LEVELS = 3
 
 
 def quantiles(
@@ -26,15 +28,16 @@ def quantiles(
     columns: Sequence[str],
     probs: Sequence[float],
     by: Sequence[str] = (),
-    direct_limit: int | None = None,
+    direct_values: int = DIRECT_VALUES,
 ) -> DataFrame:
     """One row per group; each named column becomes array<double> aligned with ``probs``."""
-    limit = DIRECT_LIMIT_BYTES if direct_limit is None else direct_limit
-    if size_estimate(df.select(*by, *[col(c) for c in columns])) <= limit:
+    value = lambda c: F.nanvl(col(c).cast("double"), F.lit(None).cast("double"))
+    df = df.select(*by, *[value(c).alias(c) for c in columns])
+    row = df.agg(*[F.approx_count_distinct(F.struct(*by, col(c)), 0.05).alias(f"n{k}")
+                   for k, c in enumerate(columns)]).first() if direct_values else None
+    if row is not None and sum(row) <= direct_values:
         p = F.array(*[F.lit(float(x)) for x in probs])
-        return df.groupBy(*by).agg(
-            *[F.percentile(col(c).cast("double"), p).alias(c) for c in columns]
-        )
+        return df.groupBy(*by).agg(*[F.percentile(col(c), p).alias(c) for c in columns])
     return _narrowed(df, columns, probs, list(by))
 
 
@@ -59,13 +62,10 @@ def _narrowed(df, columns, probs, by):
     cur, path = long.withColumn("_base", F.lit(0).cast("long")), []
     for level in range(LEVELS):
         keys, b = [*top, *path], f"_b{level}"
-        span = cur.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-        width = F.col("_hi") - F.col("_lo")
+        span = cur.groupBy(*keys).agg(F.approx_percentile("_v", F.array(*[
+            F.lit(k / BUCKETS) for k in range(1, BUCKETS)]), F.lit(1000)).alias("_cuts"))
         cur = _attach(cur, span, keys).withColumn(
-            b,
-            F.when(width > 0, F.least(F.lit(BUCKETS - 1), F.floor(
-                (F.col("_v") - F.col("_lo")) / width * BUCKETS))).otherwise(0).cast("int"),
-        ).drop("_lo", "_hi")
+            b, F.size(F.filter("_cuts", lambda e: e <= F.col("_v")))).drop("_cuts")
         counts = cur.groupBy(*keys, b, "_base").agg(F.count("*").alias("_k"))
         w = Window.partitionBy(*keys).orderBy(b)
         counts = counts.withColumn(

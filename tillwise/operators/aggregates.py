@@ -217,7 +217,8 @@ def refund_net_revenue(df: DataFrame, share: str = "0.90") -> DataFrame:
 # Calendar series ---------------------------------------------------------------------------
 
 def daily_rollup(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    return df.groupBy(*by, "order_date").agg(
+    """One row per calendar day, also where orders carry a time of day."""
+    return df.groupBy(*by, col("order_date").cast("date").alias("order_date")).agg(
         F.sum("net_revenue").alias("daily_revenue"),
         F.count("order_id").alias("daily_orders"),
         F.sum("quantity_sold").cast("long").alias("daily_items"),
@@ -366,10 +367,12 @@ def join_customer_features(orders: DataFrame, cust: DataFrame) -> DataFrame:
 def join_daily_features(orders: DataFrame, daily: DataFrame) -> DataFrame:
     """Seven daily features by order date.
 
-    The daily side has one row per calendar day, a proven bound, so it is broadcast.
+    The daily side is cut to one row per calendar day, a proven bound, so it is broadcast.
     """
-    return orders.join(F.broadcast(daily.select("order_date", *DAILY_FEATURES)),
-                       "order_date", "left")
+    days = daily.groupBy(col("order_date").cast("date").alias("_day")).agg(
+        *[F.any_value(c).alias(c) for c in DAILY_FEATURES])
+    return orders.join(F.broadcast(days), col("order_date").cast("date") == F.col("_day"),
+                       "left").drop("_day")
 
 
 REVENUE_TASK = ["order_date", "year", "month", "quarter", "week_of_year", "day_of_week",

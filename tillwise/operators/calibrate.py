@@ -16,14 +16,20 @@ MIN_REGRESSION, MIN_CLASSES, MIN_ISOTONIC, MIN_DISTINCT, SAMPLE = 30, 50, 100, 1
 
 
 def collect_calibration_pairs(scored: DataFrame, prediction: str, actual: str, key: str,
-                              churn: bool = False, sample: int = SAMPLE) -> DataFrame:
-    """At most ``sample`` rows in the order of a hash of the key, as (prediction, actual).
+                              churn: bool = False, sample: int | None = None) -> DataFrame:
+    """All scored rows with an actual, as (prediction, actual).
 
-    The sample is taken first, as the operator asks; rows without an actual then drop out.
+    A ``sample`` bounds the rows a churn calibrator, a classifier, is fitted on: that many rows in
+    the order of a hash of the key, taken before rows without an actual drop out.  Regression
+    calibrators always read all rows.
     """
+    if sample is not None and not churn:
+        raise ValueError("only a churn calibrator may be fitted on a sample")
     h = F.md5(col(key).cast("string"))
     picked = scored.select(col(key).alias("k"), col(prediction).cast("double").alias("prediction"),
-                           col(actual).try_cast("double").alias("actual")).orderBy(h, "k").limit(sample)
+                           col(actual).try_cast("double").alias("actual"))
+    if sample is not None:
+        picked = picked.orderBy(h, "k").limit(sample)
     a = F.col("actual")
     if churn:
         whole = a.cast("int")
@@ -104,7 +110,11 @@ def _gain(n, name, before, after) -> dict[str, float]:
 
 
 def _isotonic(p: DataFrame) -> Calibrator:
-    m = IsotonicRegression(featuresCol="prediction", labelCol="actual", predictionCol="fitted").fit(p)
+    # equal predictions meet in one weighted row first, on the map side
+    rows = p.groupBy("prediction").agg(mean_of(F.col("actual")).alias("actual"),
+                                       F.count("*").cast("double").alias("weight"))
+    m = IsotonicRegression(featuresCol="prediction", labelCol="actual", predictionCol="fitted",
+                           weightCol="weight").fit(rows)
     return Calibrator("isotonic", [float(v) for v in m.boundaries], [float(v) for v in m.predictions], {})
 
 

@@ -11,7 +11,7 @@ import math
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillwise.functions.exprs import anchored_pattern, any_word_pattern, clip, col, edge_pattern, lookup
@@ -21,6 +21,7 @@ from tillwise.functions.vocab import (
     PLACEHOLDERS, QUANTITY_WORDS, RETURN_MONEY_WORDS, RETURN_WORDS, SALES_WORDS, START_WORDS,
 )
 from tillwise.operators.coltypes import TypePlan, is_numeric, keeps_case
+from tillwise.operators.quality import distinct_counts
 
 SPARSE_SHARE, MAX_CATEGORIES = 0.30, 20      # fixed values
 FUTURE_YEARS = 10
@@ -73,19 +74,11 @@ def dedup_rows(df: DataFrame) -> DataFrame:
 
 
 def low_cardinality(df: DataFrame, columns: list[str], limit: int) -> dict[str, int]:
-    """Exact distinct counts of the columns that have at most ``limit`` values.
-
-    A sketch rules out wide columns first, so no wide column is ever shuffled.
-    """
+    """Exact distinct counts of the columns that have at most ``limit`` values."""
     if not columns:
         return {}
-    rough = df.agg(*[F.approx_count_distinct(col(c)).alias(f"c{k}")
-                     for k, c in enumerate(columns)]).first()
-    narrow = [c for k, c in enumerate(columns) if rough[k] <= 2 * limit + 10]
-    if not narrow:
-        return {}
-    exact = df.agg(*[F.count_distinct(col(c)).alias(f"c{k}") for k, c in enumerate(narrow)]).first()
-    return {c: exact[k] for k, c in enumerate(narrow) if exact[k] <= limit}
+    counts = distinct_counts(df, columns).where(F.col("unique_values") <= limit).collect()
+    return {r["column_name"]: r["unique_values"] for r in counts}
 
 
 def category_domains(df: DataFrame, columns: list[str]) -> dict[str, str]:
@@ -131,11 +124,19 @@ def nth_smallest(df: DataFrame, order: str, n: int, buckets: int = 4096):
         x = F.unix_micros(x.cast("timestamp")).cast("double")
     else:
         x = x.cast("double")
-    cur, left = df.select(x.alias("v"), col(order).alias("o")).where(F.col("v").isNotNull()), n
+    cur, left = df.select(x.alias("v"), col(order).alias("o")).where(
+        F.col("v").isNotNull() & ~F.isnan("v")), n
+    before = None
     while True:
-        s = cur.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.min("o").alias("o")).first()
+        s = cur.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.min("o").alias("o"),
+                    F.count("v").alias("k")).first()
         if s.lo is None or s.lo == s.hi:
             return s.o
+        if s.k == before:   # values too close for another split
+            return cur.groupBy("v").agg(F.count("*").alias("k"), F.min("o").alias("o")).withColumn(
+                "upto", F.sum("k").over(Window.orderBy("v"))).where(F.col("upto") >= left).orderBy(
+                "v").first().o
+        before = s.k
         b = F.least(F.lit(buckets - 1), F.floor(
             (F.col("v") - F.lit(s.lo)) / F.lit(s.hi - s.lo) * buckets)).cast("int")
         cur = cur.withColumn("b", b)

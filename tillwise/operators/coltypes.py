@@ -19,10 +19,22 @@ from tillwise.functions.vocab import (
 # Shares of readable values that decide a type (fixed values)
 DATE_SHARE, NUMBER_SHARE, YMD_SHARE = 0.40, 0.80, 0.80
 
-# Written date forms that are read: year first with - or /, month first with / or -, each with
-# one- or two-digit parts; a time and a zone after a year-first date; and day, short month, year
-ISO_SHAPE = (r"^\d{4}-\d{1,2}-\d{1,2}([T ]\d{1,2}:\d{1,2}(:\d{1,2}(\.\d+)?)?(Z|[+-]\d{1,2}:\d{2})?)?$")
-NAMED_SHAPE = r"^\d{1,2} [A-Za-z]{3} \d{4}$"
+# Written date forms that are read, with -, / or . between numbers: year first; month first, or day
+# first where the first number is no month; eight digits; and day and month name in either order.
+# Years may have two digits but where they come first.  A time of day, AM or PM and a zone may follow.
+MONTHS = ["JANUARY", "FEBRUARY", "MARCH", "APRIL", "MAY", "JUNE", "JULY", "AUGUST", "SEPTEMBER",
+          "OCTOBER", "NOVEMBER", "DECEMBER"]
+MONTH_NUMBERS = {**{m: k + 1 for k, m in enumerate(MONTHS)}, **{m[:3]: k + 1 for k, m in enumerate(MONTHS)},
+                 "SEPT": 9}
+NAME = r"(JAN|FEB|MAR|APR|MAY|JUN|JUL|AUG|SEP|OCT|NOV|DEC)[A-Z]*"
+YEAR_FIRST = r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})$"
+EIGHT_DIGITS = r"^(\d{4})(\d{2})(\d{2})$"
+MONTH_FIRST = r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4}|\d{2})$"
+DAY_NAME = r"^(\d{1,2})(?:ST|ND|RD|TH)?[- ]?([A-Z]{3,9})[.,]?[- ](\d{4}|\d{2})$"
+NAME_DAY = r"^([A-Z]{3,9})\.?[- ](\d{1,2})(?:ST|ND|RD|TH)?,?[- ](\d{4})$"
+TIME = r"[T ]+(\d{1,2}):(\d{1,2})(?::(\d{1,2}(?:\.\d+)?)?)? ?(AM|PM)? ?(Z|UTC|[+-]\d{1,2}:?\d{2})?$"
+ANY_DATE = rf"^(\d{{1,4}}[-/.]\d|\d{{8}}($|[T ])|\d{{1,2}}(ST|ND|RD|TH)?[- ]?{NAME}|{NAME}\.?[- ]\d)"
+CENTURY_FROM = 69   # two-digit years from here are of the 20th century (fixed value)
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
 
 
@@ -33,18 +45,42 @@ def is_numeric(kind: str) -> bool:
 def parse_date(c) -> Column:
     """Text as UTC date-time without zone; NULL for placeholders and unknown forms.
 
-    The forms are rewritten to year-month-day first, so one cast reads them all.  Letters count
-    in either case, because text columns are lower-cased before dates are looked for again.
+    A cheap look at how a text begins leaves the rest alone.  The forms are rewritten to
+    year-month-day first, so one cast reads them all.  Letters count in either case, because text
+    columns are lower-cased before dates are looked for again.
     """
     t = F.upper(F.trim(col(c)))
-    iso = F.regexp_replace(t, r"^(\d{4})/(\d{1,2})/(\d{1,2})", "$1-$2-$3")
-    iso = F.regexp_replace(iso, r"^(\d{1,2})[/-](\d{1,2})[/-](\d{4})$", "$3-$1-$2")
-    named = F.when(t.rlike(NAMED_SHAPE), F.try_to_timestamp(F.initcap(t), F.lit("d MMM yyyy")))
+    timed = F.contains(t, F.lit(":"))
+    day = F.when(timed, F.regexp_replace(t, TIME, "")).otherwise(t)
+    part = lambda shape, k: F.regexp_extract(day, shape, k)
+    two = lambda x: F.lpad(x, 2, "0")
+    year = lambda x: F.when(F.length(x) == 4, x).otherwise(
+        F.concat(F.when(x.try_cast("int") >= CENTURY_FROM, "19").otherwise("20"), x))
+    join = lambda y, m, d: F.concat_ws("-", y, two(m), two(d))
+    name = lambda x: lookup(x, MONTH_NUMBERS).cast("string")
+    swap = part(MONTH_FIRST, 1).try_cast("int") > 12
+    written = (
+        F.when(day.rlike(YEAR_FIRST), join(*[part(YEAR_FIRST, k) for k in (1, 2, 3)]))
+        .when(day.rlike(EIGHT_DIGITS), join(*[part(EIGHT_DIGITS, k) for k in (1, 2, 3)]))
+        .when(day.rlike(MONTH_FIRST), join(
+            year(part(MONTH_FIRST, 3)), F.when(swap, part(MONTH_FIRST, 2)).otherwise(part(MONTH_FIRST, 1)),
+            F.when(swap, part(MONTH_FIRST, 1)).otherwise(part(MONTH_FIRST, 2))))
+        .when(day.rlike(DAY_NAME), F.concat_ws("-", year(part(DAY_NAME, 3)), F.coalesce(
+            two(name(part(DAY_NAME, 2))), F.lit("?")), two(part(DAY_NAME, 1))))
+        .when(day.rlike(NAME_DAY), F.concat_ws("-", part(NAME_DAY, 3), F.coalesce(
+            two(name(part(NAME_DAY, 1))), F.lit("?")), two(part(NAME_DAY, 2)))))
+    at = lambda k: F.regexp_extract(t, TIME, k)
+    hour = F.when(at(4) == "", at(1)).otherwise(
+        (at(1).try_cast("int") % 12 + F.when(at(4) == "PM", 12).otherwise(0)).cast("string"))
+    second = F.when(at(3) == "", "00").otherwise(at(3))
+    stamp = F.concat(written, F.lit(" "), two(hour), F.lit(":"), two(at(2)), F.lit(":"),
+                     F.when(F.length(second) == 1, F.concat(F.lit("0"), second)).otherwise(second))
+    zone = F.regexp_replace(F.replace(at(5), F.lit("UTC"), F.lit("Z")), r"^([+-]\d{1,2}):?(\d{2})$", "$1:$2")
     zoned = F.convert_timezone(F.current_timezone(), F.lit("UTC"),
-                               iso.try_cast("timestamp").cast("timestamp_ntz"))
-    read = F.when(iso.rlike(ISO_SHAPE), F.when(iso.rlike(r":\S*(Z|[+-]\d{1,2}:\d{2})$"), zoned)
-                  .otherwise(iso.try_cast("timestamp_ntz"))).otherwise(named.cast("timestamp_ntz"))
-    return F.when(F.substring(t, 1, 1).between("0", "9"), read)
+                               F.concat(stamp, zone).try_cast("timestamp").cast("timestamp_ntz"))
+    read = F.when(~timed, written.try_cast("timestamp_ntz")).when(
+        t.rlike(TIME), F.when(at(5) == "", stamp.try_cast("timestamp_ntz")).otherwise(zoned))
+    return F.when(t.rlike(ANY_DATE), read)
 
 
 def parse_number(c, european: bool = False) -> Column:

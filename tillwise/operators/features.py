@@ -115,12 +115,13 @@ def lag_value_columns(numeric: Sequence[str], ids: Sequence[str] = ()) -> list[s
 
 
 def group_lag_features(df: DataFrame, date: str, row_id: str, values: Sequence[str],
-                       group: str | None = None, slice_unit: str = "MONTH") -> DataFrame:
+                       group: str | None = None, slice_unit: str | None = None) -> DataFrame:
     """Days since the previous row of the group and lags 1 and 3; -1 where there is none.
 
     Rows without a date or group get -1 everywhere.  A group that holds most rows is cut into
-    time slices, so it never lands in one task.
+    slices, so it never lands in one task: days, cut further by row id, or hours of a time.
     """
+    slice_unit = slice_unit or ("DAY" if dict(df.dtypes)[date] == "date" else "HOUR")
     taken = set(df.columns)
     gap = unique_name(f"days_since_last_{date.lower().replace(' ', '_')}", taken)
     taken.add(gap)
@@ -147,5 +148,5 @@ def group_lag_features(df: DataFrame, date: str, row_id: str, values: Sequence[s
 
 
 def group_gap_days(df: DataFrame, date: str, row_id: str, group: str | None = None,
-                   slice_unit: str = "MONTH") -> DataFrame:
+                   slice_unit: str | None = None) -> DataFrame:
     return group_lag_features(df, date, row_id, [], group, slice_unit)

@@ -121,16 +121,21 @@ def forecast_revenue_recursive(last_rows: DataFrame, model: PipelineModel,
 
 
 def forecast_growth_recursive(monthly: DataFrame, model: PipelineModel, by: tuple[str, ...],
-                              horizon: Column | int = 6, max_steps: int = 12) -> DataFrame:
-    """Walk each monthly series forward; the horizon may differ by series (a column)."""
+                              horizon: Column | int | None = None) -> DataFrame:
+    """Walk each monthly series forward; the horizon may differ by series (a column).
+
+    Without one a series goes a third of its months forward, at least one month and at most six.
+    """
     hist = monthly.groupBy(*by).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("month_label", "monthly_revenue"))),
                     lambda x: x["monthly_revenue"]).alias("_hist"),
         F.max_by(F.struct(*[c for c in monthly.columns if c not in by]), "month_label").alias("_r"))
     cur = hist.select(*by, "_hist", "_r.*")
+    if horizon is None:
+        horizon = F.least(F.lit(6), F.greatest(F.lit(1), F.floor(F.size("_hist") / 3)))
     h = horizon if isinstance(horizon, Column) else F.lit(horizon)
-    cur, out = cur.withColumn("_h", h), None
-    for step in range(1, max_steps + 1):
+    cur, out = checkpointed(cur.withColumn("_h", h)), None
+    for step in range(1, max(1, cur.agg(F.max("_h")).first()[0] or 0) + 1):
         scored = checkpointed(model.transform(cur.where(F.col("_h") >= step)).drop("features"))
         nxt = F.add_months("month_label", 1)
         one = scored.select(*by, F.date_format(nxt, "yyyy-MM").alias("period"),

@@ -2,7 +2,8 @@
 
 Every row is laid out once as an array of the eligible columns.  The ordered triples of column
 positions are a literal inside the plan; each row tests each triple, and the counts per triple
-are combined on the map side.  The number of triples depends on the columns (at most 15) only.
+are combined on the map side.  The number of triples depends on the columns only; many of them are
+tested in several passes, so that a plan stays small.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from tillwise.functions.exprs import col, table_literal
 from tillwise.operators.cleaning import is_key
 
 # Thresholds of a law (fixed values)
-CONFIDENCE, SUPPORT, EPSILON, FLOOR, MAX_COLUMNS = 0.99, 50, 1e-4, 1e-9, 15
+CONFIDENCE, SUPPORT, EPSILON, FLOOR = 0.99, 50, 1e-4, 1e-9
 OPS = ["addition", "subtraction", "multiplication", "division"]
 SIGN = {"addition": "+", "subtraction": "−", "multiplication": "×", "division": "÷"}
 PRIORITY = {"multiplication": 3, "addition": 2, "subtraction": 1, "division": 0}
@@ -54,7 +55,7 @@ class Law:
 
 def eligible_columns(df: DataFrame, numeric: Sequence[str], target: str | None = None,
                      ids: Sequence[str] = ()) -> list[str]:
-    """Numeric, not an identifier or the target, not constant; fullest first, at most 15."""
+    """Numeric, not an identifier or the target, not constant; fullest first."""
     cols = [c for c in numeric if c in df.columns and c not in ids and c != target and not is_key(c)]
     if not cols:
         return []
@@ -62,40 +63,38 @@ def eligible_columns(df: DataFrame, numeric: Sequence[str], target: str | None =
                             F.max(col(c)).alias("hi")).alias(f"c{k}")
                    for k, c in enumerate(cols)]).first()
     varied = [(c, row[k].n) for k, c in enumerate(cols) if row[k].lo != row[k].hi]
-    return [c for c, _ in sorted(varied, key=lambda t: -t[1])][:MAX_COLUMNS]
+    return [c for c, _ in sorted(varied, key=lambda t: -t[1])]
 
 
-def law_sample(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """The discovery sample: between 500 and 2000 rows, n / 50 in between, in hash order."""
-    n = df.count()
-    size = min(2000, max(500, n // 50))
-    part = df.select(*[col(c) for c in columns])
-    return part.orderBy(F.xxhash64(*[col(c) for c in columns])).limit(size)
-
-
-SLICES, PRUNE_FROM = 24, 50_000
+#: Slices of the pruning pass, and triples tested in one pass (a plan literal)
+SLICES, TESTS_PER_PASS = 24, 6000
 
 
 def law_discovery(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Every x op y = z among the columns that holds on the rows given.
 
-    A large table is tested in two passes with the same outcome as one: a law may miss at most
-    1 % of all rows, so a test that already misses more than that on a hash slice of the rows is
-    ruled out for certain, and only the rest is counted over the whole table.
+    Tests are made in two passes with the same outcome as one: a law may miss at most 1 % of all
+    rows, so a test that already misses more than that on a hash slice of the rows is ruled out for
+    certain, and only the rest is counted over the whole table.
     """
-    cols = list(columns)[:MAX_COLUMNS]
+    cols = list(columns)
     tests = [(i, j, k, o) for i, j, k in itertools.permutations(range(len(cols)), 3)
              for o, op in enumerate(OPS) if i < j or op in ("subtraction", "division")]
     if not tests:
         return _law_rows(df, cols, [])
     n = df.count()
-    if n > PRUNE_FROM:
-        part = df.where(F.pmod(F.xxhash64(*[col(c) for c in cols]), F.lit(SLICES)) == 0)
-        misses = _law_counts(part, cols, tests).where(
+    part = df.where(F.pmod(F.xxhash64(*[col(c) for c in cols]), F.lit(SLICES)) == 0)
+    left = []
+    for start in range(0, len(tests), TESTS_PER_PASS):
+        some = tests[start:start + TESTS_PER_PASS]
+        misses = _law_counts(part, cols, some).where(
             F.col("n") - F.col("h") > n * (1 - CONFIDENCE)).select("q").collect()
         gone = {r.q for r in misses}
-        tests = [t for q, t in enumerate(tests) if q not in gone]
-    return _law_rows(df, cols, tests)
+        left += [t for q, t in enumerate(some) if q not in gone]
+    out = _law_rows(df, cols, left[:TESTS_PER_PASS])
+    for start in range(TESTS_PER_PASS, len(left), TESTS_PER_PASS):
+        out = out.unionByName(_law_rows(df, cols, left[start:start + TESTS_PER_PASS]))
+    return out
 
 
 def _law_counts(df: DataFrame, cols: Sequence[str], tests) -> DataFrame:

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.pipeline import Pipeline
 from pyspark.ml.regression import GBTRegressor
@@ -203,35 +203,48 @@ def classification_metrics(df: DataFrame, label: str, probability: str,
 
 # Scoring ------------------------------------------------------------------------------------
 
-def _mapped(df, mapping, kind, as_of, keep):
-    """Model inputs plus the kept columns as one struct, so names cannot clash."""
-    held = df.withColumn("_keep", F.struct(*[col(k) for k in keep]))
-    return apply_mapping(held, mapping, kind, as_of, ("_keep",))
+def _mapped(df, mapping, kind, as_of, keep, categories=()):
+    """Model inputs plus the kept columns as one struct, so names cannot clash; and the table's own
+    categories, which the mapping to numbers leaves out."""
+    given = [(c, mapping.get(c) or c) for c in categories if (mapping.get(c) or c) in df.columns]
+    held = df.withColumns({"_keep": F.struct(*[col(k) for k in keep]), "_given": F.struct(
+        F.lit(0).alias("none"), *[col(src).cast("string").alias(c) for c, src in given])})
+    return apply_mapping(held, mapping, kind, as_of, ("_keep", "_given")), {c for c, _ in given}
+
+
+def _category(trained: Trained, name: str, given: set[str]):
+    """A category as given; where it is missing, the one with code 0."""
+    zero = ""
+    for stage in trained.model.stages:
+        if isinstance(stage, StringIndexerModel) and name in stage.getInputCols():
+            zero = next(iter(stage.labelsArray[stage.getInputCols().index(name)]), "")
+    return F.coalesce(F.col("_given")[name], F.lit(zero)) if name in given else F.lit(zero)
 
 
 def score_revenue(df: DataFrame, mapping: dict, trained: Trained, as_of: datetime.date,
                   keep: tuple[str, ...] = ()) -> DataFrame:
     """Map, pad and predict every row in one lazy plan; ``keep`` columns come along."""
-    mapped = _mapped(df, mapping, "revenue", as_of, keep)
+    cats = [c for c in ("product_category", "customer_region", "payment_method")
+            if c in trained.features]
+    mapped, given = _mapped(df, mapping, "revenue", as_of, keep, cats)
     padded = pad_revenue_features(mapped, trained.features, as_of)
-    for c in ("product_category", "customer_region", "payment_method"):
-        if c in trained.features:
-            padded = padded.withColumn(c, F.lit(""))
+    padded = padded.withColumns({c: _category(trained, c, given) for c in cats}) if cats else padded
     return trained.model.transform(padded).select("_keep.*", "prediction")
 
 
 def score_churn(df: DataFrame, mapping: dict, trained: Trained, as_of: datetime.date,
                 keep: tuple[str, ...] = ()) -> DataFrame:
-    mapped = _mapped(df, mapping, "churn", as_of, keep)
     cats = [c for c in ("customer_segment", "preferred_region") if c in trained.features]
+    mapped, given = _mapped(df, mapping, "churn", as_of, keep, cats)
     padded = pad_zero_features(mapped, [f for f in trained.features if f not in cats])
-    padded = padded.withColumns({**{c: F.lit("") for c in cats}, "weight": F.lit(1.0)})
+    padded = padded.withColumns({**{c: _category(trained, c, given) for c in cats},
+                                 "weight": F.lit(1.0)})
     return churn_probability(trained.model.transform(padded)).select("_keep.*", "churn_prob")
 
 
 def score_growth(df: DataFrame, mapping: dict, trained: Trained, as_of: datetime.date,
                  keep: tuple[str, ...] = ()) -> DataFrame:
-    mapped = _mapped(df, mapping, "growth", as_of, keep)
+    mapped, _given = _mapped(df, mapping, "growth", as_of, keep)
     padded = pad_zero_features(mapped, trained.features)
     return trained.model.transform(padded).select("_keep.*", "prediction")
 

@@ -105,8 +105,31 @@ def average_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def spearman(df: DataFrame, columns: list[str]) -> dict:
-    """Rank correlation of all pairs on rows where every column is known."""
-    full = df.select(*[col(c).cast("double").alias(c) for c in columns]).dropna()
+    """Rank correlation of each pair of columns on the rows where both are known.
+
+    Pairs of columns that are known on the same rows share their ranks: columns are grouped by the
+    rows they are missing on, and a pair from two groups gets ranks of its own.
+    """
+    full = df.select(*[F.nanvl(col(c).cast("double"), F.lit(None).cast("double")).alias(c)
+                       for c in columns])
+    row = full.agg(*[F.bit_xor(F.when(F.col(f"`{c}`").isNull(), F.xxhash64(*[
+        F.col(f"`{x}`") for x in columns]))).alias(f"x{k}") for k, c in enumerate(columns)],
+        *[F.count_if(F.col(f"`{c}`").isNull()).alias(f"n{k}") for k, c in enumerate(columns)]).first()
+    gaps = {c: (row[f"n{k}"], row[f"x{k}"]) for k, c in enumerate(columns)}
+    out = {}
+    for gap in dict.fromkeys(gaps.values()):
+        own = [c for c in columns if gaps[c] == gap]
+        if len(own) > 1:
+            out.update(_spearman_known(full.select(*[col(c) for c in own]), own))
+    for a, b in itertools.combinations(columns, 2):
+        if gaps[a] != gaps[b]:
+            out.update(_spearman_known(full.select(col(a), col(b)), [a, b]))
+    return out
+
+
+def _spearman_known(df: DataFrame, columns: list[str]) -> dict:
+    """All pairs of columns that are missing on the same rows, or one pair."""
+    full = df.dropna()
     ranks = checkpointed(average_ranks(full, columns))
     out = full
     for k, c in enumerate(columns):

@@ -52,10 +52,11 @@ def semantic_search(chunks: DataFrame, questions: DataFrame, n: int = 5,
     """Exact cosine search: (question_id, chunk_id, relevance, rank) of the best ``n`` per question.
 
     ``chunks`` has chunk_id, embedding and, when questions name one, category; ``questions`` has
-    question_id, embedding and optionally category.  Questions go to the tasks in batches of a
+    question_id, embedding and optionally category; rows without an embedding take no part.  Questions go to the tasks in batches of a
     fixed size; each Arrow batch of chunks is one matrix product and keeps its best ``n`` per
     question, so the shuffle carries candidates, never all pairs.
     """
+    chunks, questions = (t.where(col("embedding").isNotNull()) for t in (chunks, questions))
     total = questions.count()
     batches = max(1, -(-total // QUESTIONS_PER_BATCH))
     bucket = F.pmod(F.xxhash64("question_id"), F.lit(batches))
@@ -148,14 +149,18 @@ def parse_evidence_tags(answers: DataFrame, key: str, text: str, title: str) ->
         col(key), "bullet", "b.text", "b.tag")
 
 
-def dataset_text_profile(df: DataFrame, name: str, order: list[str]) -> DataFrame:
-    """A dataset as searchable text: topics, shape, number ranges, top values, first rows."""
+def dataset_text_profile(df: DataFrame, name: str, order: list[str], max_columns: int = 20,
+                         max_numeric: int = 8, max_text: int = 3, sample_rows: int = 10) -> DataFrame:
+    """A dataset as searchable text: topics, shape, number ranges, top values, first rows.
+
+    It is a summary for people: so many columns, numeric and text columns and rows are shown.
+    """
     names = df.columns
     low = " ".join(c.lower() for c in names)
     topics = [t for t, ws in TOPIC_WORDS.items() if any(w in low for w in ws)]
     num = [c for c, t in df.dtypes if t.split("(")[0] in
-           ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")][:8]
-    txt = [c for c, t in df.dtypes if t == "string"][:3]
+           ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")][:max_numeric]
+    txt = [c for c, t in df.dtypes if t == "string"][:max_text]
     two = lambda c: F.format_string("%.2f", c.cast("double"))
     aggs = [F.format_number(F.count(F.lit(1)), 0).alias("n")]
     for k, c in enumerate(num):
@@ -169,7 +174,7 @@ def dataset_text_profile(df: DataFrame, name: str, order: list[str]) -> DataFram
             F.struct((-F.col("k")).alias("o"), "v", "k"))),
             lambda x: F.concat(x["v"], F.lit("("), x["k"].cast("string"), F.lit(")"))), ", ").alias("s"))
         one = one.withColumn(f"t{k}", F.concat(F.lit(f"TOP {c}: "), line.scalar()))
-    head = df.orderBy(*[col(c) for c in order]).limit(10).select(
+    head = df.orderBy(*[col(c) for c in order]).limit(sample_rows).select(
         F.concat_ws(" | ", *[F.coalesce(col(c).cast("string"), F.lit("")) for c in names]).alias("r"),
         F.struct(*[col(c).alias(f"k{j}") for j, c in enumerate(order)]).alias("o"))
     sample = head.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "r"))),
@@ -179,11 +184,11 @@ def dataset_text_profile(df: DataFrame, name: str, order: list[str]) -> DataFram
                    + (", ".join(topics) if topics else "general business activity") + "."),
              F.lit("Topics: " + ("; ".join(topics) if topics else "general business data") + "."),
              F.concat(F.lit("Shape: "), F.col("n"), F.lit(f" rows x {len(names)} columns")),
-             F.lit("Columns: " + ", ".join(names[:20])), F.lit("")]
+             F.lit("Columns: " + ", ".join(names[:max_columns])), F.lit("")]
     if num:
         lines += [F.lit("NUMERIC SUMMARY:"), *[F.col(f"m{k}") for k in range(len(num))], F.lit("")]
     lines += [F.col(f"t{k}") for k in range(len(txt))]
-    lines += [F.lit(""), F.lit("SAMPLE (first 10 rows):"), sample.scalar()]
+    lines += [F.lit(""), F.lit(f"SAMPLE (first {sample_rows} rows):"), sample.scalar()]
     return one.select(F.lit(name).alias("source"), F.concat_ws("\n", *lines).alias("text"))
 
 

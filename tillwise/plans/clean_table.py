@@ -52,8 +52,8 @@ def clean_table(raw: DataFrame, as_of: datetime.date, row_id: str | None = None,
     numeric = L.eligible_columns(df if fit is None else df.where(fit), plan.numeric, target, plan.ids)
     laws: list[L.Law] = []
     if len(numeric) >= 3:
-        sample = L.law_sample(df if fit is None else df.where(fit), numeric)
-        laws = L.kept_laws(L.law_resolution(L.law_discovery(checkpointed(sample), numeric)))
+        known = df if fit is None else df.where(fit)
+        laws = L.kept_laws(L.law_resolution(L.law_discovery(known, numeric)))
     df = L.relational_impute(df, laws, plan.integers, target)
     report += [("law", f"{w.base_a} {L.SIGN[w.op]} {w.base_b} = {w.derived}", w.confidence) for w in laws]
     df, errors = L.custom_rule_impute(df, rules or {})

@@ -44,8 +44,8 @@ def _in(words):
     return ", ".join("'" + w + "'" for w in words)
 
 
-def _profile(i):
-    return Y.decide_types(Y.type_profile(i.sql(RAW)))
+def _profile(i, columns):
+    return Y.decide_types(Y.type_profile(i.sql(RAW).select(*columns)))
 
 
 def _per_column(cols, body):
@@ -67,7 +67,7 @@ SELECT '$C' AS column_name, COUNT(*) FILTER (real) AS n_checked,
 FROM (SELECT $C IS NOT NULL AND lower(trim($C)) NOT IN ({_in(DATE_PLACEHOLDERS)}) AS real,
              {DUCK_DATE} AS dt FROM raw)"""))
 def _(i):
-    return _profile(i).where(F.col("column_name").isin(RAW_TEXT)).select(
+    return _profile(i, RAW_TEXT).select(
         "column_name", "n_checked", "n_dates",
         (F.col("detected_type") == "date").alias("is_date"))
 
@@ -77,8 +77,7 @@ def _(i):
 SELECT '$C' AS column_name, COUNT($C) AS n_values, COUNT(num) AS n_numbers,
   COUNT(num) >= 0.8 * COUNT($C) AS is_numeric FROM (SELECT $C, {DUCK_NUM} AS num FROM raw)"""))
 def _(i):
-    return _profile(i).where(F.col("column_name").isin(
-        "maybe_day", "amount_txt", "mixed_txt", "is_gift", "flag01", "class_txt")).select(
+    return _profile(i, ["maybe_day", "amount_txt", "mixed_txt", "is_gift", "flag01", "class_txt"]).select(
         "column_name", "n_values", "n_numbers",
         (F.col("detected_type") == "numeric").alias("is_numeric"))
 
@@ -90,7 +89,7 @@ SELECT '$C' AS column_name, COUNT(*) FILTER (regexp_matches(b, '^-?(\\d{1,3}\\.)
     > COUNT(*) FILTER (regexp_matches(b, '^-?(\\d{1,3},)*\\d{1,3}\\.\\d+$')) AS is_european
 FROM (SELECT regexp_replace(trim($C), '[$€£¥₹\\s]', '', 'g') AS b FROM raw)"""))
 def _(i):
-    return _profile(i).where(F.col("column_name").isin("amount_txt", "eu_txt", "mixed_txt")).select(
+    return _profile(i, ["amount_txt", "eu_txt", "mixed_txt"]).select(
         "column_name", "n_eu", "n_us", "is_european")
 
 
@@ -100,7 +99,7 @@ SELECT '$C' AS column_name, COUNT($C) AS n_values,
   COUNT(*) FILTER (lower(trim($C)) IN ('true','yes','1','صح','نعم','false','no','0','غلط','لا'))
     = COUNT($C) AS is_boolean FROM raw"""))
 def _(i):
-    return _profile(i).where(F.col("column_name").isin("is_gift", "class_txt", "maybe_day")).select(
+    return _profile(i, ["is_gift", "class_txt", "maybe_day"]).select(
         "column_name", "n_values", "n_bool",
         (F.col("detected_type") == "boolean").alias("is_boolean"))
 
@@ -111,7 +110,7 @@ SELECT '$C' AS column_name, COUNT(*) FILTER ($C BETWEEN 19000101 AND 21001231) A
     try_strptime(CAST(CAST($C AS BIGINT) AS VARCHAR), '%Y%m%d') IS NOT NULL) AS n_ymd,
   COUNT(*) FILTER ($C BETWEEN 19000101 AND 21001231) >= 0.8 * COUNT($C) AS is_ymd FROM raw"""))
 def _(i):
-    return _profile(i).where(F.col("column_name").isin("ymd_day", "whole_dbl", "frac_dbl")).select(
+    return _profile(i, ["ymd_day", "whole_dbl", "frac_dbl"]).select(
         "column_name", "n_ymd_range", "n_ymd", "is_ymd")
 
 
@@ -119,7 +118,7 @@ def _(i):
 SELECT '$C' AS column_name, COUNT(*) FILTER ($C = floor($C)) AS n_whole,
   bool_and($C = floor($C)) AS is_integer FROM raw"""))
 def _(i):
-    return _profile(i).where(F.col("column_name").isin("whole_dbl", "frac_dbl")).select(
+    return _profile(i, ["whole_dbl", "frac_dbl"]).select(
         "column_name", "n_whole", "is_integer")
 
 
@@ -512,8 +511,8 @@ def _(i):
 SELECT 'p_type' AS column_name, COUNT(DISTINCT p_type) AS unique_values, 10 + 3 AS score FROM part
 UNION ALL SELECT 'p_brand', COUNT(DISTINCT p_brand), 10 FROM part""")
 def _(i):
-    return X.group_column_scores(i.table("part"), ["p_name", "p_brand", "p_type"]).where(
-        "column_name != 'p_name'").select("column_name", "unique_values", "score")
+    return X.group_column_scores(i.table("part"), ["p_name", "p_brand", "p_type"]).select(
+        "column_name", "unique_values", "score")
 
 
 LAG_SQL = f"""

@@ -86,13 +86,13 @@ def with_views(sql: str) -> str:
 class Inputs:
     """Tables and views of one data folder."""
 
-    _cache: dict[tuple[int, str, str], DataFrame] = {}
+    _cache: dict[tuple[str, str, str], DataFrame] = {}
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        key = (id(self.spark), self.dir, name)
+        key = (self.spark.sparkContext.applicationId, self.dir, name)
         df = self._cache.get(key)
         if df is None or df.sparkSession.sparkContext._jsc is None:
             df = self.spark.read.parquet(f"{self.dir}/{name}.parquet")

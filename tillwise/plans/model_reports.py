@@ -182,7 +182,7 @@ def _(i):
     by = ("customer_region",)
     m = A.trainer_monthly_lags(A.monthly_growth_features(
         A.monthly_growth_table(i.view("sales"), by), by), by).na.fill(0.0)
-    return X.forecast_growth_recursive(m, trained.model, by, horizon=3, max_steps=3)
+    return X.forecast_growth_recursive(m, trained.model, by)
 
 
 # Scored tables ------------------------------------------------------------------------------

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,23 +32,32 @@ EVAL_SCHEMA = (
     f"prophet_model struct<MAPE_pct:double>")
 
 
-def csv_charset(spark: SparkSession, path: str) -> str:
-    """UTF-8 when every line of every file is valid, else Latin-1; checked in parallel."""
-    ok = spark.read.text(path).agg(F.bool_and(F.is_valid_utf8("value"))).first()[0]
-    return "UTF-8" if ok in (None, True) else "ISO-8859-1"
+def latin_files(spark: SparkSession, path: str) -> list[str]:
+    """Files with a line that is not valid UTF-8; lines are checked in parallel."""
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("f"),
+                                        F.is_valid_utf8("value").alias("ok"))
+    return sorted(r["f"] for r in rows.where(~F.col("ok")).select("f").distinct().collect())
 
 
 def read_csv_encoded(spark: SparkSession, path: str, schema=None, encoding: str | None = None
                      ) -> DataFrame:
-    """CSV with header in whichever of the known encodings fits.
+    """CSV with header; each file is UTF-8 if all its lines are, else Latin-1.
 
     Give a schema for large input; without one, types are inferred by an extra pass.
     """
-    r = spark.read.option("header", True).option(
-        "encoding", encoding or csv_charset(spark, path))
-    df = r.schema(schema).csv(path) if schema else r.option("inferSchema", True).csv(path)
-    first = df.columns[0]
-    return df.withColumnRenamed(first, first.lstrip("﻿"))
+    def read(files, charset):
+        r = spark.read.option("header", True).option("encoding", charset)
+        df = r.schema(schema).csv(files) if schema else r.option("inferSchema", True).csv(files)
+        first = df.columns[0]
+        return df.withColumnRenamed(first, first.lstrip("\ufeff"))
+
+    latin = [] if encoding else latin_files(spark, path)
+    if not latin:
+        return read(path, encoding or "UTF-8")
+    every = spark.read.text(path).select(F.col("_metadata.file_path").alias("f")).distinct().collect()
+    plain = sorted({r["f"] for r in every} - set(latin))
+    out = read([unquote(f) for f in latin], "ISO-8859-1")
+    return read([unquote(f) for f in plain], "UTF-8").unionByName(out) if plain else out
 
 
 def read_documents(spark: SparkSession, path: str, category: str = "general") -> DataFrame:
