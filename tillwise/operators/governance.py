@@ -62,6 +62,11 @@ def _facts() -> dict[str, Column]:
 
 def eval_warnings(runs: DataFrame) -> DataFrame:
     """Statistically implausible numbers of each run, in plain words."""
+    return _with_warnings(runs).select("run_id", "warnings")
+
+
+def _with_warnings(runs: DataFrame) -> DataFrame:
+    """The runs with their facts and a ``warnings`` column, in one projection."""
     r = runs.withColumns(_facts())
     have = lambda m: F.col(m).isNotNull()
     lo, hi = F.array_min("_fc"), F.array_max("_fc")
@@ -114,7 +119,7 @@ def eval_warnings(runs: DataFrame) -> DataFrame:
             "high MAPE is expected (small orders inflate the metric). Combined with a healthy R² of "
             "{}, the model is fitting well in absolute terms -- treat MAE and sMAPE as the primary "
             "error metrics, not MAPE.", fixed(mape, 1), fixed(r2, 3), fixed(r2, 3))))
-    return r.select("run_id", messages.alias("warnings"))
+    return r.withColumn("warnings", messages)
 
 
 def _pick(*branches, default):
@@ -224,7 +229,7 @@ def model_confidence(runs: DataFrame) -> DataFrame:
 
     Only a high-confidence labelling without rate warnings can lift churn's "low".
     """
-    r = runs.join(eval_warnings(runs), "run_id").withColumns(_facts())
+    r = _with_warnings(runs)
     leak = F.contains(F.lower(F.array_join("warnings", " ")), F.lit("leakage"))
     rep = "strategy", "confidence", "definition", "suitable_for", "not_suitable_for"
     lab = f"{CHURN}.labelling"
@@ -344,8 +349,7 @@ def _provenance(report: str, labelling: bool) -> Column:
     f = lambda n: F.col(f"{report}.{n}")
     line = lambda label, n: F.when(f(n).isNotNull(), F.concat(F.lit(f"- {label}: "), f(n).cast("string")))
     num = lambda label, n: F.when(f(n).isNotNull(), F.concat(F.lit(f"- {label}: "), grouped(f(n))))
-    lines = [F.lit("DATA QUALITY CONTEXT (the LLM should use these EXACT terms when describing how "
-                   "the metric was computed):"),
+    lines = [F.lit("Data behind this metric:"),
              F.when(f("strategy").isNotNull() | f("confidence").isNotNull(), say(
                  "- Strategy: {}  (data confidence: {})", _shown(f"{report}.strategy", "None"),
                  _shown(f"{report}.confidence", "None"))),

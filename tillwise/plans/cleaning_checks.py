@@ -627,9 +627,18 @@ def _(i):
     return s.select(b.alias("before"), a.alias("after"))
 
 
-@query("clean_table")
-def _(i):
+def _clean_run(i):
     from tillwise.plans.clean_table import clean_table
 
     raw = i.sql(RAW).withColumn("line", F.trim("order_id").cast("long"))
-    return clean_table(raw, AS_OF, row_id="line").report
+    return clean_table(raw, AS_OF, row_id="line")
+
+
+@query("clean_table")
+def _(i):
+    return _clean_run(i).data
+
+
+@query("clean_table_report")
+def _(i):
+    return _clean_run(i).report

@@ -14,6 +14,7 @@ from tillwise.operators import retrieval as V
 from tillwise.plans.inputs import rounded
 from tillwise.plans.profile_reports import _tenant_sql, _tenants
 from tillwise.plans.registry import query
+from tillwise.plans.text_reports import CHUNKS
 from tillwise.sources.tables import EVAL_SCHEMA, latest_eval_run, read_eval_runs
 
 RUNS = """
@@ -160,8 +161,7 @@ def _(i):
 
 
 @query("format_model_facts", f"""
-SELECT run_id, 'churn' AS model, CASE WHEN lab_conf IS NOT NULL THEN 'DATA QUALITY CONTEXT (the LLM should use these EXACT terms when '
-  || E'describing how the metric was computed):\\n- Strategy: acceptable  (data confidence: ' || lab_conf || E')\\n- Definition: Report of run ' || run_id
+SELECT run_id, 'churn' AS model, CASE WHEN lab_conf IS NOT NULL THEN E'Data behind this metric:\\n- Strategy: acceptable  (data confidence: ' || lab_conf || E')\\n- Definition: Report of run ' || run_id
   || '. Second line. Third.' || CASE WHEN k % 2 = 0 THEN E'\\n- SUITABLE FOR: Totals; Trends' ELSE '' END
   || CASE WHEN k % 3 = 0 THEN E'\\n- NOT SUITABLE FOR: Single orders' ELSE '' END || E'\\n\\n' ELSE '' END
   || E'CUSTOMER CHURN MODEL (classification):\\n- Dataset churn rate: ' || churn_rate || E'%\\n- ROC-AUC: ' || auc
@@ -172,12 +172,11 @@ def _(i):
 
 
 @query("ingest_kpi_snapshot", f"""
+WITH {CHUNKS.strip()}
 SELECT 'run ' || run_id AS source, 'ml_results' AS category, COUNT(*) AS chunks FROM ({RUNS}) GROUP BY 1
-UNION ALL SELECT source, lang, COUNT(*) FROM (SELECT * FROM documents WHERE length(text) > 30 AND
-  len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) BETWEEN 5 AND 350) GROUP BY ALL""")
+UNION ALL SELECT source, lang, COUNT(*) FROM ch GROUP BY ALL""")
 def _(i):
-    docs = i.table("documents").where(
-        (F.length("text") > 30) & (F.size(F.filter(F.split("text", r"\s+"), lambda x: x != "")).between(5, 350)))
+    docs = i.table("documents")
     old = V.ingest_documents(docs.select("source", F.col("lang").alias("category"), "text"), "2001-01-01 00:00:00")
     text = V.snapshot_text(runs(i), "2001-12-31").withColumn(
         "label", F.concat(F.lit("run "), "run_id"))

@@ -246,8 +246,7 @@ def _(i):
 
 # Calibration --------------------------------------------------------------------------------
 
-PAIRS = f"""(SELECT predicted::DOUBLE AS prediction, actual FROM (SELECT * FROM ({PRED}) ORDER BY md5(CAST(o_orderkey AS VARCHAR)), o_orderkey LIMIT 5000)
-  WHERE predicted IS NOT NULL)"""
+PAIRS = f"""(SELECT predicted::DOUBLE AS prediction, actual FROM ({PRED}) WHERE predicted IS NOT NULL)"""
 
 
 @query("collect_calibration_pairs", f"SELECT * FROM {PAIRS}")
