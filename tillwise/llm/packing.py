@@ -15,6 +15,8 @@ A null or empty text has only the end token.  Repeated rows and ids are document
 
 from __future__ import annotations
 
+import itertools
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +31,11 @@ from tillwise.llm.staging import Scratch
 
 DIMENSIONS, BITS = 4, 15
 HASHED = 1 << 12
-MOST_KNOWN = 1_000_000
+#: Pre-tokens a task keeps the ids of, and those it asks the library for at once.
+MOST_KNOWN, AT_ONCE = 600_000, 2_000
+SLICE_BYTES = 2 << 20
+#: Bytes of ids in a batch of pieces.
+BATCH_BYTES = 8 << 20
 _DIRECTIONS = np.random.RandomState(15).normal(size=(HASHED, DIMENSIONS))
 
 TOKENS = "doc_id long, row long, key long, ids binary, doc_tokens long"
@@ -41,6 +47,7 @@ class Encoder:
     """Token ids of texts by the tokenizers library, asked once for each distinct pre-token."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.scheme, self.library = Scheme(path), Tokenizer.from_file(path)
@@ -48,14 +55,18 @@ class Encoder:
 
     def _clear(self) -> None:
         self.known: dict[int, int] = {}
-        self.flat, self.first = [np.zeros(0, np.uint32)], [0]
+        self.flat, self.first = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def _learn(self, keys: list[int], texts: list[str]) -> None:
-        found = [e.ids for e in self.library.encode_batch(texts, add_special_tokens=False)]
-        self.flat.append(np.fromiter((i for ids in found for i in ids), np.uint32))
-        for key, ids in zip(keys, found):
-            self.known[key] = len(self.first) - 1
-            self.first.append(self.first[-1] + len(ids))
+        self.known.update(zip(keys, range(len(self.first) - 1, len(self.first) - 1 + len(keys))))
+        flat, sizes = [self.flat], []
+        for at in range(0, len(texts), AT_ONCE):
+            found = [e.ids for e in self.library.encode_batch_fast(texts[at:at + AT_ONCE],
+                                                                   add_special_tokens=False)]
+            sizes += map(len, found)
+            flat.append(np.array(list(itertools.chain.from_iterable(found)), np.uint32))
+        self.first = np.r_[self.first, self.first[-1] + np.cumsum(sizes, dtype=np.int64)]
+        self.flat = np.concatenate(flat)
 
     def __call__(self, texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
         """Ids of each text, and the sum of its pre-tokens' directions."""
@@ -69,8 +80,7 @@ class Encoder:
             new = range(len(keys))
         if new:
             self._learn([keys[k] for k in new], [pieces.text(at[k]) for k in new])
-        flat, first = np.concatenate(self.flat), np.array(self.first)
-        self.flat = [flat]
+        flat, first = self.flat, self.first
         entry = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))[back]
         size = first[entry + 1] - first[entry]
         done = np.r_[0, np.cumsum(size)]
@@ -133,7 +143,7 @@ def tokenized(docs: DataFrame, path: str, end: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, row = Encoder(path), TaskContext.get().partitionId() << 33
-        for batch in slices(batches):
+        for batch in slices(batches, size=SLICE_BYTES):
             ids, sums = encode([t or "" for t in batch.column("text").to_pylist()])
             ids = [np.r_[i, np.uint32(end)].astype(kind) for i in ids]
             n = len(ids)
@@ -208,12 +218,16 @@ def pack(docs: DataFrame, path: str, scratch: Scratch, size: int = 1024, end: in
             columns = list(zip(*pieces)) or [[]] * len(names)
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
+        out, held = [], 0
         for batch in batches:
-            out = []
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids")):
-                out += packer.add(doc_id, np.frombuffer(ids.as_py(), kind).astype("<u4").tobytes())
-            yield rows(out)
-        yield rows(packer.finish())
+                raw = np.frombuffer(ids.as_buffer(), kind).astype("<u4").tobytes()
+                out += packer.add(doc_id, raw)
+                held += len(raw)
+                if held >= BATCH_BYTES:
+                    yield rows(out)
+                    out, held = [], 0
+        yield rows(out + packer.finish())
 
     return (tokens.repartitionByRange("key", "doc_id", "row")
             .sortWithinPartitions("key", "doc_id", "row")

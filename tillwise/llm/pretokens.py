@@ -1,7 +1,7 @@
 """Pre-tokens of texts as spans over one array of code points.
 
-Code points are put into four classes (white space, letters, numbers, others) by a table made from
-the Unicode categories, and pieces are runs of one class with the tokenizers' exceptions:
+Code points are put into four classes (white space, letters, numbers, others) by a table made once in
+a process, and pieces are runs of one class with the tokenizers' exceptions:
 contractions after an apostrophe, and a space that belongs to the piece behind it.
 """
 
@@ -26,10 +26,9 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 @functools.cache
 def classes() -> np.ndarray:
-    table = np.full(0x110000, OTHER, np.uint8)
-    kind = {"L": LETTER, "N": NUMBER}
-    for c in range(0x110000):
-        table[c] = kind.get(unicodedata.category(chr(c))[0], OTHER)
+    points = np.arange(0x110000, dtype=np.uint32).view("U1")
+    letter, number = np.char.isalpha(points), np.char.isnumeric(points)
+    table = np.where(letter, LETTER, np.where(number, NUMBER, OTHER)).astype(np.uint8)
     table[[ord(c) for c in WHITE]] = SPACE
     return table
 
@@ -40,7 +39,8 @@ class Pieces:
     def __init__(self, texts: list[str], joined_space: bool):
         """``joined_space``: numbers are runs, white space is kept, and one space joins the piece
         behind it; without it, every digit is a piece and white space is dropped."""
-        self.points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+        self.joined = "".join(texts)
+        self.points = np.frombuffer(self.joined.encode("utf-32-le"), np.uint32)
         self.offsets = np.r_[0, np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))]
         n = len(self.points)
         kind = classes()[self.points]
@@ -85,7 +85,7 @@ class Pieces:
             begin[behind[behind < n]] = True
 
     def text(self, k: int) -> str:
-        return self.points[self.start[k]:self.end[k]].tobytes().decode("utf-32-le")
+        return self.joined[self.start[k]:self.end[k]]
 
 
 class Scheme:
