@@ -1,10 +1,11 @@
 """Personal data in texts: expressions propose spans, checksums confirm them, context scores them.
 
 Base kinds (email, ip, card, phone) are found leftmost and without overlap per kind; spans that
-fail their check are dropped and not tried again.  One more kind is added by the same method: ``iban``,
-confirmed by mod-97.  A span's score starts from its kind and rises where one of the kind's context words stands within
-``CONTEXT`` code points; added kinds need a score of at least ``least_score``, base spans always
-stay.  Offsets are code points, ends exclusive.
+fail their check are dropped and not tried again.  One more kind is added by the same method:
+``iban``, confirmed by mod-97.  A span's score starts from its kind and rises where one of the
+kind's context words stands within ``CONTEXT`` code points; added kinds need a score of at least
+``least_score`` and may not overlap base spans, and base spans always stay.  Offsets are code
+points, ends exclusive.
 
 Every expression is read in time linear in the text: local parts of addresses are found backwards
 from the "@", digit runs are entered only at their first digit, and repeats are possessive.

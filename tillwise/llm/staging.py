@@ -6,8 +6,11 @@ drop their scratch folder when nothing reads it any more.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 from tillwise.session import checkpoint_folder
@@ -26,6 +29,7 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.folder = f"{checkpoint_folder(spark).rstrip('/')}/tillwise-{uuid.uuid4().hex}"
+        atexit.register(self._drop_at_exit)
 
     def table(self, df: DataFrame, name: str, **options: str) -> DataFrame:
         """``df`` written as Parquet and read again."""
@@ -41,6 +45,11 @@ class Scratch:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}".rstrip("/"))
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def _drop_at_exit(self) -> None:
+        """Results are read from here while the program runs; nothing stays behind it."""
+        with contextlib.suppress(Py4JError, OSError):
+            self.drop()
+
 
 def estimated_rows(df: DataFrame, most: int) -> int:
     """Rows of a table, counted no further than ``most`` + 1: a check before a broadcast."""
