@@ -93,9 +93,9 @@ def _scan(i, kind, **kw):
 for _kind, _src, _cond in (("leads", LEADS, "active"), ("orders", ORDERS, "state IN ('sale', 'done')"),
                            ("invoices", INVOICES, "state = 'posted' AND move_type IN ('out_invoice', 'out_refund')"),
                            ("partners", PARTNERS, "active AND customer_rank > 0")):
-    @query(f"erp_scan_{_kind}", f"SELECT id, name, create_date, write_date FROM ({_src}) WHERE {_cond}")
+    @query(f"erp_scan_{_kind}", f"SELECT * FROM ({_src}) WHERE {_cond}")
     def _(i, kind=_kind):
-        return _scan(i, kind).select("id", "name", "create_date", "write_date")
+        return _scan(i, kind)
 
 
 @query("erp_incremental_since", f"""

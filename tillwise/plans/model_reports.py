@@ -308,23 +308,28 @@ def _(i):
 
 # Forecasts ----------------------------------------------------------------------------------
 
-def _seasonal_sql(dev, value):
+def _seasonal_sql(dev, value, fitted):
     return with_views(f"""
 WITH s AS (SELECT category, CAST(date_trunc('month', order_date) AS DATE) AS m, CAST(SUM(amount) AS DOUBLE) AS y FROM tx GROUP BY ALL),
 t AS (SELECT *, CAST((year(m) - 2000) * 12 + month(m) AS DOUBLE) AS t FROM s),
 l AS (SELECT category, regr_slope(y, t) AS b, regr_intercept(y, t) AS a, MAX(m) AS last FROM t GROUP BY 1 HAVING COUNT(*) >= 6),
 e AS (SELECT category, month(m) AS cal, AVG({dev}) AS eff FROM t JOIN l USING (category) GROUP BY ALL),
-h AS (SELECT category, a, b, CAST(last + to_months(CAST(k AS INT)) AS DATE) AS dt FROM l, range(1, 13) r(k))
-SELECT category, strftime(dt, '%Y-%m') AS month, ROUND({value}, 1) AS predicted_revenue
+d AS (SELECT t.category, stddev_pop(y - ({fitted})) AS sd FROM t JOIN l ON t.category = l.category
+  JOIN e ON e.category = t.category AND e.cal = month(t.m) GROUP BY 1),
+h AS (SELECT category, a, b, sd, CAST(last + to_months(CAST(k AS INT)) AS DATE) AS dt FROM l JOIN d USING (category), range(1, 13) r(k))
+SELECT category, strftime(dt, '%Y-%m') AS month, ROUND({value}, 1) AS predicted_revenue,
+  ROUND({value} - 1.2815515655446004 * sd, 0) AS lower_80, ROUND({value} + 1.2815515655446004 * sd, 0) AS upper_80
 FROM (SELECT h.*, a + b * ((year(dt) - 2000) * 12 + month(dt)) AS tr, eff FROM h JOIN e ON h.category = e.category AND month(dt) = e.cal)""")
 
 
-for _mode, _dev, _val in (("additive", "y - (a + b * t)", "tr + eff"), ("multiplicative", "y / (a + b * t)", "tr * eff")):
-    @query("forecast_seasonal" + ("" if _mode == "additive" else "_multiplicative"), _seasonal_sql(_dev, _val))
+for _mode, _dev, _val, _fit in (("additive", "y - (a + b * t)", "tr + eff", "a + b * t + eff"),
+                                ("multiplicative", "y / (a + b * t)", "tr * eff", "(a + b * t) * eff")):
+    @query("forecast_seasonal" + ("" if _mode == "additive" else "_multiplicative"), _seasonal_sql(_dev, _val, _fit))
     def _(i, mode=_mode):
         m = A.monthly_aggregate(i.view("tx"), "order_date", "amount", ("category",))
         return X.forecast_seasonal(m, ("category",), mode=mode).select(
-            "category", "month", F.round("predicted_revenue", 1).alias("predicted_revenue"))
+            "category", "month", F.round("predicted_revenue", 1).alias("predicted_revenue"),
+            F.round("lower_80", 0).alias("lower_80"), F.round("upper_80", 0).alias("upper_80"))
 
 
 @query("seasonal_holdout", with_views("""
@@ -335,12 +340,12 @@ l AS (SELECT category, regr_slope(y, t) AS b, regr_intercept(y, t) AS a, MAX(m)
 e AS (SELECT category, month(m) AS cal, AVG(y / (a + b * t)) AS eff FROM t JOIN l USING (category) WHERE back > 3 GROUP BY ALL),
 p AS (SELECT t.category, y, (a + b * t.t) * eff AS p FROM t JOIN l ON t.category = l.category
   JOIN e ON e.category = t.category AND e.cal = month(t.m) WHERE back <= 3 AND t.m <= last + INTERVAL 3 MONTH)
-SELECT category, ROUND(sqrt(AVG((y - p) * (y - p))), 0) AS rmse, ROUND(AVG(ABS((y - p) / y)) * 100, 3) AS mape_pct, COUNT(*) AS n_rows
+SELECT category, ROUND(sqrt(AVG((y - p) * (y - p))), 0) AS rmse, ROUND(AVG(ABS(y - p)), 0) AS mae, ROUND(AVG(ABS((y - p) / y)) * 100, 3) AS mape_pct, COUNT(*) AS n_rows
 FROM p GROUP BY category"""))
 def _(i):
     m = A.monthly_aggregate(i.view("tx"), "order_date", "amount", ("category",))
     got = L.regression_metrics(X.seasonal_holdout(m, ("category",)), "actual", "predicted_revenue", ("category",))
-    return got.select("category", F.round("rmse", 0).alias("rmse"), F.round("mape_pct", 3).alias("mape_pct"), "n_rows")
+    return got.select("category", F.round("rmse", 0).alias("rmse"), F.round("mae", 0).alias("mae"), F.round("mape_pct", 3).alias("mape_pct"), "n_rows")
 
 
 @query("growth_actual_series", with_views("""
