@@ -127,3 +127,8 @@ def table_literal(rows: Iterable[tuple], schema: str) -> Column:
     names = [part.split()[0] for part in schema.split(",")]
     data = json.dumps([dict(zip(names, r)) for r in rows], ensure_ascii=False)
     return F.from_json(F.lit(data), f"array<struct<{','.join(':'.join(p.split()) for p in schema.split(','))}>>")
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often ``body`` names it."""
+    return F.transform(F.array(value), body)[0]

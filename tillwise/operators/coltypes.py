@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillwise.functions.exprs import col, edge_pattern, lookup, ratio
+from tillwise.functions.exprs import col, edge_pattern, let, lookup, ratio
 from tillwise.functions.vocab import (
     CASE_WORDS, DATE_PLACEHOLDERS, FALSE_WORDS, ID_WORDS, NUMBER_WORDS, TRUE_WORDS,
 )
@@ -27,14 +27,18 @@ MONTHS = ["JANUARY", "FEBRUARY", "MARCH", "APRIL", "MAY", "JUNE", "JULY", "AUGUS
 MONTH_NUMBERS = {**{m: k + 1 for k, m in enumerate(MONTHS)}, **{m[:3]: k + 1 for k, m in enumerate(MONTHS)},
                  "SEPT": 9}
 NAME = r"(JAN|FEB|MAR|APR|MAY|JUN|JUL|AUG|SEP|OCT|NOV|DEC)[A-Z]*"
-YEAR_FIRST = r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})$"
-EIGHT_DIGITS = r"^(\d{4})(\d{2})(\d{2})$"
-MONTH_FIRST = r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4}|\d{2})$"
-DAY_NAME = r"^(\d{1,2})(?:ST|ND|RD|TH)?[- ]?([A-Z]{3,9})[.,]?[- ](\d{4}|\d{2})$"
-NAME_DAY = r"^([A-Z]{3,9})\.?[- ](\d{1,2})(?:ST|ND|RD|TH)?,?[- ](\d{4})$"
-TIME = r"[T ]+(\d{1,2}):(\d{1,2})(?::(\d{1,2}(?:\.\d+)?)?)? ?(AM|PM)? ?(Z|UTC|[+-]\d{1,2}:?\d{2})?$"
+# Rewritten one after the other to year-month-day behind a mark, so no text is rewritten twice
+DATE_FORMS = [
+    (r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})$", "=$1-$2-$3"),
+    (r"^(\d{4})(\d{2})(\d{2})$", "=$1-$2-$3"),
+    (r"^(1[3-9]|[23]\d)[-/.](\d{1,2})[-/.](\d{4}|\d{2})$", "=$3-$2-$1"),
+    (r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4}|\d{2})$", "=$3-$1-$2"),
+    (r"^(\d{1,2})(?:ST|ND|RD|TH)?[- ]?([A-Z]{3,9})[.,]?[- ](\d{4}|\d{2})$", "=$3-$2-$1"),
+    (r"^([A-Z]{3,9})\.?[- ](\d{1,2})(?:ST|ND|RD|TH)?,?[- ](\d{4})$", "=$3-$1-$2"),
+    # two-digit years from 69 are of the 20th century (fixed value)
+    (r"^=([0-5]\d|6[0-8])-", "=20$1-"), (r"^=(69|[7-9]\d)-", "=19$1-")]
+TIME = r"[T ]+(\d{1,2}):(\d{1,2})(:\d{1,2}(?:\.\d+)?)? ?(AM|PM)? ?(Z|UTC|[+-]\d{1,2}:?\d{2})?$"
 ANY_DATE = rf"^(\d{{1,4}}[-/.]\d|\d{{8}}($|[T ])|\d{{1,2}}(ST|ND|RD|TH)?[- ]?{NAME}|{NAME}\.?[- ]\d)"
-CENTURY_FROM = 69   # two-digit years from here are of the 20th century (fixed value)
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
 
 
@@ -49,37 +53,33 @@ def parse_date(c) -> Column:
     year-month-day first, so one cast reads them all.  Letters count in either case, because text
     columns are lower-cased before dates are looked for again.
     """
+    def named(day):
+        return let(F.regexp_extract(day, r"-([A-Z]{3,9})-", 1), lambda name: F.when(name == "", day).otherwise(
+            F.replace(day, name, F.coalesce(lookup(name, MONTH_NUMBERS).cast("string"), F.lit("?")))))
+
+    def rewritten(text):
+        day = F.regexp_replace(text, TIME, "")
+        for form, order in DATE_FORMS:
+            day = F.regexp_replace(day, form, order)
+        return let(day, lambda d: F.when(F.startswith(d, F.lit("=")), named(F.substring(d, 2, 20))))
+
+    def clock(text):
+        half = F.regexp_extract(text, TIME, 4)
+        time = F.regexp_replace(text, ".*?" + TIME, "$1:$2$3")
+        hour = F.substring_index(time, ":", 1).try_cast("int") % 12 + F.when(half == "PM", 12).otherwise(0)
+        return F.when(half == "", time).otherwise(
+            F.regexp_replace(time, F.lit(r"^\d+"), hour.cast("string")))
+
+    def at_time(text):
+        zone = F.regexp_replace(F.regexp_extract(text, TIME, 5), r"^([+-]\d{1,2}):?(\d{2})$", "$1:$2")
+        stamp = F.concat(rewritten(text), F.lit(" "), clock(text), F.replace(zone, F.lit("UTC"), F.lit("Z")))
+        return let(F.when(text.rlike(TIME), stamp), lambda s: F.when(
+            s.rlike(r":\S*(Z|[+-]\d{1,2}:\d{2})$"), F.convert_timezone(
+                F.current_timezone(), F.lit("UTC"), s.try_cast("timestamp").cast("timestamp_ntz")))
+            .otherwise(s.try_cast("timestamp_ntz")))
+
     t = F.upper(F.trim(col(c)))
-    timed = F.contains(t, F.lit(":"))
-    day = F.when(timed, F.regexp_replace(t, TIME, "")).otherwise(t)
-    part = lambda shape, k: F.regexp_extract(day, shape, k)
-    two = lambda x: F.lpad(x, 2, "0")
-    year = lambda x: F.when(F.length(x) == 4, x).otherwise(
-        F.concat(F.when(x.try_cast("int") >= CENTURY_FROM, "19").otherwise("20"), x))
-    join = lambda y, m, d: F.concat_ws("-", y, two(m), two(d))
-    name = lambda x: lookup(x, MONTH_NUMBERS).cast("string")
-    swap = part(MONTH_FIRST, 1).try_cast("int") > 12
-    written = (
-        F.when(day.rlike(YEAR_FIRST), join(*[part(YEAR_FIRST, k) for k in (1, 2, 3)]))
-        .when(day.rlike(EIGHT_DIGITS), join(*[part(EIGHT_DIGITS, k) for k in (1, 2, 3)]))
-        .when(day.rlike(MONTH_FIRST), join(
-            year(part(MONTH_FIRST, 3)), F.when(swap, part(MONTH_FIRST, 2)).otherwise(part(MONTH_FIRST, 1)),
-            F.when(swap, part(MONTH_FIRST, 1)).otherwise(part(MONTH_FIRST, 2))))
-        .when(day.rlike(DAY_NAME), F.concat_ws("-", year(part(DAY_NAME, 3)), F.coalesce(
-            two(name(part(DAY_NAME, 2))), F.lit("?")), two(part(DAY_NAME, 1))))
-        .when(day.rlike(NAME_DAY), F.concat_ws("-", part(NAME_DAY, 3), F.coalesce(
-            two(name(part(NAME_DAY, 1))), F.lit("?")), two(part(NAME_DAY, 2)))))
-    at = lambda k: F.regexp_extract(t, TIME, k)
-    hour = F.when(at(4) == "", at(1)).otherwise(
-        (at(1).try_cast("int") % 12 + F.when(at(4) == "PM", 12).otherwise(0)).cast("string"))
-    second = F.when(at(3) == "", "00").otherwise(at(3))
-    stamp = F.concat(written, F.lit(" "), two(hour), F.lit(":"), two(at(2)), F.lit(":"),
-                     F.when(F.length(second) == 1, F.concat(F.lit("0"), second)).otherwise(second))
-    zone = F.regexp_replace(F.replace(at(5), F.lit("UTC"), F.lit("Z")), r"^([+-]\d{1,2}):?(\d{2})$", "$1:$2")
-    zoned = F.convert_timezone(F.current_timezone(), F.lit("UTC"),
-                               F.concat(stamp, zone).try_cast("timestamp").cast("timestamp_ntz"))
-    read = F.when(~timed, written.try_cast("timestamp_ntz")).when(
-        t.rlike(TIME), F.when(at(5) == "", stamp.try_cast("timestamp_ntz")).otherwise(zoned))
+    read = F.when(F.contains(t, F.lit(":")), at_time(t)).otherwise(rewritten(t).try_cast("timestamp_ntz"))
     return F.when(t.rlike(ANY_DATE), read)
 
 
