@@ -62,9 +62,21 @@ def byte_grams(words: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield at, window_hashes(_LETTER[words.data], at, k)
 
 
+def added(total: tuple[np.ndarray, np.ndarray], seen: list) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of values so far, with those of some more values."""
+    if not seen:
+        return total
+    h, c = np.unique(np.concatenate(seen), return_counts=True)
+    h, c = np.concatenate([total[0], h]), np.concatenate([total[1], c])
+    order = np.argsort(h, kind="stable")
+    h, c = h[order], c[order]
+    first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else h.astype(np.int64)
+    return h[first], np.add.reduceat(c, first) if len(h) else c
+
+
 def gram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-gram hashes of the texts and the number of texts with each."""
-    seen = []
+    total, seen = (np.zeros(0, np.uint64), np.zeros(0, np.int64)), []
     for first in range(0, len(texts), 200):
         words = prepared(texts[first:first + 200])
         row = np.repeat(np.arange(words.rows), np.diff(words.offsets)).astype(np.uint64)
@@ -73,7 +85,9 @@ def gram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             h, r = h[order], row[at][order]
             new = np.r_[True, (h[1:] != h[:-1]) | (r[1:] != r[:-1])] if len(h) else np.zeros(0, bool)
             seen.append(h[new])
-    return np.unique(np.concatenate(seen or [np.zeros(0, np.uint64)]), return_counts=True)
+        if len(seen) > 20:
+            total, seen = added(total, seen), []
+    return added(total, seen)
 
 
 def marked_words(toxic: list[str], ordinary: list[str], least_z: float = 5.0,
@@ -207,6 +221,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, longest: int
     share = counts.get(True, 0) / total if total else 0.5
     rows = labelled(docs, labels, per_class, longest).select("text", "is_toxic").collect()
     texts = {kind: [r["text"] for r in rows if r["is_toxic"] == kind] for kind in (True, False)}
+    del rows
     if min(map(len, texts.values())) < 2:
         return Model(b"", b"", None, share)
     train, hold = ({kind: t[k::2] for kind, t in texts.items()} for k in (0, 1))
