@@ -35,6 +35,7 @@ SIZE = 13
 ROWS = 2
 BLOCK_CELLS = 1 << 20
 FLUSH = 4_000_000
+SLICE_BYTES = 2 << 20
 #: Bytes a word takes with its separator, to size the sketch.
 WORD_BYTES = 6
 #: Removed stretches are broadcast up to this many bytes; beyond it the texts are shuffled.
@@ -99,7 +100,7 @@ def partition_sketches(docs: DataFrame, cells: int) -> DataFrame:
                 [pa.array(block.astype(np.int32)), pa.array(part[0], pa.binary()),
                  pa.array(part[1], pa.binary())], schema=schema)
 
-        for batch in slices(batches):
+        for batch in slices(batches, size=SLICE_BYTES):
             words = Words(batch.column("text"))
             at = words.windows(SIZE)
             if len(at):
@@ -115,7 +116,7 @@ def partition_sketches(docs: DataFrame, cells: int) -> DataFrame:
 
 
 def merged_sketch(sketches: DataFrame) -> DataFrame:
-    """``block, bits``: cells that count two or more over all partitions.
+    """``block, often``: cells that count two or more over all partitions, packed.
 
     Blocks arrive together and in order, and each is merged as a stream of two bit sets.
     """
@@ -125,7 +126,7 @@ def merged_sketch(sketches: DataFrame) -> DataFrame:
 
         def row() -> pa.RecordBatch:
             return pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()),
-                                               "bits": [np.packbits(twice).tobytes()]})
+                                               "often": [packed(np.flatnonzero(twice))]})
 
         for batch in batches:
             for b, o, t in zip(*[c.to_pylist() for c in batch.columns]):
@@ -141,17 +142,30 @@ def merged_sketch(sketches: DataFrame) -> DataFrame:
             yield row()
 
     return (sketches.repartition("block").sortWithinPartitions("block")
-            .mapInArrow(run, "block int, bits binary"))
+            .mapInArrow(run, "block int, often binary"))
+
+
+def sketch_bits(blocks: dict[int, bytes], cells: int) -> np.ndarray:
+    """The sketch as bits."""
+    bits = np.zeros(cells // 8, np.uint8)
+    for block, content in blocks.items():
+        at = block * (BLOCK_CELLS // 8)
+        bits[at:at + BLOCK_CELLS // 8] = np.packbits(unpacked(content))
+    return bits
 
 
 def estimated_repeats(docs: DataFrame, sketch: np.ndarray, cells: int) -> DataFrame:
-    """``h, h2, doc, tag, pos`` of each window whose cells all count two or more."""
+    """``h, x, doc, tag`` of each window whose cells all count two or more.
+
+    ``x`` holds the second hash in its low half and the window's place in the high half, so what is
+    random in a row stands together and the rest of it compresses away.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
-    kinds = {"h": pa.int64(), "h2": pa.int32(), "doc": pa.int64(), "tag": pa.int32(), "pos": pa.int32()}
+    kinds = {"h": pa.int64(), "x": pa.int64(), "doc": pa.int64(), "tag": pa.int32()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
-        for batch in slices(batches):
+        for batch in slices(batches, size=SLICE_BYTES):
             words = Words(batch.column("text"))
             at = words.windows(SIZE)
             h = window_hashes(words.hash, at, SIZE)
@@ -159,17 +173,15 @@ def estimated_repeats(docs: DataFrame, sketch: np.ndarray, cells: int) -> DataFr
             for cell in cells_of(h, cells):
                 often &= (bits[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 > 0
             at, h = at[often], h[often]
-            second = window_hashes(words.hash, at, SIZE, 1)
+            second = window_hashes(words.hash, at, SIZE, 1) >> np.uint64(32)
             row = words.row[at]
-            doc = batch.column("doc").to_numpy()[row]
-            tag = batch.column("tag").to_numpy()[row]
-            pos = at - words.first[row]
-            columns = [h.view(np.int64), (second >> np.uint64(32)).astype(np.uint32).view(np.int32),
-                       doc, tag, pos.astype(np.int32)]
+            place = (at - words.first[row]).astype(np.uint64) << np.uint64(32)
+            columns = [h.view(np.int64), (place | second).view(np.int64),
+                       batch.column("doc").to_numpy()[row], batch.column("tag").to_numpy()[row]]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(columns, kinds.values())], list(kinds))
 
-    return keyed(docs).mapInArrow(run, "h long, h2 int, doc long, tag int, pos int")
+    return keyed(docs).mapInArrow(run, "h long, x long, doc long, tag int")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -181,14 +193,17 @@ def keyed(docs: DataFrame) -> DataFrame:
 def repeated_stretches(docs: DataFrame, scratch: Scratch, most_cells: int) -> DataFrame:
     """``doc, tag, stretches``: starts and ends, in words, of what repeats a smaller id."""
     cells = sketch_cells(docs, most_cells)
-    sketch = np.zeros(cells // 8, np.uint8)  # bounded by most_cells
-    for r in scratch.table(merged_sketch(partition_sketches(docs, cells)), "sketch").collect():
-        sketch[r["block"] * (BLOCK_CELLS // 8):(r["block"] + 1) * (BLOCK_CELLS // 8)] = \
-            np.frombuffer(bytes(r["bits"]), np.uint8)
+    sketch = scratch.table(merged_sketch(partition_sketches(docs, cells)), "sketch")
+    blocks = {r["block"]: bytes(r["often"]) for r in sketch.collect()}  # bounded by most_cells
+    windows = estimated_repeats(docs, sketch_bits(blocks, cells), cells)
+    del blocks
     scratch.drop("sketch")
-    windows = estimated_repeats(docs, sketch, cells)
-    first = windows.groupBy("h", "h2").agg(F.min("doc").alias("first"))
-    found = windows.join(first, ["h", "h2"]).where("doc > first")
+    second = F.col("x").bitwiseAND(0xFFFFFFFF)
+    first = windows.groupBy(F.col("h").alias("g"), second.alias("g2")).agg(
+        F.min("doc").alias("first"))
+    found = (windows.join(first, (F.col("h") == F.col("g")) & (second == F.col("g2")))
+             .where("doc > first")
+             .select("doc", "tag", F.shiftright("x", 32).cast("int").alias("pos")))
 
     def join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -244,7 +259,7 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, most_cells: int = 1 << 31)
         ("kept_text", T.StringType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, size=SLICE_BYTES):
             words = Words(batch.column("text"))
             kept, gone = kept_texts(words, batch.column("stretches").to_pylist())
             doc = batch.column("doc").to_numpy()
