@@ -1,20 +1,27 @@
-"""Interpolated modified Kneser-Ney bigram model: counted in Spark, kept as sorted hash arrays,
-memory-mapped by the tasks that score.
-
-Counting.  Runs of tokens of each task are counted as (context, token) pairs and sent in packed
-arrays to parts by hash of the context; contexts that a small sample shows to be frequent are spread
-by token too, so a part is bounded whatever the words' frequencies.  Parts merge their pairs and
-write a sorted array of pair hashes with counts to the shared folder.  What contexts and tokens need
-(total and kinds of followers, kinds of contexts before) is summed by token in a second exchange,
-and written as arrays sorted by token hash.  Nothing is pruned.
-
-Scoring.  Tasks map the arrays, look up the pairs of a slice of texts in sorted order, and combine
-
-    p(w | u) = (c(u, w) - D(c)) / c(u) + g(u) * q(w),
-    q(w) = (k(w) - D'(k)) / K + g' / (V + 1)
-
-with k the distinct contexts of w and K their sum, the usual three discounts from the counts of
-counts, and g the mass they free; an unseen context leaves q, an unseen token its uniform share.
+"""Interpolated modified Kneser-Ney n-gram model of order two or three: counted in Spark, kept as
+sorted hash arrays, memory-mapped by the tasks that score.
+
+Counting.  Runs of tokens of each task are counted as (left, context, token) triples, context being
+the word before the token and left the word before that (order three only), and sent in packed arrays
+to parts by hash of the context; contexts that a small sample shows to be frequent are spread by token
+too, so a part is bounded whatever the words' frequencies.  With every left word of a pair in one part,
+its number of kinds is known there.  Parts merge their triples and write sorted arrays of hashes with
+counts to the shared folder: pairs, and triples for order three.  What tokens and the contexts of
+triples need is written as sorted arrays too; tokens and contexts whose followers are spread are summed
+by hash in a second exchange.  Order three is
+counted in ``PASSES`` passes over the texts, each for its share of the parts, so that the exchanges do
+not lie on the disks at once.  Nothing is pruned.
+
+Scoring.  Tasks map the arrays, look up the grams of a slice of texts in sorted order, and combine
+
+    p(w | t, u) = (c(t, u, w) - D3(c)) / c(t, u) + g3(t, u) * p(w | u),
+    p(w | u) = (k(u, w) - D2(k)) / k(u) + g2(u) * q(w),
+    q(w) = (k(w) - D1(k)) / K + g1 / (V + 1)
+
+with k the distinct words before a gram and k(u), K their sums, the usual three discounts of each order
+from the counts of counts, and g the mass they free; an unseen context leaves the order below, an unseen
+token its uniform share.  Pairs that begin a text have no word before them and keep their counts, as do
+all pairs in a model of order two, which stops at p(w | u).
 
 Tokens are lower-cased words by 64-bit hash and one end token for each text.  Null and empty texts
 have the end token only; with nothing to learn from, every token has probability 1 / (V + 1) = 1.
@@ -36,15 +43,18 @@ from tillwise.llm.arrays import Words, mix, slices
 from tillwise.llm.shared_files import mapped, put
 from tillwise.llm.staging import Scratch
 
-BEGIN, END = np.uint64(2), np.uint64(1)
+#: The mark before a text, the end token, and what stands before the mark.
+BEGIN, END, NONE = np.uint64(2), np.uint64(1), np.uint64(0)
 FLUSH = 2_000_000
 PART_BYTES = 16 << 20
+PASSES = 4
 #: A context with at least this share of a sample of the texts is spread over the parts.
 HOT_SHARE, SAMPLE = 0.002, 0.02
 
-PAIRS = "part long, context binary, followers binary, token binary, count binary"
-PARTIAL = ("part long, token binary, total binary, n1 binary, n2 binary, n3 binary, before binary, "
-           "kinds array<long>")
+GRAMS = ("part long, context binary, followers binary, token binary, lefts binary, left binary, "
+         "count binary")
+PARTIAL = ("level int, part long, token binary, total binary, n1 binary, n2 binary, n3 binary, "
+           "before binary, occurs binary, kinds array<long>")
 TOKENS = "tokens long, total long, before array<long>"
 
 
@@ -57,10 +67,12 @@ class Model:
     hot: np.ndarray
     discounts: np.ndarray
     token_discounts: np.ndarray
+    triple_discounts: np.ndarray
     train_tokens: int
     vocabulary: int
     contexts: int
     token_mass: float
+    order: int
 
 
 def token_pairs(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -75,13 +87,24 @@ def token_pairs(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return context, token, np.repeat(np.arange(words.rows), words.count + 1)
 
 
+def lefts_of(context: np.ndarray) -> np.ndarray:
+    """The word before each context word: the last position's context, nothing before the mark."""
+    left = np.r_[NONE, context[:-1]][:len(context)]
+    return np.where(context == BEGIN, NONE, left)
+
+
+def is_hot(context: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    if not len(hot):
+        return np.zeros(len(context), bool)
+    return hot[np.minimum(np.searchsorted(hot, context), len(hot) - 1)] == context
+
+
 def part_of(context: np.ndarray, token: np.ndarray, hot: np.ndarray, bits: int) -> np.ndarray:
     if not bits:
         return np.zeros(len(context), np.int64)
     by = mix(context)
     if len(hot):
-        near = np.minimum(np.searchsorted(hot, context), len(hot) - 1)
-        by = np.where(hot[near] == context, mix(context * np.uint64(3) + token), by)
+        by = np.where(is_hot(context, hot), mix(context * np.uint64(3) + token), by)
     return (by >> np.uint64(64 - bits)).astype(np.int64)
 
 
@@ -89,6 +112,11 @@ def pair_keys(context: np.ndarray, token: np.ndarray) -> np.ndarray:
     return mix(mix(context) * np.uint64(0xD6E8FEB86659FD93) + token)
 
 
+def token_keys(token: np.ndarray) -> np.ndarray:
+    """Spread the two marks too, whose own bits would fall together; other bits than a part's."""
+    return mix(token + np.uint64(1))
+
+
 def runs(*keys: np.ndarray) -> np.ndarray:
     """Where a new run of equal keys begins, for sorted keys."""
     if not len(keys[0]):
@@ -119,43 +147,51 @@ def hot_contexts(docs: DataFrame) -> np.ndarray:
     return np.sort(np.array([r["token"] for r in top.collect()], np.int64).view(np.uint64))
 
 
-def counted_pairs(docs: DataFrame, hot: np.ndarray, bits: int) -> DataFrame:
-    """Packed pair counts of runs of tokens, one row for each part."""
+def counted_grams(docs: DataFrame, hot: np.ndarray, bits: int, order: int, turn: int,
+                  turns: int) -> DataFrame:
+    """Packed counts of runs of tokens, one row for each part whose turn it is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def flush() -> pa.RecordBatch:
-            context, token = (np.concatenate(x) for x in zip(*held))
-            part = part_of(context, token, hot, bits)
-            order = np.lexsort((token, context, part))
-            context, token, part = context[order], token[order], part[order]
-            first = runs(part, context, token)
+            part, context, token, left = (np.concatenate(x) for x in zip(*held))
+            at = np.lexsort((left, token, context, part))
+            part, context, token, left = part[at], context[at], token[at], left[at]
+            first = runs(part, context, token, left)
             count = np.diff(np.r_[first, len(token)]).astype(np.uint32)
-            context, token, part = context[first], token[first], part[first]
+            part, context, token, left = part[first], context[first], token[first], left[first]
             cut = runs(part)
             rows = []
             for i, j in zip(cut, np.r_[cut[1:], len(part)]):
-                begin = runs(context[i:j])
-                rows.append((int(part[i]), context[i:j][begin].tobytes(),
-                             np.diff(np.r_[begin, j - i]).astype(np.uint32).tobytes(),
-                             token[i:j].tobytes(), count[i:j].tobytes()))
-            kinds = [pa.int64(), *[pa.binary()] * 4]
+                pair = runs(context[i:j], token[i:j])
+                begin = runs(context[i:j][pair])
+                lefts = np.diff(np.r_[pair, j - i]).astype(np.uint32).tobytes() if order > 2 else b""
+                rows.append((int(part[i]), context[i:j][pair][begin].tobytes(),
+                             np.diff(np.r_[begin, len(pair)]).astype(np.uint32).tobytes(),
+                             token[i:j][pair].tobytes(), lefts,
+                             left[i:j].tobytes() if order > 2 else b"", count[i:j].tobytes()))
+            kinds = [pa.int64(), *[pa.binary()] * 6]
             return pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(zip(*rows), kinds)],
-                ["part", "context", "followers", "token", "count"])
+                ["part", "context", "followers", "token", "lefts", "left", "count"])
 
         for batch in slices(batches):
             context, token, _row = token_pairs(Words(batch.column("text"), lower=True))
-            held.append((context, token))
-            size += len(token)
+            left = lefts_of(context) if order > 2 else np.zeros(len(context), np.uint64)
+            grams = part_of(context, token, hot, bits), context, token, left
+            if turns > 1:
+                mine = grams[0] % turns == turn
+                grams = tuple(g[mine] for g in grams)
+            held.append(grams)
+            size += len(grams[0])
             if size >= FLUSH:
                 yield flush()
                 held, size = [], 0
         if size:
             yield flush()
 
-    return docs.select("text").mapInArrow(run, PAIRS)
+    return docs.select("text").mapInArrow(run, GRAMS)
 
 
 def stacked(column: pa.ChunkedArray, kind) -> np.ndarray:
@@ -163,30 +199,34 @@ def stacked(column: pa.ChunkedArray, kind) -> np.ndarray:
 
 
 def bucket_bits(n: int) -> int:
-    return max(1, (max(n, 1) // 4).bit_length())
+    return max(1, (max(n, 1) // 8).bit_length())
 
 
-def packed_pairs(key: np.ndarray, count: np.ndarray) -> bytes:
-    """Sorted pair hashes: bucket ends by their top bits, then the next 32 bits, then counts."""
-    bits = bucket_bits(len(key))
+def packed_counts(key: np.ndarray, *counts: np.ndarray) -> bytes:
+    """Hashes, sorted here: bucket ends by their top bits, then the next 32 bits, then counts."""
+    at = np.argsort(key)
+    key, bits = key[at], bucket_bits(len(key))
     ends = np.searchsorted(key >> np.uint64(64 - bits), np.arange(1 << bits), side="right")
     low = (key << np.uint64(bits) >> np.uint64(32)).astype(np.uint32)
-    small = np.minimum(count, 255).astype(np.uint8)
-    large = np.flatnonzero(count >= 255)
-    head = np.array([len(key), bits, len(large), 0], np.uint64)
-    return b"".join(x.tobytes() for x in (
-        head, large.astype(np.uint64), count[large].astype(np.uint64), ends.astype(np.uint32), low, small))
+    large, small = [], []
+    for count in counts:
+        count = count[at]
+        small.append(np.minimum(count, 255).astype(np.uint8))
+        over = np.flatnonzero(count >= 255)
+        large += [over.astype(np.uint64), count[over].astype(np.uint64)]
+    head = np.array([len(key), bits, len(counts), *[len(x) for x in large[::2]]], np.uint64)
+    return b"".join(x.tobytes() for x in (head, *large, ends.astype(np.uint32), low, *small))
 
 
-class PairFile:
-    """Lookups in a mapped array of pairs."""
+class CountFile:
+    """Lookups in a mapped array of hashes with counts."""
 
     def __init__(self, raw: np.ndarray):
         self.n = 0
         if not len(raw):
             return
-        self.n, self.bits, large, _ = (int(x) for x in raw[:32].view(np.uint64))
-        at = 32
+        self.n, self.bits, columns = (int(x) for x in raw[:24].view(np.uint64))
+        at = 24
 
         def take(n: int, kind) -> np.ndarray:
             nonlocal at
@@ -194,14 +234,15 @@ class PairFile:
             part, at = raw[at:at + size].view(kind), at + size
             return part
 
-        self.large, self.counts = take(large, np.uint64), take(large, np.uint64)
+        self.large = [(take(int(n), np.uint64), take(int(n), np.uint64)) for n in take(columns, np.uint64)]
         self.ends = take(1 << self.bits, np.uint32)
-        self.low, self.small = take(self.n, np.uint32), take(self.n, np.uint8)
+        self.low = take(self.n, np.uint32)
+        self.small = [take(self.n, np.uint8) for _ in range(columns)]
 
-    def counts_of(self, key: np.ndarray) -> np.ndarray:
-        """Counts of ascending pair hashes, 0 where there is none."""
+    def counts_of(self, key: np.ndarray, columns: int = 1) -> list[np.ndarray]:
+        """Counts of ascending hashes, 0 where there is none."""
         if not self.n:
-            return np.zeros(len(key))
+            return [np.zeros(len(key))] * columns
         bucket = (key >> np.uint64(64 - self.bits)).astype(np.int64)
         want = (key << np.uint64(self.bits) >> np.uint64(32)).astype(np.uint32)
         high = self.ends[bucket].astype(np.int64)
@@ -213,86 +254,116 @@ class PairFile:
             low, high = np.where(less, middle + 1, low), np.where(open_ & ~less, middle, high)
         at = np.minimum(low, self.n - 1)
         found = (low < last) & (self.low[at] == want)
-        out = np.where(found, self.small[at], 0).astype(np.float64)
+        return [self._column(k, at, found) for k in range(columns)]
+
+    def _column(self, k: int, at: np.ndarray, found: np.ndarray) -> np.ndarray:
+        out = np.where(found, self.small[k][at], 0).astype(np.float64)
         big = np.flatnonzero(out == 255)
         if len(big):
-            out[big] = self.counts[np.searchsorted(self.large, at[big].astype(np.uint64))]
+            place, counts = self.large[k]
+            out[big] = counts[np.searchsorted(place, at[big].astype(np.uint64))]
         return out
 
 
-def merge_pairs(table: pa.Table, folder: str, bits: int) -> pa.Table:
-    """Write one part's pairs; return what it knows about contexts and tokens, by token part."""
+def kinds_of(count: np.ndarray) -> list[int]:
+    return [int((count == k).sum()) for k in (1, 2, 3, 4)] + [len(count)]
+
+
+def follower_sums(count: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """Of each context: the sum of its counts, and how many are one, two, and more."""
+    return [summed(x.astype(np.uint64), first) for x in (count, count == 1, count == 2, count >= 3)]
+
+
+def context_sums(key: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    order = np.argsort(key)
+    first = runs(key[order])
+    return key[order][first], follower_sums(count[order], first)
+
+
+def merge_grams(table: pa.Table, folder: str, bits: int, hot: np.ndarray, order: int) -> pa.Table:
+    """Write one part's grams; return what it knows about contexts and tokens, by their parts."""
     part = table.column("part")[0].as_py()
     context = np.repeat(stacked(table.column("context"), np.uint64),
                         stacked(table.column("followers"), np.uint32))
     token, count = stacked(table.column("token"), np.uint64), stacked(table.column("count"), np.uint32)
-    order = np.lexsort((token, context))
-    context, token, count = context[order], token[order], count[order].astype(np.uint64)
-    first = runs(context, token)
-    context, token, count = context[first], token[first], summed(count, first)
-    key = pair_keys(context, token)
-    order = np.argsort(key)
-    put(folder, f"pairs-{part}.bin", packed_pairs(key[order], count[order]))
-    kinds = [int((count == k).sum()) for k in (1, 2, 3, 4)] + [len(count)]
+    rows = []
+    if order > 2:
+        lefts, left = stacked(table.column("lefts"), np.uint32), stacked(table.column("left"), np.uint64)
+        context, token = np.repeat(context, lefts), np.repeat(token, lefts)
+        at = np.lexsort((left, token, context))
+        context, token, left, count = context[at], token[at], left[at], count[at]
+        first = runs(context, token, left)
+        count = summed(count.astype(np.uint64), first)
+        context, token, left = context[first], token[first], left[first]
+        real = left != NONE
+        above, kinds = pair_keys(left[real], context[real]), kinds_of(count[real])
+        put(folder, f"triples-{part}.bin", packed_counts(pair_keys(above, token[real]), count[real]))
+        spread = is_hot(context[real], hot)
+        key, sums = context_sums(above[~spread], count[real][~spread])  # all their followers are here
+        once = sums[0] == 1  # most of them, and nothing else to tell
+        put(folder, f"once-{part}.bin", packed_counts(key[once], sums[0][once]))
+        put(folder, f"contexts-{part}.bin", packed_counts(key[~once], *[x[~once] for x in sums]))
+        rows += packed_sums(2, *context_sums(above[spread], count[real][spread]), bits)
+        first = runs(context, token)
+        occurs = summed(count, first)
+        context, token = context[first], token[first]
+        # all that stands before a pair is here; before the mark there is nothing to tell apart
+        count = np.where(context == BEGIN, occurs, np.diff(np.r_[first, len(left)]).astype(np.uint64))
+    else:
+        at = np.lexsort((token, context))
+        context, token, count = context[at], token[at], count[at].astype(np.uint64)
+        first = runs(context, token)
+        context, token, count = context[first], token[first], summed(count, first)
+        occurs, kinds = count, [0] * 5
+    put(folder, f"pairs-{part}.bin", packed_counts(pair_keys(context, token), count))
+    kinds = kinds_of(count) + kinds
     begin = runs(context)
-    sums = [summed(x.astype(np.uint64), begin)
-            for x in (count, count == 1, count == 2, count >= 3)]
-    kind, before = np.unique(token, return_counts=True)
+    kind, of, before = np.unique(token, return_inverse=True, return_counts=True)
     every = np.union1d(context[begin], kind)
-    columns = [np.zeros(len(every), np.uint64) for _ in range(5)]
+    columns = [np.zeros(len(every), np.uint64) for _ in range(6)]
     at = np.searchsorted(every, context[begin])
-    for column, values in zip(columns, sums):
+    for column, values in zip(columns, follower_sums(count, begin)):
         column[at] = values
-    columns[4][np.searchsorted(every, kind)] = before
-    to = part_of(every, every, every[:0], bits)
+    at = np.searchsorted(every, kind)
+    columns[4][at] = before
+    np.add.at(columns[5], at[of], occurs)
+    rows += packed_sums(1, every, columns, bits)
+    types = [pa.int32(), pa.int64(), *[pa.binary()] * 7, pa.list_(pa.int64())]
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*[
+        (*row, kinds if n == 0 else [0] * 10) for n, row in enumerate(rows)]), types)],
+        names=["level", "part", "token", "total", "n1", "n2", "n3", "before", "occurs", "kinds"])
+
+
+def packed_sums(level: int, key: np.ndarray, columns: list[np.ndarray], bits: int) -> list[tuple]:
+    """Rows of ``PARTIAL`` but for the kinds, one for each part that the keys belong to."""
+    to = part_of(key, key, key[:0], bits)
     order = np.argsort(to, kind="stable")
     cut = runs(to[order])
-    rows = [(int(to[order[i]]), every[order[i:j]].tobytes(),
-             *[c[order[i:j]].astype(np.uint64 if k == 0 else np.uint32).tobytes()
-               for k, c in enumerate(columns)], kinds if n == 0 else [0] * 5)
-            for n, (i, j) in enumerate(zip(cut, np.r_[cut[1:], len(every)]))]
-    types = [pa.int64(), *[pa.binary()] * 6, pa.list_(pa.int64())]
-    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), types)],
-                    names=["part", "token", "total", "n1", "n2", "n3", "before", "kinds"])
+    pack = lambda k, c: c.astype(np.uint64 if k in (0, 5) else np.uint32).tobytes()
+    return [(level, int(to[order[i]]), key[order[i:j]].tobytes(),
+             *[pack(k, c[order[i:j]]) for k, c in enumerate(columns)], *[b""] * (6 - len(columns)))
+            for i, j in zip(cut, np.r_[cut[1:], len(key)])]
 
 
-def merge_tokens(table: pa.Table, folder: str, discounts: np.ndarray) -> pa.Table:
-    """Write one part's tokens: hash, count as a context, freed mass, distinct contexts."""
-    part = table.column("part")[0].as_py()
-    token = stacked(table.column("token"), np.uint64)
-    order = np.argsort(token)
-    first = runs(token[order])
-    total, n1, n2, n3, before = (
-        summed(stacked(table.column(c), np.uint64 if c == "total" else np.uint32)[order]
-               .astype(np.uint64), first) for c in ("total", "n1", "n2", "n3", "before"))
-    token = token[order][first]
-    freed = (discounts[0] * n1 + discounts[1] * n2 + discounts[2] * n3) / np.maximum(total, 1)
-    head = np.array([len(token)], np.uint64)
-    put(folder, f"tokens-{part}.bin", b"".join(x.tobytes() for x in (
-        head, token, total, before.astype(np.uint64), freed.astype(np.float64))))
-    real = token != BEGIN
-    kinds = [int((before == k).sum()) for k in (1, 2, 3, 4)] + [int(before.sum())]
-    # every token but the end is a context as often as it occurs, and the begin mark as often as the
-    # end, so the contexts' counts add up to the tokens
-    return pa.table({"tokens": [int((real & (before > 0)).sum())], "total": [int(total.sum())],
-                     "before": pa.array([kinds], pa.list_(pa.int64()))})
-
-
-class TokenFile:
-    def __init__(self, raw: np.ndarray):
-        n = int(raw[:8].view(np.uint64)[0]) if len(raw) else 0
-        column = lambda k, kind: raw[8 + 8 * n * k:8 + 8 * n * (k + 1)].view(kind)
-        self.token, self.total, self.before = (column(k, np.uint64) for k in range(3))
-        self.freed = column(3, np.float64)
-
-    def find(self, token: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Count as a context, freed mass and distinct contexts of each token, 0 if unknown."""
-        if not len(self.token):
-            return (np.zeros(len(token)),) * 3
-        at = np.minimum(np.searchsorted(self.token, token), len(self.token) - 1)
-        known = self.token[at] == token
-        return tuple(np.where(known, x[at], 0).astype(np.float64)
-                     for x in (self.total, self.freed, self.before))
+def merge_sums(table: pa.Table, folder: str) -> pa.Table:
+    """Write one part's tokens, or its contexts of triples that were spread: hash, sum over followers,
+    followers of each count; of tokens also distinct contexts and count."""
+    level, part = (table.column(c)[0].as_py() for c in ("level", "part"))
+    key = stacked(table.column("token"), np.uint64)
+    order = np.argsort(key)
+    first = runs(key[order])
+    key = key[order][first]
+    columns = [summed(stacked(table.column(c), np.uint64 if c in ("total", "occurs") else np.uint32)[order]
+                      .astype(np.uint64), first)
+               for c in ("total", "n1", "n2", "n3", "before", "occurs")[:6 if level == 1 else 4]]
+    name, keys = ("tokens", token_keys(key)) if level == 1 else ("spread", key)
+    put(folder, f"{name}-{part}.bin", packed_counts(keys, *columns))
+    known, total, kinds = 0, 0, [0] * 5
+    if level == 1:
+        before, occurs = columns[4:]
+        known, total = int(((key != BEGIN) & (before > 0)).sum()), int(occurs.sum())
+        kinds = [int((before == k).sum()) for k in (1, 2, 3, 4)] + [int(before.sum())]
+    return pa.table({"tokens": [known], "total": [total], "before": pa.array([kinds], pa.list_(pa.int64()))})
 
 
 def discounts_of(kinds: list[int]) -> np.ndarray:
@@ -305,28 +376,36 @@ def discounts_of(kinds: list[int]) -> np.ndarray:
     return np.clip(raw, [0.01, 0.02, 0.03], [0.99, 1.99, 2.99])
 
 
-def train(docs: DataFrame, scratch: Scratch) -> Model:
+def train(docs: DataFrame, scratch: Scratch, order: int = 2) -> Model:
     """Count ``docs`` (text) and write the model's arrays to the scratch folder."""
+    if order not in (2, 3):
+        raise ValueError(f"order {order}: only 2 and 3 can be counted")
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    bits = max(0, (int(size) // PART_BYTES).bit_length())
+    bits = max(0, (int(size) * (order - 1) // PART_BYTES).bit_length())
     hot, folder = hot_contexts(docs.select("text")), f"{scratch.folder}/model"
-    partial = scratch.table(
-        counted_pairs(docs, hot, bits).groupBy("part").applyInArrow(
-            lambda t: merge_pairs(t, folder, bits), PARTIAL), "partial")
-    sums = partial.agg(*[F.coalesce(F.sum(F.col("kinds")[k]), F.lit(0)).alias(f"k{k}")
-                         for k in range(5)]).first()
-    discounts = discounts_of(list(sums))
-    totals = scratch.table(partial.drop("kinds").groupBy("part").applyInArrow(
-        lambda t: merge_tokens(t, folder, discounts), TOKENS), "totals").agg(
+    turns = min(PASSES, 1 << bits) if order > 2 else 1
+    partial = None
+    for turn in range(turns):
+        some = scratch.table(
+            counted_grams(docs, hot, bits, order, turn, turns).groupBy("part").applyInArrow(
+                lambda t: merge_grams(t, folder, bits, hot, order), PARTIAL), f"partial-{turn}",
+            compression="zstd")
+        partial = some if partial is None else partial.unionByName(some)
+    sums = list(partial.agg(*[F.coalesce(F.sum(F.col("kinds")[k]), F.lit(0)).alias(f"k{k}")
+                              for k in range(10)]).first())
+    discounts = discounts_of(sums[:5])
+    totals = scratch.table(partial.drop("kinds").groupBy("level", "part").applyInArrow(
+        lambda t: merge_sums(t, folder), TOKENS), "totals").agg(
             *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "total")],
             *[F.coalesce(F.sum(F.col("before")[k]), F.lit(0)).alias(f"k{k}") for k in range(5)]).first()
-    scratch.drop("partial")
+    for turn in range(turns):
+        scratch.drop(f"partial-{turn}")
     kinds = [totals[f"k{k}"] for k in range(5)]
     lower = discounts_of(kinds)
     more = totals["tokens"] - kinds[0] - kinds[1]
     freed = lower @ [kinds[0], kinds[1], more] / kinds[4] if kinds[4] else 1.0
-    return Model(folder, bits, hot, discounts, lower, totals["total"], totals["tokens"], kinds[4],
-                 float(freed))
+    return Model(folder, bits, hot, discounts, lower, discounts_of(sums[5:]), totals["total"],
+                 totals["tokens"], kinds[4], float(freed), order)
 
 
 class Scorer:
@@ -344,40 +423,54 @@ class Scorer:
         cut = runs(part)
         return zip(part[cut].tolist(), cut.tolist(), np.r_[cut[1:], len(part)].tolist())
 
-    def tokens(self, token: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Of each of these distinct tokens."""
-        part = part_of(token, token, token[:0], self.model.bits)
-        order = np.lexsort((token, part))
-        out = [np.zeros(len(token)) for _ in range(3)]
-        for p, i, j in self.by_part(part[order]):
-            for column, values in zip(out, self.file(TokenFile, f"tokens-{p}.bin").find(token[order[i:j]])):
-                column[order[i:j]] = values
-        return tuple(out)
-
-    def pairs(self, context: np.ndarray, token: np.ndarray) -> np.ndarray:
-        part, key = part_of(context, token, self.model.hot, self.model.bits), pair_keys(context, token)
+    def counts(self, name: str, part: np.ndarray, key: np.ndarray, columns: int = 1) -> list[np.ndarray]:
+        """Counts of these hashes in the parts' files of that name."""
         order = np.lexsort((key, part))
-        out = np.zeros(len(key))
+        out = [np.zeros(len(key)) for _ in range(columns)]
         for p, i, j in self.by_part(part[order]):
-            out[order[i:j]] = self.file(PairFile, f"pairs-{p}.bin").counts_of(key[order[i:j]])
+            found = self.file(CountFile, f"{name}-{p}.bin").counts_of(key[order[i:j]], columns)
+            for column, values in zip(out, found):
+                column[order[i:j]] = values
         return out
 
     def __call__(self, words: Words) -> dict[str, np.ndarray]:
         m = self.model
         context, token, row = token_pairs(words)
-        kinds, back = np.unique(np.r_[token, context, END, BEGIN], return_inverse=True)
-        total, freed, before = self.tokens(kinds)
-        at, of = back[:len(token)], back[len(token):2 * len(token)]
-        occurs = total.copy()
-        occurs[back[-2]] = total[back[-1]]  # ends are as many as begins
+        kinds, back = np.unique(np.r_[token, context], return_inverse=True)
+        total, *follow, before, occurs = self.counts(
+            "tokens", part_of(kinds, kinds, kinds[:0], m.bits), token_keys(kinds), 6)
+        freed = m.discounts @ np.stack(follow) / np.maximum(total, 1)
+        at, of = back[:len(token)], back[len(token):]
         c = occurs[at]
         base = np.log10((c + 0.1) / (m.train_tokens + 0.1 * (m.vocabulary + 1)))
         share = lambda n, d: np.where(n > 0, n - d[np.clip(n, 1, 3).astype(np.int64) - 1], 0)
         lower = share(before[at], m.token_discounts) / max(m.contexts, 1) \
             + m.token_mass / (m.vocabulary + 1)
-        seen = total[of] > 0
-        upper = share(self.pairs(context, token), m.discounts) / np.maximum(total[of], 1)
+        seen, part = total[of] > 0, part_of(context, token, m.hot, m.bits)
+        pairs, = self.counts("pairs", part, pair_keys(context, token))
+        upper = share(pairs, m.discounts) / np.maximum(total[of], 1)
         p = np.where(seen, upper + freed[of] * lower, lower)
+        if m.order > 2:
+            inner = np.flatnonzero(context != BEGIN)
+            above = pair_keys(lefts_of(context)[inner], context[inner])
+            found = [np.zeros(len(inner)) for _ in range(4)]
+            spread = is_hot(context[inner], m.hot)
+            for name, which in (("contexts", ~spread), ("spread", spread)):
+                kinds, back = np.unique(above[which], return_inverse=True)
+                by = np.zeros(len(kinds), np.uint64)
+                by[back] = kinds[back] if name == "spread" else context[inner][which]
+                by = part_of(by, by, by[:0], m.bits)
+                for column, values in zip(found, self.counts(name, by, kinds, 4)):
+                    column[which] = values[back]
+                if name == "contexts":
+                    once, = self.counts("once", by, kinds)
+                    for column in found[:2]:
+                        column[which] += once[back]
+            total, *follow = found
+            triples, = self.counts("triples", part[inner], pair_keys(above, token[inner]))
+            freed = m.triple_discounts @ np.stack(follow) / np.maximum(total, 1)
+            upper = share(triples, m.triple_discounts) / np.maximum(total, 1)
+            p[inner] = np.where(total > 0, upper + freed * p[inner], p[inner])
         sums = lambda x: np.bincount(row, x, words.rows)
         return {"n_tokens": words.count + 1, "n_known": sums(c > 0).astype(np.int64),
                 "base_score": sums(base), "score": sums(np.log10(p))}

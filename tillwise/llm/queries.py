@@ -143,13 +143,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @corpus_query
 def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of all texts by a model of the texts outside fold 0 of 10."""
+    """Scores of all texts by a trigram model of the texts outside fold 0 of 10."""
     from tillwise.llm.ngram_lm import score, train
     from tillwise.llm.staging import Scratch
 
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", (fold(10) == 0).alias("held_out"), "text")
-    model = train(docs.where(~F.col("held_out")), Scratch(spark))
+    model = train(docs.where(~F.col("held_out")), Scratch(spark), order=3)
     return score(docs, model).select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.train_tokens).cast("long")
         .alias("train_tokens"), "base_score", "score")
