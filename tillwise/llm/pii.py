@@ -2,7 +2,8 @@
 
 Base kinds (email, ip, card, phone) are found leftmost and without overlap per kind; spans that
 fail their check are dropped and not tried again.  One more kind is added by the same method:
-``iban``, confirmed by mod-97.  A span's score starts from its kind and rises where one of the
+``iban``, cut to its country's length (of an unlisted country: to any group's end, the longest first)
+and confirmed by mod-97, so that what follows an account number does not hide it.  A span's score starts from its kind and rises where one of the
 kind's context words stands within ``CONTEXT`` code points; added kinds need a score of at least
 ``least_score`` and may not overlap base spans, and base spans always stay.  Offsets are code
 points, ends exclusive.
@@ -33,7 +34,13 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+IBAN = re.compile(r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}))")
+#: Characters of an account number of each country, without blanks (fixed values).
+IBAN_LENGTHS = {country: int(n) for n, countries in (line.split(":") for line in """
+15:NO|16:BE|18:DK FI FK FO GL NL SD|19:MK SI|20:AT BA EE KZ LT LU MN XK|21:CH HR LI LV
+22:BG BH CR DE GB GE IE ME RS VA|23:AE GI IL IQ OM SO TL|24:AD CZ ES MD PK RO SA SE SK TN VG|25:LY PT ST
+26:IS TR|27:BI DJ FR GR IT MC MR SM|28:AL AZ BY CY DO GT HN HU LB NI PL SV|29:BR EG PS QA UA
+30:JO KW MU YE|31:MT SC|32:LC|33:RU""".strip().replace("\n", "|").split("|")) for country in countries.split()}
 NOT_DIGIT = re.compile(r"[^0-9]")
 
 #: Score without context, gain by context, and the context words of each kind (fixed values).
@@ -75,6 +82,26 @@ def mod97(code: str) -> bool:
     return int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
 
 
+def ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Confirmed account numbers, leftmost and without overlap."""
+    done = 0
+    for m in IBAN.finditer(text):
+        start, limit = m.span(1)
+        if start < done:
+            continue
+        at = [k for k in range(start, limit) if text[k] != " "]
+        length = IBAN_LENGTHS.get(text[start:start + 2])
+        for n in [length] if length else range(len(at), 14, -1):
+            if n > len(at):
+                continue
+            end = at[n - 1] + 1
+            after = text[end:end + 1]
+            if not (after.isascii() and after.isalnum()) and mod97(text[start:end]):
+                yield start, end
+                done = end
+                break
+
+
 def proposals(text: str) -> Iterator[tuple[str, int, int]]:
     """Confirmed spans by kind in the order of ``KINDS``, ascending."""
     for start, end in emails(text):
@@ -92,9 +119,8 @@ def proposals(text: str) -> Iterator[tuple[str, int, int]]:
         for m in PHONE.finditer(text):
             if 9 <= len(NOT_DIGIT.sub("", m[0])) <= 15:
                 yield "phone", *m.span()
-    for m in IBAN.finditer(text):
-        if mod97(m[0]):
-            yield "iban", *m.span()
+    for start, end in ibans(text):
+        yield "iban", start, end
 
 
 def scored(text: str, kind: str, start: int, end: int) -> float:
