@@ -1,7 +1,6 @@
 """Registered queries: splits, models, metrics, scoring, calibration, forecasts.
 
-Training queries use few trees, which is a parameter of the operators, so that they run in
-seconds; they read the whole tables.
+Training queries use the operators' own numbers of trees, depths and steps; they read the whole tables.
 """
 
 from __future__ import annotations
@@ -21,7 +20,6 @@ from tillwise.plans.registry import query
 from tillwise.session import checkpointed
 
 AS_OF = datetime.date(2001, 8, 15)
-TREES = {"trees": 6, "depth": 4}
 
 
 @query("label_encode", with_views("""
@@ -111,36 +109,37 @@ def _churn_table(i):
     tx = i.view("tx")
     lab = C.churn_labels(C.churn_customers(tx, "customer_id", "order_date", "amount", "category",
                                            as_of_cutoff=True))
-    return lab.na.fill(0.0, ["avg_days_between_orders"])
+    return checkpointed(lab.na.fill(0.0, ["avg_days_between_orders"]))
 
 
 def _growth_table(i):
-    return A.trainer_monthly_lags(A.monthly_growth_features(A.monthly_growth_table(i.view("sales"))))
+    return checkpointed(A.trainer_monthly_lags(A.monthly_growth_features(
+        A.monthly_growth_table(i.view("sales")))))
 
 
 @query("train_revenue_model")
 def _(i):
-    return L.train_revenue_model(_revenue_table(i), **TREES).metrics
+    return L.train_revenue_model(_revenue_table(i)).metrics
 
 
 @query("train_churn_model")
 def _(i):
-    return L.train_churn_model(_churn_table(i), **TREES).metrics
+    return L.train_churn_model(_churn_table(i)).metrics
 
 
 @query("train_growth_model")
 def _(i):
-    return L.train_growth_model(_growth_table(i), trees=6).metrics
+    return L.train_growth_model(_growth_table(i)).metrics
 
 
 @query("feature_importance")
 def _(i):
-    return L.train_churn_model(_churn_table(i), **TREES).importances
+    return L.train_churn_model(_churn_table(i)).importances
 
 
 @query("score_revenue")
 def _(i):
-    trained = L.train_revenue_model(_revenue_table(i), **TREES)
+    trained = L.train_revenue_model(_revenue_table(i))
     sales = i.view("sales").select("order_id", "quantity_sold", "price", "discount_percent", "order_date")
     mapping = {**L.mapping_of("revenue"), "month": "_from_date:order_date",
                "quarter": "_from_date:order_date", "seasonal_index": None, "gross_margin_pct": None}
@@ -152,7 +151,7 @@ def _(i):
 def _(i):
     from tillwise.plans.sales_reports import ROLES
 
-    trained = L.train_churn_model(_churn_table(i), **TREES)
+    trained = L.train_churn_model(_churn_table(i))
     cust = A.customer_aggregate(i.view("sales"), ROLES)
     scored = L.score_churn(cust, L.mapping_of("churn"), trained, AS_OF,
                            ("customer_id", "avg_days_between_orders", "customer_tenure_days"))
@@ -161,7 +160,7 @@ def _(i):
 
 @query("score_growth")
 def _(i):
-    trained = L.train_growth_model(_growth_table(i), trees=6)
+    trained = L.train_growth_model(_growth_table(i))
     m = A.monthly_lags(A.monthly_aggregate(i.view("tx"), "order_date", "amount"))
     return L.score_growth(m, L.mapping_of("growth"), trained, AS_OF, ("month_key",))
 
@@ -169,16 +168,16 @@ def _(i):
 @query("forecast_revenue_recursive")
 def _(i):
     table = _revenue_table(i)
-    trained = L.train_revenue_model(table, **TREES)
+    trained = L.train_revenue_model(table)
     last = table.groupBy("customer_region").agg(F.max_by(
         F.struct(*[c for c in table.columns if c != "customer_region"]),
         F.struct("order_date", "order_id", "product_id")).alias("r")).select("customer_region", "r.*")
-    return X.forecast_revenue_recursive(last, trained.model, ("customer_region",), steps=3)
+    return X.forecast_revenue_recursive(last, trained.model, ("customer_region",))
 
 
 @query("forecast_growth_recursive")
 def _(i):
-    trained = L.train_growth_model(_growth_table(i), trees=4)
+    trained = L.train_growth_model(_growth_table(i))
     by = ("customer_region",)
     m = A.trainer_monthly_lags(A.monthly_growth_features(
         A.monthly_growth_table(i.view("sales"), by), by), by).na.fill(0.0)
