@@ -153,3 +153,15 @@ def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, model).select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.train_tokens).cast("long")
         .alias("train_tokens"), "base_score", "score")
+
+
+@corpus_query
+def op13_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all texts by the lower-casing word BPE, and the texts that the ids decode to."""
+    from tillwise.llm.bpe_codec import decode_ids, encode_texts
+
+    path = tokenizer_file("word_bpe_49k.json")
+    encoded = encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    return decode_ids(encoded, path).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
