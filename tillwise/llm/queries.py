@@ -165,3 +165,40 @@ def op13_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode_ids(encoded, path).select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def periodic_tail():
+    """The text with a periodic tail where crc32 of the id ends in 0: with g = crc32 / 10 and n words,
+    word i from a = g % n on becomes word a + (i - a) % p, p = 1 + (n - a) / (3 + g % 8), all in whole
+    numbers.  A row without an id stays as it is."""
+    words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    altered = F.expr("""
+        array_join(transform(sequence(0, n - 1), i -> words[int(if(i < a, i, a + (i - a) % p))]), ' ')""")
+    hash_ = F.crc32(F.col("doc_id").cast("string"))
+
+    def apply(docs: DataFrame) -> DataFrame:
+        ten = docs.select("doc_id", "text", F.when(hash_ % 10 == 0, F.floor(hash_ / 10)).alias("g"))
+        cut = ten.withColumn("words", F.when(F.col("g").isNotNull(), words)) \
+            .withColumn("n", F.size("words")) \
+            .withColumn("a", F.expr("if(n > 0, g % n, null)")) \
+            .withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+        return cut.select("doc_id", F.when(F.col("n") > 0, altered).otherwise(F.col("text")).alias("text"))
+
+    return apply
+
+
+@corpus_query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of all texts, a tenth of them with a periodic tail; digests of runs and collapsed texts."""
+    from tillwise.llm.runs import find_runs
+
+    found = find_runs(table(spark, sf_dir, "documents").select("doc_id", "text").transform(periodic_tail()))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(
+        r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(
+        F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"),
+        F.col("best.length").alias("length"), (-F.col("best.period")).alias("period"),
+        F.expr("1000 * best.length div -best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
