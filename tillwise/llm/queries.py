@@ -202,3 +202,48 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("best.length").alias("length"), (-F.col("best.period")).alias("period"),
         F.expr("1000 * best.length div -best.period").alias("exponent_milli"),
         F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@corpus_query
+def op11_shallot_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight clusters of all embeddings after ten rounds."""
+    from tillwise.llm.centroids import cluster
+    from tillwise.llm.staging import Scratch
+
+    found = cluster(table(spark, sf_dir, "embeddings"), Scratch(spark), k=8, rounds=10)
+    listed = F.array_join(F.transform("centroid", lambda x: x.cast("string")), ",")
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia",
+                        F.sha2(listed, 256).alias("centroid_sha256"))
+
+
+def _clusters_sql(k: int = 8, rounds: int = 10, size: int = 64) -> str:
+    """Plain rounds: every vector against every centroid, means by component."""
+    steps = [f"""
+        v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id,
+            list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS vec
+            FROM embeddings WHERE len(embedding) = {size}
+            AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {size}),
+        c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY h) - 1 AS INT) AS cluster, vec FROM (
+            SELECT sha256('3:' || vec_id) AS h, vec FROM v ORDER BY h LIMIT {k}))"""]
+    for i in range(rounds + 1):
+        steps.append(f"""
+        a{i} AS MATERIALIZED (SELECT r, vec_id, v.vec, cluster, CAST(list_sum(list_transform(
+            range(1, {size + 1}), lambda i: (v.vec[i] - c.vec[i]) * (v.vec[i] - c.vec[i]))) AS BIGINT) AS distance
+            FROM v CROSS JOIN c{i} c
+            QUALIFY row_number() OVER (PARTITION BY r ORDER BY distance, cluster) = 1)""")
+        if i < rounds:
+            steps.append(f"""
+        c{i + 1} AS MATERIALIZED (SELECT c.cluster, coalesce(m.vec, c.vec) AS vec FROM c{i} c LEFT JOIN (
+            SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY i) AS vec FROM (
+                SELECT cluster, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM (
+                    SELECT cluster, unnest(vec) AS x, unnest(range({size})) AS i FROM a{i})
+                GROUP BY cluster, i) GROUP BY cluster) m ON m.cluster = c.cluster)""")
+    return f"""WITH {",".join(steps)}
+        SELECT vec_id, a.cluster, distance,
+            CAST(sum(distance) OVER (PARTITION BY a.cluster) AS BIGINT) AS cluster_inertia,
+            CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+            sha256(array_to_string(c.vec, ',')) AS centroid_sha256
+        FROM a{rounds} a JOIN c{rounds} c ON a.cluster = c.cluster"""
+
+
+ORACLE["op11_shallot_clusters"] = _clusters_sql()
