@@ -12,12 +12,12 @@ import itertools
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillwise.functions.exprs import col, table_literal
 from tillwise.operators.cleaning import is_key
+from tillwise.operators.rules import custom_rule_impute
 
 # Thresholds of a law (fixed values)
 CONFIDENCE, SUPPORT, EPSILON, FLOOR = 0.99, 50, 1e-4, 1e-9
@@ -194,32 +194,3 @@ def constraint_sync(df: DataFrame, laws: Sequence[Law], rules: dict | None = Non
         df = df.withColumn(law.derived, _fill(df, law.derived, law.formula(), integers))
     return custom_rule_impute(df, {c: r for c, r in (rules or {}).items() if c in df.columns})[0] \
         if rules else df
-
-
-def _rule(df: DataFrame, rule) -> Column:
-    if callable(rule) and not isinstance(rule, Column):
-        rule = rule(df)
-    return F.expr(rule) if isinstance(rule, str) else rule
-
-
-def custom_rule_impute(df: DataFrame, rules: dict) -> tuple[DataFrame, list[tuple[str, str]]]:
-    """Fill NULLs, or create the column, from user equations (SQL text, Column or df -> Column).
-
-    A rule that does not resolve is skipped and reported; resolving needs no data.
-    """
-    errors = []
-    for name, rule in rules.items():
-        try:
-            value = _rule(df, rule)
-            df.select(value.alias("x")).schema
-        except AnalysisException as e:
-            errors.append((name, e.getCondition() or "ANALYSIS_ERROR"))
-            continue
-        if name in df.columns:
-            value = F.coalesce(col(name), value.cast(dict(df.dtypes)[name]))
-        df = df.withColumn(name, value)
-    return df, errors
-
-
-def rule_errors(df: DataFrame, errors: list[tuple[str, str]]) -> DataFrame:
-    return df.sparkSession.createDataFrame(errors, "rule string, error string")

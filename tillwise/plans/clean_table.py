@@ -13,6 +13,7 @@ from tillwise.operators import features as X
 from tillwise.operators import laws as L
 from tillwise.operators import quality as Q
 from tillwise.operators.coltypes import TypePlan, cast_types, is_numeric, plan_types, redetect_dates
+from tillwise.operators.rules import apply_rules
 from tillwise.session import checkpointed
 
 
@@ -56,8 +57,11 @@ def clean_table(raw: DataFrame, as_of: datetime.date, row_id: str | None = None,
         laws = L.kept_laws(L.law_resolution(L.law_discovery(known, numeric)))
     df = L.relational_impute(df, laws, plan.integers, target)
     report += [("law", f"{w.base_a} {L.SIGN[w.op]} {w.base_b} = {w.derived}", w.confidence) for w in laws]
-    df, errors = L.custom_rule_impute(df, rules or {})
-    report += [("rule error", name, 1.0) for name, _ in errors]
+    run = apply_rules(df, rules or {})
+    df, errors = run.data, run.errors
+    for r in run.report().collect() if rules else []:
+        report += [("rule error", r.rule, 1.0)] if r.error else [
+            ("rule filled", r.rule, float(r.filled)), ("rule failed on rows", r.rule, float(r.failed))]
 
     imputer = C.fit_imputer(df, plan, fit, target)
     df = C.impute_missing(df, imputer)

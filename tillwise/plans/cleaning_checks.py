@@ -13,6 +13,7 @@ from tillwise.operators import features as X
 from tillwise.operators import laws as L
 from tillwise.operators import quality as Q
 from tillwise.operators.coltypes import TypePlan
+from tillwise.operators.rules import apply_rules
 from tillwise.plans.inputs import rounded, with_views
 from tillwise.plans.registry import query
 
@@ -468,6 +469,53 @@ def _(i):
     return out.select("l_orderkey", "l_linenumber", "l_partkey", "gross_value", "net_value")
 
 
+FAULTY_ROWS = """
+SELECT l_orderkey, l_linenumber, l_extendedprice AS gross, CAST(l_linenumber - 1 AS DOUBLE) AS earlier,
+  CASE WHEN l_orderkey % 7 = 0 THEN 'n/a' WHEN l_orderkey % 7 = 1 THEN NULL
+       ELSE CAST(l_suppkey AS VARCHAR(20)) END AS supplier_text,
+  CASE WHEN l_orderkey % 3 = 0 THEN NULL ELSE l_quantity END AS units FROM lineitem"""
+RULES = {"per_line": "gross / earlier", "supplier": "cast(supplier_text as double)",
+         "units": lambda df: df["gross"] / df["earlier"] + df["supplier"],
+         "small": "cast(l_orderkey * 1000000 as int)", "broken": "no_such_column + 1"}
+FAULTY = f"""
+SELECT l_orderkey, l_linenumber, per_line, supplier, coalesce(units, per_line + supplier) AS units, units AS units_given,
+  supplier_text, CASE WHEN l_orderkey * 1000000 <= 2147483647 THEN CAST(l_orderkey * 1000000 AS INT) END AS small
+FROM (SELECT *, gross / NULLIF(earlier, 0) AS per_line, TRY_CAST(supplier_text AS DOUBLE) AS supplier
+      FROM ({FAULTY_ROWS}))"""
+
+
+@query("custom_rule_rows", f"SELECT * EXCLUDE (units_given, supplier_text) FROM ({FAULTY})")
+def _(i):
+    """Rules that raise on some rows fill all others."""
+    run = apply_rules(i.sql(FAULTY_ROWS), RULES)
+    return run.data.select("l_orderkey", "l_linenumber", "per_line", "supplier", "units", "small")
+
+
+@query("custom_rule_report", f"""
+WITH f AS ({FAULTY})
+SELECT 'per_line' AS rule, 0::BIGINT AS given, COUNT(per_line) AS filled, 0::BIGINT AS empty,
+  COUNT(*) - COUNT(per_line) AS failed, NULL::VARCHAR AS error FROM f
+UNION ALL SELECT 'supplier', 0, COUNT(supplier), COUNT(*) - COUNT(supplier_text),
+  COUNT(*) FILTER (supplier IS NULL AND supplier_text IS NOT NULL), NULL FROM f
+UNION ALL SELECT 'units', COUNT(units_given), COUNT(units) - COUNT(units_given),
+  COUNT(*) FILTER (units IS NULL AND per_line IS NOT NULL),
+  COUNT(*) FILTER (units IS NULL AND per_line IS NULL), NULL FROM f
+UNION ALL SELECT 'small', 0, COUNT(small), 0, COUNT(*) - COUNT(small), NULL FROM f
+UNION ALL SELECT 'broken', 0, 0, 0, 0, 'UNRESOLVED_COLUMN.WITH_SUGGESTION'""")
+def _(i):
+    return apply_rules(i.sql(FAULTY_ROWS), RULES).report()
+
+
+@query("custom_rule_failed_rows", f"""
+WITH f AS ({FAULTY})
+SELECT 'per_line' AS rule, l_orderkey, l_linenumber FROM f WHERE per_line IS NULL
+UNION ALL SELECT 'supplier', l_orderkey, l_linenumber FROM f WHERE supplier IS NULL AND supplier_text IS NOT NULL
+UNION ALL SELECT 'units', l_orderkey, l_linenumber FROM f WHERE units IS NULL AND per_line IS NULL
+UNION ALL SELECT 'small', l_orderkey, l_linenumber FROM f WHERE small IS NULL""")
+def _(i):
+    return apply_rules(i.sql(FAULTY_ROWS), RULES).failed_rows("l_orderkey", "l_linenumber")
+
+
 # Date features ------------------------------------------------------------------------------
 
 HOLES = """
