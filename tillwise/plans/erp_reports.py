@@ -232,6 +232,37 @@ def _(i):
     return read_csv_encoded(i.spark, path, "c_custkey long, label string, c_acctbal double")
 
 
+CHARSET_LABELS = {"UTF-8": "上海 naïve, עמדה", "ISO-8859-1": "crème brûlée", "windows-1252": "“5 €” – naïve",
+                  "windows-1256": "عميل جديد, پاريس", "UTF-16LE": "مرحبا ج 上", "UTF-16BE": "Њ 上海"}
+
+
+@query("read_csv_charsets", f"""
+SELECT c_custkey, CASE c_custkey % 6 {" ".join(f"WHEN {k} THEN '{v}'" for k, v in enumerate(CHARSET_LABELS.values()))}
+  END || ' ' || c_mktsegment AS label, c_acctbal FROM customer""")
+def _(i):
+    """A folder of files in six charsets, read together."""
+    path = i.scratch()
+    for k, (charset, label) in enumerate(CHARSET_LABELS.items()):
+        some = i.table("customer").where(F.col("c_custkey") % 6 == k).select(
+            "c_custkey", F.concat(F.lit(label + " "), "c_mktsegment").alias("label"), "c_acctbal")
+        S.write_csv_encoded(some, path, charset, "append")
+    return S.read_csv_encoded(i.spark, path, "c_custkey long, label string, c_acctbal double")
+
+
+@query("file_charsets", """
+SELECT * FROM (VALUES ('ISO-8859-1'), ('UTF-16BE'), ('UTF-16LE'), ('UTF-8'), ('windows-1252'), ('windows-1256')) t(charset)
+WHERE EXISTS (SELECT 1 FROM customer)""")
+def _(i):
+    from tillwise.sources.charsets import file_charsets
+
+    path = i.scratch()
+    for k, (charset, label) in enumerate(CHARSET_LABELS.items()):
+        some = i.table("customer").where(F.col("c_custkey") % 6 == k).select(
+            "c_custkey", F.concat(F.lit(label + " "), "c_mktsegment").alias("label"))
+        S.write_csv_encoded(some, path, charset, "append")
+    return file_charsets(i.spark, path).select("charset").distinct()
+
+
 @query("write_csv", "SELECT p_partkey, p_name, p_retailprice FROM part")
 def _(i):
     path = i.scratch()

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillwise.functions.exprs import col
+from tillwise.session import checkpointed
+from tillwise.sources import charsets as H
 
 _TOP = "array<struct<feature:string,importance:string>>"
 _REPORT = ("strategy:string,confidence:string,definition:string,suitable_for:array<string>,"
@@ -32,32 +34,94 @@ EVAL_SCHEMA = (
     f"prophet_model struct<MAPE_pct:double>")
 
 
-def latin_files(spark: SparkSession, path: str) -> list[str]:
-    """Files with a line that is not valid UTF-8; lines are checked in parallel."""
-    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("f"),
-                                        F.is_valid_utf8("value").alias("ok"))
-    return sorted(r["f"] for r in rows.where(~F.col("ok")).select("f").distinct().collect())
+#: Files that are named to the reader where only some of a folder are meant; beyond, all are read and
+#: joined with those that are meant.
+NAMED_FILES = 1000
+#: Files in a table of charsets that is broadcast to the reading tasks.
+BROADCAST_FILES = 100_000
 
 
-def read_csv_encoded(spark: SparkSession, path: str, schema=None, encoding: str | None = None
-                     ) -> DataFrame:
-    """CSV with header; each file is UTF-8 if all its lines are, else Latin-1.
+def _csv_reader(spark: SparkSession, schema, charset: str, multi_line: bool):
+    r = spark.read.options(header=True, encoding=charset, multiLine=multi_line, escape='"')
+    return r.schema(schema) if schema else r.option("inferSchema", True)
+
+
+def _header(name: str, charsets: list[str]) -> str:
+    """A column name that was read as ISO-8859-1, in the first of the charsets that can hold it."""
+    raw = name.encode("latin-1", "ignore")
+    for charset in sorted(charsets, key=lambda c: c != "UTF-8"):
+        try:
+            return raw.decode(charset).lstrip("\ufeff")
+        except UnicodeDecodeError:
+            continue
+    return name
 
-    Give a schema for large input; without one, types are inferred by an extra pass.
-    """
-    def read(files, charset):
-        r = spark.read.option("header", True).option("encoding", charset)
-        df = r.schema(schema).csv(files) if schema else r.option("inferSchema", True).csv(files)
-        first = df.columns[0]
-        return df.withColumnRenamed(first, first.lstrip("\ufeff"))
 
-    latin = [] if encoding else latin_files(spark, path)
-    if not latin:
-        return read(path, encoding or "UTF-8")
-    every = spark.read.text(path).select(F.col("_metadata.file_path").alias("f")).distinct().collect()
-    plain = sorted({r["f"] for r in every} - set(latin))
-    out = read([unquote(f) for f in latin], "ISO-8859-1")
-    return read([unquote(f) for f in plain], "UTF-8").unionByName(out) if plain else out
+def read_csv_encoded(spark: SparkSession, path: str, schema=None, encoding: str | None = None,
+                     multi_line: bool = False) -> DataFrame:
+    """CSV with header, each file in its own charset: UTF-8, ISO-8859-1, windows-1252, windows-1256
+    or UTF-16; ``encoding`` names one for all.
+
+    Files in one byte a character and UTF-8 files go through one scan, whose text columns are
+    decoded row by row; files in two bytes are read by Spark's own decoder.  Give a schema for large input;
+    without one, types are inferred by an extra pass.  ``multi_line``: quoted cells hold line ends.
+    """
+    if encoding:
+        charset, table, count = H.canonical(encoding), None, {}
+        count = {charset: 1}
+        if charset not in H.CHARSETS:
+            return _csv_reader(spark, schema, encoding, multi_line).csv(path)
+    else:
+        table = checkpointed(H.file_charsets(spark, path))
+        count = {r["charset"]: r["n"] for r in table.groupBy("charset").agg(F.count("*").alias("n")).collect()}
+    narrow, wide = [c for c in count if c not in H.WIDE], [c for c in count if c in H.WIDE]
+    parts = []
+    if narrow or not count:
+        own, some = path, None
+        if wide:
+            own, some = _files(path, table.where(~F.col("charset").isin(*H.WIDE)), sum(count[c] for c in narrow))
+            if schema is None and some is not None:
+                raise ValueError("give a schema for that many files in different charsets")
+        raw = _csv_reader(spark, schema, H.LATIN1, multi_line).csv(own)
+        names = raw.columns if schema else [_header(c, narrow) for c in raw.columns]
+        text = [c for c, t in raw.dtypes if t == "string"]
+        if len(narrow) <= 1 and some is None:
+            charset = (narrow or [H.UTF8])[0]
+        else:
+            raw = _join_files(raw.select("*", F.col("_metadata.file_path").alias("_file")),
+                              table.where(~F.col("charset").isin(*H.WIDE)), sum(count.values()))
+            charset = F.col("_charset")
+        parts.append(raw.select(*[
+            (H.decoded(col(c), charset) if c in text else col(c)).alias(n)
+            for c, n in zip([c for c in raw.columns if c != "_charset"], names)]))
+    for charset in wide:
+        own, some = path, None
+        if len(count) > 1:
+            own, some = _files(path, table.where(F.col("charset") == charset), count[charset])
+        raw = _csv_reader(spark, schema, charset, True).csv(own)
+        names = [c.lstrip("\ufeff") for c in raw.columns]
+        if some is not None:
+            raw = _join_files(raw.select("*", F.col("_metadata.file_path").alias("_file")), some, count[charset])
+        parts.append(raw.select(*[col(c).alias(n) for c, n in zip(raw.columns, names)]))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=schema is None)
+    return out
+
+
+def _files(path: str, files: DataFrame, n: int):
+    """What to read for these files: their paths, if they are few, or the folder and the files to join."""
+    if n > NAMED_FILES:
+        return path, files
+    return [unquote(r["file"]) for r in files.select("file").collect()], None
+
+
+def _join_files(rows: DataFrame, files: DataFrame, n: int) -> DataFrame:
+    """Rows of the files, with their charset last."""
+    files = files.select(F.col("file").alias("_file"), F.col("charset").alias("_charset"))
+    if n <= BROADCAST_FILES:
+        files = F.broadcast(files)
+    return rows.join(files, "_file").select(*[col(c) for c in rows.columns if c != "_file"], "_charset")
 
 
 def read_documents(spark: SparkSession, path: str, category: str = "general") -> DataFrame:
@@ -112,7 +176,21 @@ def write_aggregates(customer: DataFrame | None, monthly: DataFrame | None, fold
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").options(header=True, escape='"').csv(path)
+
+
+def write_csv_encoded(df: DataFrame, path: str, encoding: str, mode: str = "errorifexists") -> None:
+    """CSV with header in one of the charsets that ``read_csv_encoded`` reads.
+
+    A character that the charset does not have becomes a question mark.
+    """
+    charset = H.canonical(encoding)
+    writer_charset = charset
+    if charset in (H.WESTERN, H.ARABIC):  # their bytes are written as those of ISO-8859-1
+        image = lambda c: F.decode(H.encoded(c, charset), H.LATIN1)
+        df = df.select(*[(image(col(c)) if t == "string" else col(c)).alias(c) for c, t in df.dtypes])
+        writer_charset = H.LATIN1
+    df.write.mode(mode).options(header=True, escape='"', encoding=writer_charset).csv(path)
 
 
 def write_report_json(report: DataFrame, path: str) -> None:
@@ -128,5 +206,5 @@ def export_task_datasets(tables: dict[str, DataFrame], folder: str, fmt: str = "
     for name, df in tables.items():
         w = df.write.mode("overwrite")
         if fmt == "csv":
-            w = w.option("header", True)
+            w = w.options(header=True, escape='"')
         w.format(fmt).save(f"{folder}/{name}")
