@@ -237,6 +237,12 @@ def test_written_dates(spark):
              "15/03/2024": datetime.datetime(2024, 3, 15), "31/12/99": datetime.datetime(1999, 12, 31),
              "2024-03-05 10:00 PM": datetime.datetime(2024, 3, 5, 22),
              "2024-03-05 10:11:12.5+02:00": datetime.datetime(2024, 3, 5, 8, 11, 12, 500000),
+             "2024-03": datetime.datetime(2024, 3, 1), "3/2024": datetime.datetime(2024, 3, 1),
+             "March 2024": datetime.datetime(2024, 3, 1), "mar-2024": datetime.datetime(2024, 3, 1),
+             "2024 Mar 5": day, "Mon, 05 Mar 2024": day, "Tuesday, March 5, 2024": day, "wed 2024-03-05": day,
+             "2024-03-05T10": datetime.datetime(2024, 3, 5, 10),
+             "Sunday 03/05/2024 1:05 pm": datetime.datetime(2024, 3, 5, 13, 5),
+             "2024-13": None, "2024.03": None, "0999-10": None, "Marchers 2024": None, "Monday": None, "1234": None,
              "13/13/2024": None, "5 foo 2024": None, "march": None, "12": None, "1.5": None, "": None}
     df = spark.createDataFrame([(k,) for k in forms], "s string")
     assert {r.s: r.d for r in df.select("s", parse_date("s").alias("d")).collect()} == forms

@@ -20,25 +20,36 @@ from tillwise.functions.vocab import (
 DATE_SHARE, NUMBER_SHARE, YMD_SHARE = 0.40, 0.80, 0.80
 
 # Written date forms that are read, with -, / or . between numbers: year first; month first, or day
-# first where the first number is no month; eight digits; and day and month name in either order.
-# Years may have two digits but where they come first.  A time of day, AM or PM and a zone may follow.
+# first where the first number is no month; eight digits; day and month name in either order; and year and
+# month alone, as the first of the month.  Years may have two digits but where they come first.  A
+# weekday may stand before, and a time of day, AM or PM and a zone may follow.
 MONTHS = ["JANUARY", "FEBRUARY", "MARCH", "APRIL", "MAY", "JUNE", "JULY", "AUGUST", "SEPTEMBER",
           "OCTOBER", "NOVEMBER", "DECEMBER"]
 MONTH_NUMBERS = {**{m: k + 1 for k, m in enumerate(MONTHS)}, **{m[:3]: k + 1 for k, m in enumerate(MONTHS)},
                  "SEPT": 9}
 NAME = r"(JAN|FEB|MAR|APR|MAY|JUN|JUL|AUG|SEP|OCT|NOV|DEC)[A-Z]*"
-# Rewritten one after the other to year-month-day behind a mark, so no text is rewritten twice
-DATE_FORMS = [
-    (r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})$", "=$1-$2-$3"),
-    (r"^(\d{4})(\d{2})(\d{2})$", "=$1-$2-$3"),
-    (r"^(1[3-9]|[23]\d)[-/.](\d{1,2})[-/.](\d{4}|\d{2})$", "=$3-$2-$1"),
-    (r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4}|\d{2})$", "=$3-$1-$2"),
-    (r"^(\d{1,2})(?:ST|ND|RD|TH)?[- ]?([A-Z]{3,9})[.,]?[- ](\d{4}|\d{2})$", "=$3-$2-$1"),
-    (r"^([A-Z]{3,9})\.?[- ](\d{1,2})(?:ST|ND|RD|TH)?,?[- ](\d{4})$", "=$3-$1-$2"),
-    # two-digit years from 69 are of the 20th century (fixed value)
-    (r"^=([0-5]\d|6[0-8])-", "=20$1-"), (r"^=(69|[7-9]\d)-", "=19$1-")]
+WEEKDAY = r"^(MON|TUE|WED|THU|FRI|SAT|SUN)(DAY|SDAY|NESDAY|RSDAY|URDAY|S|RS|R)?\.?,? +"
+YEAR = r"(1[6-9]\d{2}|2[01]\d{2})"
+# By how a text begins, its forms, rewritten one after the other to year-month-day behind a mark
+DATE_SHAPES = [
+    (r"^\d{4}[-/.]", [(r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})$", "=$1-$2-$3"),
+                      (rf"^{YEAR}[-/](\d{{1,2}})$", "=$1-$2-1")]),
+    (r"^\d{8}$", [(r"^(\d{4})(\d{2})(\d{2})$", "=$1-$2-$3")]),
+    (r"^\d{1,2}[-/.]\d", [(r"^(1[3-9]|[23]\d)[-/.](\d{1,2})[-/.](\d{4}|\d{2})$", "=$3-$2-$1"),
+                          (r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4}|\d{2})$", "=$3-$1-$2"),
+                          (rf"^(\d{{1,2}})[-/]{YEAR}$", "=$2-$1-1")]),
+    (r"^\d{4}", [(rf"^{YEAR}[- ]([A-Z]{{3,9}})\.?$", "=$1-$2-1"),
+                 (rf"^{YEAR}[- ]([A-Z]{{3,9}})\.?[- ](\d{{1,2}})(?:ST|ND|RD|TH)?$", "=$1-$2-$3")]),
+    (r"^\d", [(r"^(\d{1,2})(?:ST|ND|RD|TH)?[- ]?([A-Z]{3,9})[.,]?[- ](\d{4}|\d{2})$", "=$3-$2-$1")]),
+    (r"^[A-Z]", [(r"^([A-Z]{3,9})\.?[- ](\d{1,2})(?:ST|ND|RD|TH)?,?[- ](\d{4})$", "=$3-$1-$2"),
+                 (rf"^([A-Z]{{3,9}})\.?,?[- ]{YEAR}$", "=$2-$1-1")])]
+# Two-digit years from 69 are of the 20th century (fixed value)
+CENTURIES = [(r"^=([0-5]\d|6[0-8])-", "=20$1-"), (r"^=(69|[7-9]\d)-", "=19$1-")]
 TIME = r"[T ]+(\d{1,2}):(\d{1,2})(:\d{1,2}(?:\.\d+)?)? ?(AM|PM)? ?(Z|UTC|[+-]\d{1,2}:?\d{2})?$"
-ANY_DATE = rf"^(\d{{1,4}}[-/.]\d|\d{{8}}($|[T ])|\d{{1,2}}(ST|ND|RD|TH)?[- ]?{NAME}|{NAME}\.?[- ]\d)"
+HOUR_ONLY = r"^\d{4}[-/]\d{1,2}[-/]\d{1,2}[T ]+\d{1,2}$"
+#: Texts that a cast reads as they are, and a cheap look at how other dates begin.
+ISO = r"^\d{4}-\d{2}-\d{2}( \d{2}:\d{2}:\d{2}(\.\d{1,6})?)?$"
+ANY_DATE = rf"^({WEEKDAY[1:]})?(\d{{1,4}}[-/.]\d|\d{{8}}($|[T ])|(\d{{4}}|\d{{1,2}}(ST|ND|RD|TH)?)[- ]?{NAME}|{NAME}\.?,?[- ]\d)"
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
 
 
@@ -49,19 +60,31 @@ def is_numeric(kind: str) -> bool:
 def parse_date(c) -> Column:
     """Text as UTC date-time without zone; NULL for placeholders and unknown forms.
 
-    A cheap look at how a text begins leaves the rest alone.  The forms are rewritten to
-    year-month-day first, so one cast reads them all.  Letters count in either case, because text
+    A cheap look at how a text begins leaves the rest alone, and picks the few forms to try.  They are
+    rewritten to year-month-day first, so one cast reads them all.  Letters count in either case, because text
     columns are lower-cased before dates are looked for again.
     """
     def named(day):
         return let(F.regexp_extract(day, r"-([A-Z]{3,9})-", 1), lambda name: F.when(name == "", day).otherwise(
             F.replace(day, name, F.coalesce(lookup(name, MONTH_NUMBERS).cast("string"), F.lit("?")))))
 
+    def shaped(text):
+        out = None
+        for begin, forms in DATE_SHAPES:
+            day = text
+            for form, order in forms:
+                day = F.regexp_replace(day, form, order)
+            out = F.when(text.rlike(begin), day) if out is None else out.when(text.rlike(begin), day)
+        return out
+
     def rewritten(text):
-        day = F.regexp_replace(text, TIME, "")
-        for form, order in DATE_FORMS:
-            day = F.regexp_replace(day, form, order)
-        return let(day, lambda d: F.when(F.startswith(d, F.lit("=")), named(F.substring(d, 2, 20))))
+        def whole(day):
+            for form, order in CENTURIES:
+                day = F.regexp_replace(day, form, order)
+            return day
+
+        return let(shaped(text), lambda d: let(F.when(d.rlike(r"^=\d\d-"), whole(d)).otherwise(d), lambda d: F.when(
+            F.startswith(d, F.lit("=")), named(F.substring(d, 2, 20)))))
 
     def clock(text):
         half = F.regexp_extract(text, TIME, 4)
@@ -72,15 +95,19 @@ def parse_date(c) -> Column:
 
     def at_time(text):
         zone = F.regexp_replace(F.regexp_extract(text, TIME, 5), r"^([+-]\d{1,2}):?(\d{2})$", "$1:$2")
-        stamp = F.concat(rewritten(text), F.lit(" "), clock(text), F.replace(zone, F.lit("UTC"), F.lit("Z")))
+        stamp = F.concat(rewritten(F.regexp_replace(text, TIME, "")), F.lit(" "), clock(text), F.replace(zone, F.lit("UTC"), F.lit("Z")))
         return let(F.when(text.rlike(TIME), stamp), lambda s: F.when(
             s.rlike(r":\S*(Z|[+-]\d{1,2}:\d{2})$"), F.convert_timezone(
                 F.current_timezone(), F.lit("UTC"), s.try_cast("timestamp").cast("timestamp_ntz")))
             .otherwise(s.try_cast("timestamp_ntz")))
 
+    def read(t):
+        return F.when(F.contains(t, F.lit(":")), at_time(t)).otherwise(rewritten(t).try_cast("timestamp_ntz"))
+
     t = F.upper(F.trim(col(c)))
-    read = F.when(F.contains(t, F.lit(":")), at_time(t)).otherwise(rewritten(t).try_cast("timestamp_ntz"))
-    return F.when(t.rlike(ANY_DATE), read)
+    plain = F.when(t.rlike(HOUR_ONLY), F.concat(t, F.lit(":00"))).when(
+        t.rlike(WEEKDAY), F.regexp_replace(t, WEEKDAY, "")).otherwise(t)
+    return F.when(t.rlike(ISO), t.try_cast("timestamp_ntz")).when(t.rlike(ANY_DATE), let(plain, read))
 
 
 def parse_number(c, european: bool = False) -> Column:

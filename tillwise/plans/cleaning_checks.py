@@ -73,6 +73,30 @@ def _(i):
         (F.col("detected_type") == "date").alias("is_date"))
 
 
+# The day of each order, written in one of many forms; of the last four, a month or an hour is all that is said
+WRITTEN_DAYS = """
+SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, o_orderkey % 16 AS form, year(o_orderdate) AS y,
+  month(o_orderdate) AS m, day(o_orderdate) AS n,
+  split_part('January,February,March,April,May,June,July,August,September,October,November,December', ',',
+             CAST(month(o_orderdate) AS INT)) AS long_name FROM orders"""
+WRITTEN = f"""
+SELECT o_orderkey, form, d, y, m, CASE form WHEN 0 THEN CAST(d AS STRING) WHEN 1 THEN concat(y, '/', m, '/', n)
+  WHEN 2 THEN concat(m, '/', n, '/', y) WHEN 3 THEN concat(n, ' ', long_name, ' ', y)
+  WHEN 4 THEN concat(long_name, ' ', n, ', ', y) WHEN 5 THEN concat(n, '-', substr(long_name, 1, 3), '-', y)
+  WHEN 6 THEN CAST(y * 10000 + m * 100 + n AS STRING) WHEN 7 THEN concat(CAST(d AS STRING), 'T00:00:00')
+  WHEN 8 THEN concat('Mon, ', n, ' ', substr(long_name, 1, 3), ' ', y) WHEN 9 THEN concat('Tuesday, ', long_name, ' ', n, ', ', y)
+  WHEN 10 THEN concat(y, '.', m, '.', n) WHEN 11 THEN concat(n, 'th ', long_name, ' ', y)
+  WHEN 12 THEN substr(CAST(d AS STRING), 1, 7) WHEN 13 THEN concat(m, '/', y) WHEN 14 THEN concat(long_name, ' ', y)
+  ELSE concat(CAST(d AS STRING), 'T10') END AS written FROM ({WRITTEN_DAYS})"""
+
+
+@query("read_written_dates", f"""
+SELECT o_orderkey, CASE WHEN form BETWEEN 12 AND 14 THEN CAST(make_date(y, m, 1) AS TIMESTAMP)
+  WHEN form = 15 THEN d + INTERVAL 10 HOUR ELSE CAST(d AS TIMESTAMP) END AS day FROM ({WRITTEN_DAYS})""")
+def _(i):
+    return i.sql(WRITTEN).select("o_orderkey", Y.parse_date("written").alias("day"))
+
+
 @query("detect_numeric", _per_column(["maybe_day", "amount_txt", "mixed_txt", "is_gift", "flag01",
                                       "class_txt"], f"""
 SELECT '$C' AS column_name, COUNT($C) AS n_values, COUNT(num) AS n_numbers,
