@@ -50,6 +50,41 @@ def test_sliced_lags_with_a_hot_group(spark, monkeypatch):
         assert got.count() == 4000 and diff.count() == 0
 
 
+def test_lags_inside_one_hour(spark):
+    """A group, and no group at all, whose rows share one hour are spread over many ranges of like size."""
+    from tillwise.functions.lags import range_number
+    from tillwise.operators.features import group_lag_features
+
+    df = spark.range(20_000).selectExpr(
+        "id * 7919 % 20011 as row", "if(id % 10 < 7, 'hot', concat('g', id % 40)) as g", "double(id % 977) as v",
+        "timestamp_ntz'2024-03-05 10:00:00' + make_dt_interval(0, 0, 0, id % 1800) as t")
+    for keys, hot in ((["g", "t", "row"], "g = 'hot'"), (["t", "row"], "true")):
+        sizes = [r["count"] for r in df.withColumn("r", range_number(df, keys)).where(hot).groupBy("r").count().collect()]
+        assert len(sizes) > 16 and max(sizes) < 3 * sum(sizes) / len(sizes)
+    for group in ("g", None):
+        w = Window.partitionBy(*([group] if group else [])).orderBy("t", "row")
+        want = df.select("row", F.coalesce(F.lag("v", 1).over(w), F.lit(-1.0)).alias("a"),
+                         F.coalesce(F.lag("v", 3).over(w), F.lit(-1.0)).alias("b"))
+        got = group_lag_features(df, "t", "row", ["v"], group).join(want, "row")
+        assert got.count() == 20_000 and got.where("lag_1_v <> a or lag_3_v <> b").count() == 0
+    # equal times, null values, a single row and no rows
+    same = spark.createDataFrame([(k, None if k == 1 else float(k), datetime.date(2024, 1, 1)) for k in range(4)],
+                                 "row long, v double, t date")
+    got = {r["row"]: (r["lag_1_v"], r["lag_3_v"]) for r in group_lag_features(same, "t", "row", ["v"]).collect()}
+    assert got == {0: (-1.0, -1.0), 1: (0.0, -1.0), 2: (-1.0, -1.0), 3: (2.0, 0.0)}
+    assert group_lag_features(same.limit(1), "t", "row", ["v"]).count() == 1
+    assert group_lag_features(same.where("row > 9"), "t", "row", ["v"]).count() == 0
+
+
+def test_count_at_most(spark):
+    from tillwise.functions.exprs import count_at_most
+
+    df = spark.range(-1, 12).selectExpr("id as x", "array(1, 3, 3, 7, 9) as a", "array_repeat(0, 0) as e")
+    for r in df.select("x", count_at_most(F.col("a"), F.col("x"), 5).alias("n"),
+                       count_at_most(F.col("e"), F.col("x"), 5).alias("z")).collect():
+        assert r.n == sum(v <= r.x for v in (1, 3, 3, 7, 9)) and r.z == 0
+
+
 def test_nth_smallest(spark):
     rng = random.Random(3)
     vals = [rng.randrange(500) for _ in range(2000)]

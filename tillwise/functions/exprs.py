@@ -132,3 +132,19 @@ def table_literal(rows: Iterable[tuple], schema: str) -> Column:
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once, however often ``body`` names it."""
     return F.transform(F.array(value), body)[0]
+
+
+def count_at_most(ascending: Column, value: Column, most: int) -> Column:
+    """How many elements of an ascending array are at most ``value``, by bisection.
+
+    ``most``: a size that the array does not exceed; the steps are its binary digits.
+    """
+    def step(s, _):
+        middle = F.floor((s["low"] + s["high"]) / 2).cast("int")
+        under = F.get(ascending, middle) <= value
+        return F.when(s["low"] >= s["high"], s).when(under, F.struct(
+            (middle + 1).alias("low"), s["high"].alias("high"))).otherwise(
+            F.struct(s["low"].alias("low"), middle.alias("high")))
+
+    start = F.struct(F.lit(0).alias("low"), F.size(ascending).alias("high"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(max(1, int(most).bit_length()))), start, step, lambda s: s["low"])

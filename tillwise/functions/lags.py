@@ -1,21 +1,43 @@
 """Lags inside a group that stay parallel when one group holds most of the rows.
 
-A window over ``group`` alone sorts a hot group in one task.  Here each group is cut into
-consecutive time slices; lags inside a slice come from a window over (group, slice), and the
-first rows of a slice take theirs from a carry table holding the last rows of the slices
-before it.  The carry table has one row per (group, slice).
+A window over ``group`` alone sorts a hot group in one task.  Here the rows are cut into ranges of
+similar size by (group, order, row id), so a group, a day or an hour that holds most rows is spread over
+as many ranges as its share; lags inside a range come from a window over (group, range), and the
+first rows of a range take theirs from a carry table holding the last rows of the ranges before
+it.  The carry table has one row per (group, range); with no group that is one row per range, a fixed
+number.
+
+Range bounds come from a sample of the rows of fixed size, drawn by hash, and are a literal of fixed
+size in the plan.  They decide sizes only, never results.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillwise.functions.exprs import col
+from tillwise.functions.exprs import col, count_at_most
 
 ROW_ID_SPAN = 1_000_000
+#: Ranges for each shuffle partition, and sampled rows for each range.
+RANGES, SAMPLED = 4, 16
+
+
+def range_number(df: DataFrame, keys: Sequence[str]) -> Column:
+    """The range of each row among ranges of similar size, ascending by the keys; their values are
+    unique or nearly so."""
+    n = RANGES * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key = F.struct(*[col(c).alias(f"k{k}") for k, c in enumerate(keys)])
+    drawn = df.select(key.alias("k")).orderBy(F.xxhash64("k"), "k").limit(n * SAMPLED)
+    step = F.greatest(F.lit(1), F.floor(F.size("s") / n).cast("int"))
+    found = drawn.agg(F.sort_array(F.collect_list("k")).alias("s")).select(
+        F.filter("s", lambda _, i: i % step == step - 1).alias("s"))
+    written = found.select(F.to_json("s")).first()[0]
+    # sorted again, because some types lose digits in writing
+    bounds = F.sort_array(F.from_json(F.lit(written), found.schema["s"].dataType))
+    return count_at_most(bounds, key, 2 * n)
 
 
 def sliced_lags(
@@ -25,18 +47,18 @@ def sliced_lags(
     row_id: str,
     values: Sequence[str],
     offsets: Sequence[int],
-    slice_unit: str = "MONTH",
+    slice_unit: str | None = None,
 ) -> DataFrame:
     """Add ``{value}__lag{k}`` for every value and offset; order is (order_col, row_id).
 
     ``row_id`` must be a unique whole number; rows with NULL order or group are not expected.
-    ``slice_unit`` is any unit of ``date_trunc``: choose a finer one for denser data.  A single
+    ``slice_unit``, any unit of ``date_trunc``, asks for calendar slices instead of ranges; a single
     date is cut further by ranges of ``row_id``, which is the order inside it.
     """
     depth = max(offsets)
     day = col(order_col)
     by_row = slice_unit == "DAY" and dict(df.dtypes)[order_col] == "date"
-    slice_key = F.struct(
+    slice_key = range_number(df, [*group, order_col, row_id]) if slice_unit is None else F.struct(
         F.date_trunc(slice_unit, day).alias("t"),
         (F.floor(col(row_id) / ROW_ID_SPAN) if by_row else F.lit(0)).cast("long").alias("r"),
     )

@@ -118,10 +118,9 @@ def group_lag_features(df: DataFrame, date: str, row_id: str, values: Sequence[s
                        group: str | None = None, slice_unit: str | None = None) -> DataFrame:
     """Days since the previous row of the group and lags 1 and 3; -1 where there is none.
 
-    Rows without a date or group get -1 everywhere.  A group that holds most rows is cut into
-    slices, so it never lands in one task: days, cut further by row id, or hours of a time.
+    Rows without a date or group get -1 everywhere.  A group, or a moment, that holds most rows is cut
+    into ranges of similar size, so it never lands in one task; ``slice_unit`` asks for calendar slices.
     """
-    slice_unit = slice_unit or ("DAY" if dict(df.dtypes)[date] == "date" else "HOUR")
     taken = set(df.columns)
     gap = unique_name(f"days_since_last_{date.lower().replace(' ', '_')}", taken)
     taken.add(gap)
