@@ -134,10 +134,10 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def count_at_most(ascending: Column, value: Column, most: int) -> Column:
+def count_at_most(ascending: Column, value: Column, most: int | None = None) -> Column:
     """How many elements of an ascending array are at most ``value``, by bisection.
 
-    ``most``: a size that the array does not exceed; the steps are its binary digits.
+    ``most``: a size that the array does not exceed, else its own size; the steps are its binary digits.
     """
     def step(s, _):
         middle = F.floor((s["low"] + s["high"]) / 2).cast("int")
@@ -147,4 +147,5 @@ def count_at_most(ascending: Column, value: Column, most: int) -> Column:
             F.struct(s["low"].alias("low"), middle.alias("high")))
 
     start = F.struct(F.lit(0).alias("low"), F.size(ascending).alias("high"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(max(1, int(most).bit_length()))), start, step, lambda s: s["low"])
+    steps = F.length(F.bin(F.size(ascending))) if most is None else F.lit(max(1, int(most).bit_length()))
+    return F.aggregate(F.sequence(F.lit(1), steps), start, step, lambda s: s["low"])

@@ -9,7 +9,7 @@ from pyspark.ml.regression import IsotonicRegression, LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillwise.functions.exprs import clip, col, mean_of
+from tillwise.functions.exprs import clip, col, count_at_most, mean_of
 
 # Sizes a calibrator needs (fixed values)
 MIN_REGRESSION, MIN_CLASSES, MIN_ISOTONIC, MIN_DISTINCT, SAMPLE = 30, 50, 100, 10, 5000
@@ -61,8 +61,8 @@ class Calibrator:
 
 
 def interpolate(x: Column, xs: Column, ys: Column) -> Column:
-    """Value at x of the line through the knots; flat beyond the ends."""
-    below = F.size(F.filter(xs, lambda v: v <= x))
+    """Value at x of the line through the knots, found by bisection; flat beyond the ends."""
+    below = count_at_most(xs, x)
     lo, hi = F.get(xs, below - 1), F.get(xs, below)
     a, b = F.get(ys, below - 1), F.get(ys, below)
     inside = F.when(lo == x, a).otherwise(a + (b - a) * F.try_divide(x - lo, hi - lo))

@@ -20,6 +20,7 @@ from tillwise.functions.exprs import col, ratio, scalar
 from tillwise.functions.vocab import (
     CHURN_MODEL_INPUTS, GROWTH_MODEL_INPUTS, MODEL_FEATURES, REVENUE_MODEL_INPUTS,
 )
+from tillwise.operators.calibration_jobs import Calibrators, apply_all
 from tillwise.operators.mapping import apply_mapping, pad_revenue_features, pad_zero_features
 
 
@@ -222,31 +223,45 @@ def _category(trained: Trained, name: str, given: set[str]):
 
 
 def score_revenue(df: DataFrame, mapping: dict, trained: Trained, as_of: datetime.date,
-                  keep: tuple[str, ...] = ()) -> DataFrame:
-    """Map, pad and predict every row in one lazy plan; ``keep`` columns come along."""
+                  keep: tuple[str, ...] = (), calibrators: Calibrators | None = None) -> DataFrame:
+    """Map, pad and predict every row in one plan; ``keep`` columns come along.
+
+    With ``calibrators``, and ``user_id`` among the kept columns, ``calibrated`` is added.
+    """
     cats = [c for c in ("product_category", "customer_region", "payment_method")
             if c in trained.features]
     mapped, given = _mapped(df, mapping, "revenue", as_of, keep, cats)
     padded = pad_revenue_features(mapped, trained.features, as_of)
     padded = padded.withColumns({c: _category(trained, c, given) for c in cats}) if cats else padded
-    return trained.model.transform(padded).select("_keep.*", "prediction")
+    out = trained.model.transform(padded).select("_keep.*", "prediction")
+    return calibrated_scores(out, "revenue", calibrators) if calibrators else out
 
 
 def score_churn(df: DataFrame, mapping: dict, trained: Trained, as_of: datetime.date,
-                keep: tuple[str, ...] = ()) -> DataFrame:
+                keep: tuple[str, ...] = (), calibrators: Calibrators | None = None) -> DataFrame:
     cats = [c for c in ("customer_segment", "preferred_region") if c in trained.features]
     mapped, given = _mapped(df, mapping, "churn", as_of, keep, cats)
     padded = pad_zero_features(mapped, [f for f in trained.features if f not in cats])
     padded = padded.withColumns({**{c: _category(trained, c, given) for c in cats},
                                  "weight": F.lit(1.0)})
-    return churn_probability(trained.model.transform(padded)).select("_keep.*", "churn_prob")
+    out = churn_probability(trained.model.transform(padded)).select("_keep.*", "churn_prob")
+    return calibrated_scores(out, "churn", calibrators, raw="churn_prob") if calibrators else out
 
 
 def score_growth(df: DataFrame, mapping: dict, trained: Trained, as_of: datetime.date,
-                 keep: tuple[str, ...] = ()) -> DataFrame:
+                 keep: tuple[str, ...] = (), calibrators: Calibrators | None = None) -> DataFrame:
     mapped, _given = _mapped(df, mapping, "growth", as_of, keep)
     padded = pad_zero_features(mapped, trained.features)
-    return trained.model.transform(padded).select("_keep.*", "prediction")
+    out = trained.model.transform(padded).select("_keep.*", "prediction")
+    return calibrated_scores(out, "growth", calibrators) if calibrators else out
+
+
+def calibrated_scores(scored: DataFrame, model_kind: str, fitted: Calibrators, user: str = "user_id",
+                      raw: str = "prediction") -> DataFrame:
+    """``scored`` with ``calibrated``, each row through the active calibrator of its user for this kind."""
+    rows = scored.select(F.struct(*[col(c) for c in scored.columns]).alias("_scored"), col(user).cast("long").alias(
+        "user_id"), F.lit(model_kind).alias("model_kind"), col(raw).alias("_raw"))
+    return apply_all(rows, fitted, "_raw").select("_scored.*", "calibrated")
 
 
 def mapping_of(model_kind: str) -> dict[str, str]:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tillwise.operators import aggregates as A
 from tillwise.operators import calibrate as B
+from tillwise.operators import calibration_jobs as J
 from tillwise.operators import churn as C
 from tillwise.operators import forecast as X
 from tillwise.operators import learn as L
@@ -305,6 +306,56 @@ def _(i):
         "event_id", F.round("calibrated", 6).alias("calibrated"))
 
 
+# Calibrators of every supplier at once: by kind, quantities against prices, or discounts against returns
+USER_PAIRS = """
+SELECT l_orderkey, l_linenumber, l_suppkey AS user_id,
+  CASE l_suppkey % 3 WHEN 0 THEN 'revenue' WHEN 1 THEN 'churn' ELSE 'growth' END AS model_kind,
+  CASE WHEN l_suppkey % 3 = 1 THEN l_discount * 11 - 0.05 WHEN l_suppkey % 8 = 5 THEN floor(l_quantity / 9)
+       ELSE l_quantity END AS prediction,
+  CASE WHEN l_suppkey % 15 = 1 THEN 1.0 WHEN l_suppkey % 3 = 1 THEN CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END
+       ELSE floor(l_extendedprice / 100) - floor(400 * l_tax) END AS actual FROM lineitem"""
+USER_FITS = f"""
+p AS (SELECT l_orderkey, l_linenumber, user_id, model_kind, CAST(prediction AS DOUBLE) AS prediction, CAST(actual AS DOUBLE) AS y, CAST(CASE WHEN model_kind = 'churn'
+        THEN LEAST(GREATEST(prediction, 0.0), 1.0) ELSE prediction END AS DOUBLE) AS x FROM ({USER_PAIRS})),
+c AS (SELECT user_id, model_kind, x, SUM(y) AS s, COUNT(*) AS w FROM p GROUP BY ALL),
+k AS (SELECT user_id, model_kind, COUNT(*) AS n, SUM(y) AS pos, COUNT(DISTINCT x) AS d, regr_slope(y, x) AS slope,
+        regr_intercept(y, x) AS intercept FROM p GROUP BY ALL),
+t AS (SELECT *, CASE WHEN n < CASE model_kind WHEN 'churn' THEN 50 ELSE 30 END THEN 'refused: too few pairs'
+        WHEN model_kind = 'churn' AND pos IN (0, n) THEN 'refused: one class'
+        WHEN model_kind = 'churn' OR (n >= 100 AND d >= 10) THEN 'isotonic' ELSE 'linear' END AS calibrator_kind FROM k),
+a AS (SELECT user_id, model_kind, x, SUM(s) OVER o AS cs, SUM(w) OVER o AS cw, SUM(s) OVER o - s AS bs, SUM(w) OVER o - w AS bw
+      FROM c SEMI JOIN (SELECT user_id, model_kind FROM t WHERE calibrator_kind = 'isotonic') i USING (user_id, model_kind)
+      WINDOW o AS (PARTITION BY user_id, model_kind ORDER BY x)),
+m AS (SELECT f.user_id, f.model_kind, f.x AS low, l.x, MIN((l.cs - f.bs) / (l.cw - f.bw)) OVER (
+        PARTITION BY f.user_id, f.model_kind, f.x ORDER BY l.x DESC) AS least
+      FROM a f JOIN a l ON f.user_id = l.user_id AND f.model_kind = l.model_kind AND f.x <= l.x),
+g AS (SELECT user_id, model_kind, x, MAX(least) AS fit FROM m GROUP BY ALL),
+v AS (SELECT p.*, calibrator_kind, CASE calibrator_kind WHEN 'isotonic' THEN fit WHEN 'linear' THEN intercept + slope * p.x
+        ELSE p.x END AS fitted FROM p JOIN t USING (user_id, model_kind) LEFT JOIN g USING (user_id, model_kind, x))"""
+
+
+@query("fit_user_calibrators", f"""
+WITH {USER_FITS}, e AS (SELECT user_id, model_kind, calibrator_kind, COUNT(*) AS n_samples,
+  AVG(CASE model_kind WHEN 'churn' THEN pow(x - y, 2) ELSE ABS(y - x) END) AS b,
+  AVG(CASE model_kind WHEN 'churn' THEN pow(fitted - y, 2) ELSE ABS(y - fitted) END) AS a FROM v GROUP BY ALL)
+SELECT user_id, model_kind, calibrator_kind, n_samples, CASE WHEN calibrator_kind NOT LIKE 'refused%' THEN ROUND(b, 4) END AS error_before,
+  CASE WHEN calibrator_kind NOT LIKE 'refused%' THEN ROUND(a, 4) END AS error_after FROM e""")
+def _(i):
+    table = J.fit_calibrators(i.sql(USER_PAIRS)).table
+    return table.select("user_id", "model_kind", "calibrator_kind", "n_samples", "error_before", "error_after")
+
+
+@query("apply_user_calibrators", f"""
+WITH {USER_FITS}
+SELECT l_orderkey, l_linenumber, user_id, ROUND(CASE WHEN calibrator_kind LIKE 'refused%' THEN prediction
+  WHEN model_kind = 'churn' THEN LEAST(GREATEST(fitted, 0.0), 1.0) ELSE GREATEST(fitted, 0.0) END, 6) AS calibrated
+FROM v""")
+def _(i):
+    pairs = i.sql(USER_PAIRS).withColumn("prediction", F.col("prediction").cast("double"))
+    return J.apply_all(pairs, J.fit_calibrators(pairs)).select(
+        "l_orderkey", "l_linenumber", "user_id", F.round("calibrated", 6).alias("calibrated"))
+
+
 # Forecasts ----------------------------------------------------------------------------------
 
 def _seasonal_sql(dev, value, fitted):
