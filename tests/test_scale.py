@@ -189,3 +189,26 @@ def test_search_in_batches(spark, monkeypatch):
         sim = unit @ (v / np.linalg.norm(v))
         want = [k for k in np.argsort(-sim)[:4] if sim[k] >= 0.25]
         assert [r.chunk_id for r in sorted((r for r in got if r.question_id == q), key=lambda r: r.rank)] == want
+
+
+def test_laws_are_those_of_testing_every_triple(spark):
+    """Sparse columns, copies of columns, zeros, signs, tiny and missing values, and noise."""
+    rng = random.Random(8)
+    rows = []
+    for k in range(3000):
+        a, b = rng.choice([0.0, rng.uniform(-50, 50)]), float(rng.randrange(1, 9))
+        c = rng.choice([None, rng.uniform(1, 100)])
+        few = rng.uniform(1, 9) if k % 30 == 0 else None
+        rows.append((a, b, a + b, a * b, c, None if c is None else c / b, a + b if k % 200 else a + b + 1, a, few,
+                     None if few is None else few - b, 1e-10 * b, 2e-10 * b, float("nan") if k % 50 == 0 else b - a,
+                     rng.gauss(0, 1e3)))
+    names = ["a", "b", "total", "area", "c", "rate", "nearly", "copy", "few", "less", "tiny", "twice", "odd", "noise"]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names)).repartition(4)
+    tests = [(i, j, k, o) for i in range(14) for j in range(14) for k in range(14) if len({i, j, k}) == 3
+             for o, op in enumerate(laws.OPS) if i < j or op in ("subtraction", "division")]
+    want = set()
+    for start in range(0, len(tests), 3000):
+        want |= {tuple(r) for r in laws._law_rows(df, names, tests[start:start + 3000]).collect()}
+    got = {tuple(r) for r in laws.law_discovery(df, names).collect()}
+    assert got == want and len(got) > 20
+    assert {("few", "b", "less", "subtraction"), ("a", "b", "nearly", "addition")} <= {r[1:5] for r in got}
