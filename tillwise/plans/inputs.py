@@ -52,9 +52,11 @@ SELECT o_orderkey AS order_id, o_custkey AS customer_id, CAST(o_orderdate AS DAT
 FROM orders
 """
 
-# The same orders cut to a short and to a refused span of history
-TX_SHORT = TX.strip() + "\nWHERE o_orderdate >= DATE '2000-08-01'\n"
-TX_TINY = TX.strip() + "\nWHERE o_orderdate >= DATE '2001-04-01'\n"
+# The same orders with their dates pressed into a short and into a refused span of history
+PRESSED = """CAST(DATE '2000-08-01' + CAST(floor(((year(o_orderdate) - 1995) * 365 + month(o_orderdate) * 30
+         + day(o_orderdate)) / {days}) AS INT) AS DATE) AS order_date"""
+TX_SHORT = TX.replace("CAST(o_orderdate AS DATE) AS order_date", PRESSED.format(days=7))
+TX_TINY = TX.replace("CAST(o_orderdate AS DATE) AS order_date", PRESSED.format(days=20))
 
 VIEWS = {"sales": SALES, "tx": TX, "tx_short": TX_SHORT, "tx_tiny": TX_TINY}
 
