@@ -212,3 +212,20 @@ def test_laws_are_those_of_testing_every_triple(spark):
     got = {tuple(r) for r in laws.law_discovery(df, names).collect()}
     assert got == want and len(got) > 20
     assert {("few", "b", "less", "subtraction"), ("a", "b", "nearly", "addition")} <= {r[1:5] for r in got}
+
+
+def test_label_codes_without_a_list(spark):
+    """Very many labels, a hot one, missing and unseen ones, two columns with the same labels."""
+    rows = [("hot" if k % 3 else f"l{k * 7919 % 9973:05d}", f"l{k % 7}" if k % 11 else None, k) for k in range(20_000)]
+    df = spark.createDataFrame(rows, "a string, b string, k int")
+    got = learn.label_encode(df, ["a", "b"])
+    assert got.columns == ["a", "b", "k", "a_code", "b_code"]
+    want = {c: {v: n for n, v in enumerate(sorted({r[i] for r in rows} - {None}))} for i, c in enumerate("ab")}
+    for r in got.collect():
+        assert r.a_code == want["a"][r.a] and r.b_code == want["b"].get(r.b, 7)
+    other = spark.createDataFrame([("hot", "new"), (None, "l3"), ("", "l0")], "a string, b string")
+    found = learn.label_encode(other, ["a", "b"], learn.label_codes(df, ["a", "b"]))
+    n = len(want["a"])
+    assert {(r.a, r.a_code, r.b_code) for r in found.collect()} == {("hot", want["a"]["hot"], 7), (None, n, 3), ("", n, 0)}
+    none = learn.label_encode(df.limit(0), ["a"])
+    assert none.count() == 0

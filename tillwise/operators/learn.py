@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillwise.functions.exprs import col, ratio, scalar
+from tillwise.functions.lags import range_number
 from tillwise.functions.vocab import (
     CHURN_MODEL_INPUTS, GROWTH_MODEL_INPUTS, MODEL_FEATURES, REVENUE_MODEL_INPUTS,
 )
@@ -32,9 +33,39 @@ def label_encoder(df: DataFrame, columns: Sequence[str]):
                          stringOrderType="alphabetAsc", handleInvalid="keep").fit(df)
 
 
-def label_encode(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    out = label_encoder(df, columns).transform(df)
-    return out.withColumns({f"{c}_code": F.col(f"{c}_code").cast("int") for c in columns})
+def label_codes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column_name, label, code): the labels of each column numbered from 0 in sorted order.
+
+    Different labels are cut into ranges of similar size and numbered inside them; a range begins at
+    the number of labels of its column in the ranges before it.  No label list reaches the driver.
+    """
+    labels = df.select(F.explode(F.array(*[F.struct(
+        F.lit(c).alias("column_name"), col(c).cast("string").alias("label")) for c in columns])).alias("x")).select(
+        "x.*").where("label IS NOT NULL").distinct()
+    labels = labels.withColumn("range", range_number(labels, ["column_name", "label"]))
+    sizes = labels.groupBy("column_name", "range").agg(F.count("*").alias("n"))
+    # one row for each column and range
+    before = Window.partitionBy("column_name").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("column_name", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    inside = F.row_number().over(Window.partitionBy("column_name", "range").orderBy("label"))
+    return labels.withColumn("place", inside).join(starts, ["column_name", "range"]).select(
+        "column_name", "label", (F.col("start") + F.col("place") - 1).cast("int").alias("code"))
+
+
+def label_encode(df: DataFrame, columns: Sequence[str], codes: DataFrame | None = None) -> DataFrame:
+    """``df`` with an integer for each category in sorted order.
+
+    ``codes``: those of other rows, for instance the training rows; a value they do not hold, or a
+    missing one, gets the next number.
+    """
+    codes = label_codes(df, columns) if codes is None else codes
+    for c in columns:
+        own = codes.where(F.col("column_name") == c)
+        unseen = own.agg(F.count("*").cast("int")).scalar()
+        found = own.select(F.col("label").alias("_label"), F.col("code").alias("_code"))
+        df = df.join(found, col(c).cast("string") == F.col("_label"), "left").withColumn(
+            f"{c}_code", F.coalesce("_code", unseen)).drop("_label", "_code")
+    return df
 
 
 def fit_scaler(train: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float]]:
