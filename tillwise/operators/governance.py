@@ -339,7 +339,7 @@ def top_features(importances: DataFrame, n: int = 10, by: tuple[str, ...] = ("mo
     return importances.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
-# Facts as text ------------------------------------------------------------------------------
+# Facts as text (the labels of its lines are fixed values) -------------------------------------
 
 def _shown(c: str, missing: str = "N/A") -> Column:
     return F.coalesce(F.col(c).cast("string"), F.lit(missing))
