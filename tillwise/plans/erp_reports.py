@@ -232,6 +232,23 @@ def _(i):
     return read_csv_encoded(i.spark, path, "c_custkey long, label string, c_acctbal double")
 
 
+@query("erp_snapshot_stream", f"""
+SELECT id, state, write_date FROM ({ORDERS}) WHERE state IN ('sale', 'done')""")
+def _(i):
+    """Two loads and a repeated one into a snapshot in buckets."""
+    from tillwise.streaming.incremental import merge_batch, snapshot_records, sync_snapshot
+
+    base, df = i.scratch(), i.sql(ORDERS)
+    landing, out, marks = f"{base}/landing", f"{base}/out", f"{base}/marks"
+    early = F.col("date_order") < "1999-01-01"
+    df.where(early).write.mode("append").parquet(landing)
+    sync_snapshot(i.spark, landing, df.schema, out, marks, "orders", buckets=8)
+    df.where(~early).write.mode("append").parquet(landing)
+    sync_snapshot(i.spark, landing, df.schema, out, marks, "orders", buckets=8)
+    merge_batch(df.where("state IN ('sale', 'done') AND id % 50 = 0"), 2, out, buckets=8)  # sent again
+    return snapshot_records(i.spark, out, df.schema).select("id", "state", "write_date")
+
+
 CHARSET_LABELS = {"UTF-8": "上海 naïve, עמדה", "ISO-8859-1": "crème brûlée", "windows-1252": "“5 €” – naïve",
                   "windows-1256": "عميل جديد, پاريس", "UTF-16LE": "مرحبا ج 上", "UTF-16BE": "Њ 上海"}
 
