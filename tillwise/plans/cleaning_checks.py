@@ -444,13 +444,27 @@ def _(i):
     return L.law_discovery(i.sql(LAW_ROWS), LAW_COLS).drop("seq")
 
 
-@query("law_resolution", """
-SELECT * FROM (VALUES ('units', 'unit_price', 'gross_value', 'multiplication'),
-  ('rebate', 'levy', 'both_shares', 'addition')) t(base_a, base_b, derived, op)
-WHERE EXISTS (SELECT 1 FROM lineitem JOIN part ON l_partkey = p_partkey)""")
-def _(i):
-    return L.law_resolution(L.law_discovery(i.sql(LAW_ROWS), LAW_COLS)).where(
-        "outcome = 'kept'").select("base_a", "base_b", "derived", "op")
+def _resolution_sql():
+    """All laws found, the better ones first for each derived column, then one form of each family."""
+    at = lambda c: "CASE " + c + " " + " ".join(f"WHEN '{n}' THEN {k}" for k, n in enumerate(LAW_COLS)) + " END"
+    return f"""
+WITH c AS (SELECT *, (({at("base_a")} * {len(LAW_COLS)} + {at("base_b")}) * {len(LAW_COLS)} + {at("derived")}) * 4
+    + CASE op WHEN 'addition' THEN 0 WHEN 'subtraction' THEN 1 WHEN 'multiplication' THEN 2 ELSE 3 END AS seq,
+    CASE op WHEN 'multiplication' THEN 3 WHEN 'addition' THEN 2 WHEN 'subtraction' THEN 1 ELSE 0 END AS rank,
+    CASE WHEN op IN ('addition', 'subtraction') THEN 'additive' ELSE 'multiplicative' END AS family,
+    list_sort([base_a, base_b, derived]) AS members FROM ({_law_sql()})),
+p AS (SELECT *, row_number() OVER (PARTITION BY derived ORDER BY confidence DESC, rank DESC, seq) AS place,
+    MIN(seq) OVER (PARTITION BY derived) AS first_seq FROM c),
+f AS (SELECT *, row_number() OVER (PARTITION BY members, family, place = 1
+    ORDER BY CASE WHEN op IN ('addition', 'multiplication') THEN 0 ELSE 1 END, first_seq) AS form FROM p)
+SELECT base_a, base_b, derived, op, CASE WHEN place > 1 THEN 'displaced' WHEN form > 1 THEN 'rearrangement' ELSE 'kept' END
+  AS outcome FROM f"""
+
+
+@query("law_resolution", _resolution_sql())
+def _(i):
+    return L.law_resolution(L.law_discovery(i.sql(LAW_ROWS), LAW_COLS)).select(
+        "base_a", "base_b", "derived", "op", "outcome")
 
 
 LAWS = [L.Law("units", "unit_price", "gross_value", "multiplication", False),
