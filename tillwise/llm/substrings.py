@@ -50,10 +50,9 @@ def sketch_cells(docs: DataFrame, most_cells: int) -> int:
 
 
 def cells_of(h: np.ndarray, cells: int) -> list[np.ndarray]:
-    """The cell of each hash in each row; row r owns the r-th part of the cells."""
+    """The cell of each hash in each row, numbered inside its row."""
     width = np.uint64(cells // ROWS)
-    return [(mix(h + np.uint64(r)) % width + np.uint64(r) * width).astype(np.int64)
-            for r in range(ROWS)]
+    return [(mix(h + np.uint64(r)) % width).astype(np.uint32) for r in range(ROWS)]
 
 
 def packed(at: np.ndarray) -> bytes:
@@ -84,33 +83,39 @@ def partition_sketches(docs: DataFrame, cells: int) -> DataFrame:
     schema = pa.schema([("block", pa.int32()), ("once", pa.binary()), ("twice", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def flush() -> pa.RecordBatch:
-            at = np.sort(np.concatenate(held))
-            new = np.r_[True, at[1:] != at[:-1]]
-            again = np.unique(at[~new])
+        held, size = [[] for _ in range(ROWS)], 0
+
+        def flush(r: int) -> pa.RecordBatch:
+            at = np.concatenate(held[r])
+            held[r].clear()
+            at.sort()
+            new = np.ones(len(at), bool)
+            np.not_equal(at[1:], at[:-1], out=new[1:])
+            again = at[~new]
+            again = again[np.r_[True, again[1:] != again[:-1]]] if len(again) else again
             at = at[new]
-            block = np.unique(at // BLOCK_CELLS)
-            low, high = block * BLOCK_CELLS, (block + 1) * BLOCK_CELLS
-            part = [[packed(x[i:j] - b) for b, i, j in zip(low, np.searchsorted(x, low),
-                                                           np.searchsorted(x, high))]
+            own = at // BLOCK_CELLS
+            block = own[np.r_[True, own[1:] != own[:-1]]].astype(np.int64)
+            part = [[packed((x[i:j] - np.uint32(b * BLOCK_CELLS)).astype(np.int64)) for b, i, j in zip(
+                block, np.searchsorted(x, block * BLOCK_CELLS), np.searchsorted(x, (block + 1) * BLOCK_CELLS))]
                     for x in (at, again)]
+            first = r * (cells // ROWS // BLOCK_CELLS)
             return pa.RecordBatch.from_arrays(
-                [pa.array(block.astype(np.int32)), pa.array(part[0], pa.binary()),
+                [pa.array((block + first).astype(np.int32)), pa.array(part[0], pa.binary()),
                  pa.array(part[1], pa.binary())], schema=schema)
 
         for batch in slices(batches, size=SLICE_BYTES):
             words = Words(batch.column("text"))
             at = words.windows(SIZE)
             if len(at):
-                held += cells_of(window_hashes(words.hash, at, SIZE), cells)
+                for r, cell in enumerate(cells_of(window_hashes(words.hash, at, SIZE), cells)):
+                    held[r].append(cell)
                 size += len(at)
             if size >= FLUSH:
-                yield flush()
-                held, size = [], 0
-        if held:
-            yield flush()
+                yield from map(flush, range(ROWS))
+                size = 0
+        if size:
+            yield from map(flush, range(ROWS))
 
     return docs.select("text").mapInArrow(run, "block int, once binary, twice binary")
 
@@ -170,7 +175,8 @@ def estimated_repeats(docs: DataFrame, sketch: np.ndarray, cells: int) -> DataFr
             at = words.windows(SIZE)
             h = window_hashes(words.hash, at, SIZE)
             often = np.ones(len(at), bool)
-            for cell in cells_of(h, cells):
+            for r, cell in enumerate(cells_of(h, cells)):
+                cell = cell.astype(np.int64) + r * (cells // ROWS)
                 often &= (bits[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 > 0
             at, h = at[often], h[often]
             second = window_hashes(words.hash, at, SIZE, 1) >> np.uint64(32)
