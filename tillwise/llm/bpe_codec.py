@@ -31,6 +31,7 @@ from tillwise.llm.token_counts import byte_symbols
 SHORT = 64
 WIDTHS = (4, 8, 16, 32, SHORT)
 MOST_KNOWN = 1_000_000
+SLICE_BYTES = 2 << 20
 NONE = np.iinfo(np.int32).max
 
 
@@ -182,6 +183,11 @@ class Encoder:
         """Ids of all texts one after the other, and the number of each text's ids."""
         parts, owner, specials = self.scheme.parts(texts)
         pieces = Pieces(parts, self.scheme.joined_space)
+        return self.ids_of(pieces, owner, specials, len(texts))
+
+    def ids_of(self, pieces: Pieces, owner: np.ndarray, specials: list[tuple[int, int]],
+               texts: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same for texts already cut: their pre-tokens, the text of each part, special strings."""
         keys, first, back = np.unique(pieces.hash, return_index=True, return_inverse=True)
         self._learn(keys, pieces, first)
         at = self._find(keys)[0][back]
@@ -193,7 +199,7 @@ class Encoder:
             count = np.insert(count, place, 1)
             row = np.insert(row, place, owner[before - 1])
             ids = np.r_[ids, special.astype(np.int32)]
-        return ids[ragged(begin, count)], np.bincount(row, count, len(texts)).astype(np.int64)
+        return ids[ragged(begin, count)], np.bincount(row, count, texts).astype(np.int64)
 
 
 class Decoder:
@@ -235,7 +241,7 @@ def encode_texts(docs: DataFrame, path: str, text: str = "text", ids: str = "ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path)
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, SLICE_BYTES):
             found, count = encoder([t or "" for t in batch.column(text).to_pylist()])
             ends = np.r_[0, np.cumsum(count)] * 4
             packed = pa.Array.from_buffers(pa.large_binary(), len(count), [
@@ -254,7 +260,7 @@ def decode_ids(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decode = Decoder(path)
-        for batch in slices(batches, ids):
+        for batch in slices(batches, ids, SLICE_BYTES):
             texts = [decode(np.frombuffer(b or b"", "<u4")) for b in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(texts, pa.string())],
                                              [*kept, text])

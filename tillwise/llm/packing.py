@@ -15,8 +15,6 @@ A null or empty text has only the end token.  Repeated rows and ids are document
 
 from __future__ import annotations
 
-import itertools
-import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,13 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillwise.llm.arrays import slices
+from tillwise.llm.bpe_codec import Encoder as RankEncoder
 from tillwise.llm.pretokens import Pieces, Scheme
 from tillwise.llm.staging import Scratch
 
 DIMENSIONS, BITS = 4, 15
 HASHED = 1 << 12
-#: Pre-tokens a task keeps the ids of, and those it asks the library for at once.
-MOST_KNOWN, AT_ONCE = 600_000, 2_000
 SLICE_BYTES = 2 << 20
 #: Bytes of ids in a batch of pieces.
 BATCH_BYTES = 8 << 20
@@ -43,59 +40,23 @@ PIECES = ("doc_id long, start long, length long, ids binary, doc_tokens long, se
           "offset long")
 
 
-class Encoder:
-    """Token ids of texts by the tokenizers library, asked once for each distinct pre-token."""
+class Encoder(RankEncoder):
+    """Token ids of texts, equal to those of the tokenizers library, and the sums of the texts' directions."""
 
-    def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-        from tokenizers import Tokenizer
-
-        self.scheme, self.library = Scheme(path), Tokenizer.from_file(path)
-        self._clear()
-
-    def _clear(self) -> None:
-        self.known: dict[int, int] = {}
-        self.flat, self.first = np.zeros(0, np.uint32), np.zeros(1, np.int64)
-
-    def _learn(self, keys: list[int], texts: list[str]) -> None:
-        self.known.update(zip(keys, range(len(self.first) - 1, len(self.first) - 1 + len(keys))))
-        flat, sizes = [self.flat], []
-        for at in range(0, len(texts), AT_ONCE):
-            found = [e.ids for e in self.library.encode_batch_fast(texts[at:at + AT_ONCE],
-                                                                   add_special_tokens=False)]
-            sizes += map(len, found)
-            flat.append(np.array(list(itertools.chain.from_iterable(found)), np.uint32))
-        self.first = np.r_[self.first, self.first[-1] + np.cumsum(sizes, dtype=np.int64)]
-        self.flat = np.concatenate(flat)
-
-    def __call__(self, texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
-        """Ids of each text, and the sum of its pre-tokens' directions."""
+    def with_directions(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, their numbers, and each text's sum of directions."""
         parts, owner, specials = self.scheme.parts(texts)
         pieces = Pieces(parts, self.scheme.joined_space)
-        h, at, back = np.unique(pieces.hash, return_index=True, return_inverse=True)
-        keys = h.tolist()
-        new = [k for k, x in enumerate(keys) if x not in self.known]
-        if new and len(self.known) + len(new) > MOST_KNOWN:
-            self._clear()
-            new = range(len(keys))
-        if new:
-            self._learn([keys[k] for k in new], [pieces.text(at[k]) for k in new])
-        flat, first = self.flat, self.first
-        entry = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))[back]
-        size = first[entry + 1] - first[entry]
-        done = np.r_[0, np.cumsum(size)]
-        ids = flat[np.arange(done[-1]) + np.repeat(first[entry] - done[:-1], size)]
-        bounds = done[np.searchsorted(pieces.row, np.arange(len(parts) + 1))]
-        runs = [ids[i:j] for i, j in zip(bounds[:-1], bounds[1:])]
-        for part, special in reversed(specials):
-            runs[part - 1] = np.r_[runs[part - 1], np.uint32(special)]
-        begin = np.searchsorted(owner, np.arange(len(texts) + 1))
-        out = [runs[i] if j == i + 1 else np.concatenate(runs[i:j])
-               for i, j in zip(begin[:-1], begin[1:])]
-        direction = _DIRECTIONS[(pieces.hash % np.uint64(HASHED)).astype(np.int64)]
+        ids, count = self.ids_of(pieces, owner, specials, len(texts))
+        slot = (pieces.hash % np.uint64(HASHED)).astype(np.int64)
         row = owner[pieces.row]
-        sums = np.stack([np.bincount(row, direction[:, d], len(texts)) for d in range(DIMENSIONS)], 1)
-        return out, sums.astype(np.float64)
+        sums = np.stack([np.bincount(row, _DIRECTIONS[:, d][slot], len(texts)) for d in range(DIMENSIONS)], 1)
+        return ids, count, sums.astype(np.float64)
+
+    def __call__(self, texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
+        """Ids of each text, and the sums."""
+        ids, count, sums = self.with_directions(texts)
+        return np.split(ids, np.cumsum(count)[:-1]) if len(texts) else [], sums
 
 
 def hilbert_keys(sums: np.ndarray) -> np.ndarray:
@@ -144,13 +105,18 @@ def tokenized(docs: DataFrame, path: str, end: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, row = Encoder(path), TaskContext.get().partitionId() << 33
         for batch in slices(batches, size=SLICE_BYTES):
-            ids, sums = encode([t or "" for t in batch.column("text").to_pylist()])
-            ids = [np.r_[i, np.uint32(end)].astype(kind) for i in ids]
-            n = len(ids)
+            found, count, sums = encode.with_directions([t or "" for t in batch.column("text").to_pylist()])
+            n = len(count)
+            stop = np.cumsum(count + 1)
+            ids = np.full(stop[-1], end, kind)  # the end tokens stay
+            inner = np.ones(len(ids), bool)
+            inner[stop - 1] = False
+            ids[inner] = found
+            ends = np.r_[0, stop] * ids.itemsize
+            packed = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(ids)])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.arange(row, row + n)),
-                 pa.array(hilbert_keys(sums)), pa.array([i.tobytes() for i in ids], pa.binary()),
-                 pa.array([len(i) for i in ids], pa.int64())],
+                [batch.column("doc_id"), pa.array(np.arange(row, row + n)), pa.array(hilbert_keys(sums)),
+                 packed.cast(pa.binary()), pa.array(count + 1)],
                 ["doc_id", "row", "key", "ids", "doc_tokens"])
             row += n
 
