@@ -6,6 +6,7 @@ import pytest
 from conftest import SF
 
 import __spark_entry__ as entry
+from tillwise.operators.aggregates import monthly_aggregate, monthly_lags
 
 QUERIES = entry.queries()
 
@@ -26,7 +27,8 @@ def test_pruned_scan(spark, name, columns):
 
 
 def test_filter_reaches_the_scan(spark):
-    plan = plan_of(QUERIES["churn_label_adaptive"](spark, SF))
+    orders = spark.read.parquet(f"{SF}/orders.parquet").where("o_orderdate >= '2000-08-01'")
+    plan = plan_of(monthly_lags(monthly_aggregate(orders, "o_orderdate", "o_totalprice")))
     assert re.search(r"PushedFilters: \[[^\]]*GreaterThanOrEqual\(o_orderdate", plan)
 
 
