@@ -36,12 +36,16 @@ THRESHOLDS = (1, 2, 3, 4, 6)
 
 @dataclass
 class Model:
-    """Dictionary contents and the calibration; without ``weights`` every score is ``share``."""
+    """Dictionary contents and the calibration; without ``weights`` every score is ``share``.
+
+    ``cut``: the score from which on a text is to be rejected.
+    """
 
     toxic: bytes
     ordinary: bytes
     weights: np.ndarray | None
     share: float
+    cut: float = 0.5
 
 
 def prepared(texts: list[str]) -> Words:
@@ -212,18 +216,42 @@ def labelled(docs: DataFrame, labels: DataFrame, per_class: int, longest: int) -
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, longest: int = 40_000,
-        dictionary_bytes: int = 32 << 10, toxic_bytes: int = 16 << 10) -> Model:
-    """A model from labelled texts; see the module's text for what it reads."""
+        dictionary_bytes: int = 32 << 10, toxic_bytes: int = 16 << 10, most_lost: float = 0.02) -> Model:
+    """A model from labelled texts; see the module's text for what it reads.
+
+    Its cut is 0.5, or lower where fewer than ``most_lost`` of the ordinary texts of the calibration half
+    would be rejected by that.  The bounded sample is worked on in one task.
+    """
     counts = {bool(r["toxic"]): r["n"] for r in labels.join(docs.select("doc_id"), "doc_id")
               .where(F.col("toxic").isNotNull()).groupBy((F.col("toxic") == 1).alias("toxic"))
               .agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(counts.values())
     share = counts.get(True, 0) / total if total else 0.5
-    rows = labelled(docs, labels, per_class, longest).select("text", "is_toxic").collect()
-    texts = {kind: [r["text"] for r in rows if r["is_toxic"] == kind] for kind in (True, False)}
-    del rows
-    if min(map(len, texts.values())) < 2:
+    rows = labelled(docs, labels, per_class, longest).select(
+        "text", "is_toxic", F.xxhash64("doc_id", F.lit(11)).alias("drawn"), "doc_id", F.xxhash64("text").alias("print"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts: dict[bool, list] = {True: [], False: []}
+        for batch in batches:
+            for text, kind, *order in zip(*[c.to_pylist() for c in batch.columns]):
+                texts[kind].append((*order, text))
+        texts = {kind: [row[-1] for row in sorted(found)] for kind, found in texts.items()}
+        if min(map(len, texts.values())) >= 2:
+            model = fitted(texts, share, dictionary_bytes, toxic_bytes, most_lost)
+            yield pa.RecordBatch.from_pydict({
+                "toxic": pa.array([model.toxic], pa.binary()), "ordinary": pa.array([model.ordinary], pa.binary()),
+                "weights": [model.weights.tolist()], "cut": [float(model.cut)]})
+
+    found = rows.coalesce(1).mapInArrow(
+        run, "toxic binary, ordinary binary, weights array<double>, cut double").first()
+    if found is None:
         return Model(b"", b"", None, share)
+    return Model(bytes(found["toxic"]), bytes(found["ordinary"]), np.array(found["weights"]), share, found["cut"])
+
+
+def fitted(texts: dict[bool, list[str]], share: float, dictionary_bytes: int, toxic_bytes: int,
+           most_lost: float) -> Model:
+    """A model from texts of both classes: every other one trains the dictionaries, the rest calibrates."""
     train, hold = ({kind: t[k::2] for kind, t in texts.items()} for k in (0, 1))
     found = marked_words(train[True], train[False])
     toxic = [b" " + w + b" " for w, n in found.items() for _ in range(min(n, 20))]
@@ -242,14 +270,18 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, longest: int
     y = np.r_[np.ones(len(hold[True])), np.zeros(len(hold[False]))]
     weight = np.where(y == 1, share / len(hold[True]), (1 - share) / len(hold[False])) * len(y)
     model.weights = calibrated(x, y, weight)
+    model.cut = min(0.5, float(np.quantile(chances(x, model)[y == 0], 1 - most_lost)))
     return model
 
 
+def chances(x: np.ndarray, model: Model) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x @ model.weights[1:] + model.weights[0], -30, 30)))
+
+
 def scores(words: Words, model: Model, pair) -> np.ndarray:
     if model.weights is None:
         return np.full(words.rows, model.share)
-    x = features(words, pair)
-    return 1 / (1 + np.exp(-np.clip(x @ model.weights[1:] + model.weights[0], -30, 30)))
+    return chances(features(words, pair), model)
 
 
 def score_texts(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:
