@@ -23,10 +23,10 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is under 0.5; the model learns from their labels."""
+    """Documents whose toxicity score is under the model's cut; it learns from their labels."""
     docs = docs.select(*COLUMNS)
     model = fit(docs, table(spark, sf_dir, "labels"))
-    return score_texts(docs, model).where(~(F.col("toxicity") >= 0.5)).select(*COLUMNS)
+    return score_texts(docs, model).where(~(F.col("toxicity") >= model.cut)).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
