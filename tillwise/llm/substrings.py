@@ -11,8 +11,8 @@ document id of each hash is found with map-side combining, and joined back to th
 that also start in a document with a smaller id are removed.
 
 The sketch has about six cells for each window, rounded up to a power of two, and at most
-``most_cells``, so its broadcast is bounded (a bit a cell); beyond that it lets more windows through
-to the exact grouping, never fewer.
+``most_cells``; beyond that it lets more windows through to the exact grouping, never fewer.  It is a file
+of a bit a cell in the shared folder, which the tasks of a machine map together.
 
 Null and empty texts have no words.  A null id counts as larger than any other.  Rows with equal ids
 do not remove each other's windows.
@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillwise.llm.arrays import Words, mix, slices, window_hashes
+from tillwise.llm.shared_files import mapped, put
 from tillwise.llm.staging import Scratch
 
 SIZE = 13
@@ -150,26 +151,31 @@ def merged_sketch(sketches: DataFrame) -> DataFrame:
             .mapInArrow(run, "block int, often binary"))
 
 
-def sketch_bits(blocks: dict[int, bytes], cells: int) -> np.ndarray:
-    """The sketch as bits."""
-    bits = np.zeros(cells // 8, np.uint8)
-    for block, content in blocks.items():
-        at = block * (BLOCK_CELLS // 8)
-        bits[at:at + BLOCK_CELLS // 8] = np.packbits(unpacked(content))
-    return bits
+def write_sketch(sketch: DataFrame, cells: int, folder: str) -> None:
+    """The merged sketch as a file of bits, of ``cells`` / 8 bytes, in the shared folder; one task lays
+    its blocks side by side."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(cells // 8, np.uint8)
+        for batch in batches:
+            for block, content in zip(*[batch.column(c).to_pylist() for c in ("block", "often")]):
+                at = block * (BLOCK_CELLS // 8)
+                bits[at:at + BLOCK_CELLS // 8] = np.packbits(unpacked(content))
+        put(folder, "sketch", memoryview(bits))
+        yield pa.RecordBatch.from_pydict({"bytes": [len(bits)]})
+
+    sketch.coalesce(1).mapInArrow(run, "bytes long").collect()
 
 
-def estimated_repeats(docs: DataFrame, sketch: np.ndarray, cells: int) -> DataFrame:
+def estimated_repeats(docs: DataFrame, folder: str, cells: int) -> DataFrame:
     """``h, x, doc, tag`` of each window whose cells all count two or more.
 
     ``x`` holds the second hash in its low half and the window's place in the high half, so what is
     random in a row stands together and the rest of it compresses away.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(sketch)
     kinds = {"h": pa.int64(), "x": pa.int64(), "doc": pa.int64(), "tag": pa.int32()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
+        bits = mapped(folder, "sketch")
         for batch in slices(batches, size=SLICE_BYTES):
             words = Words(batch.column("text"))
             at = words.windows(SIZE)
@@ -200,10 +206,10 @@ def repeated_stretches(docs: DataFrame, scratch: Scratch, most_cells: int) -> Da
     """``doc, tag, stretches``: starts and ends, in words, of what repeats a smaller id."""
     cells = sketch_cells(docs, most_cells)
     sketch = scratch.table(merged_sketch(partition_sketches(docs, cells)), "sketch")
-    blocks = {r["block"]: bytes(r["often"]) for r in sketch.collect()}  # bounded by most_cells
-    windows = estimated_repeats(docs, sketch_bits(blocks, cells), cells)
-    del blocks
+    folder = f"{scratch.folder}/bits"
+    write_sketch(sketch, cells, folder)
     scratch.drop("sketch")
+    windows = estimated_repeats(docs, folder, cells)
     second = F.col("x").bitwiseAND(0xFFFFFFFF)
     first = windows.groupBy(F.col("h").alias("g"), second.alias("g2")).agg(
         F.min("doc").alias("first"))
