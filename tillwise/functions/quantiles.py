@@ -1,8 +1,8 @@
 """Exact quantiles (linear interpolation) that scale.
 
 Spark's ``percentile`` keeps every distinct value of a group in one aggregation buffer.  It is used
-where a distinct count of the values has shown that buffer to be small.  Otherwise the same answer
-comes from narrowing: approximate quantiles cut the values into ranges of similar size, ranges are
+where a distinct count of the values, or the size of the largest group, has shown that buffer to be
+small.  Otherwise the same answer comes from narrowing: approximate quantiles cut the values into ranges of similar size, ranges are
 counted exactly, only those that hold a wanted rank stay, and the cut is repeated inside them; ranks
 are read off the values left.  Cuts go by rank, so values of very different scales are cut as evenly
 as any.  NULL and NaN are no values.
@@ -19,6 +19,8 @@ from tillwise.functions.exprs import col
 
 #: Distinct values of all groups and columns that one aggregate may hold (about 50 bytes each).
 DIRECT_VALUES = 1_000_000
+#: Rows of the largest group, times columns, up to which every group is aggregated at once.
+GROUP_VALUES = 10_000
 BUCKETS = 32
 LEVELS = 3
 
@@ -36,11 +38,20 @@ def quantiles(
     row = df.agg(*[F.approx_count_distinct(F.struct(*by, col(c)), 0.05).alias(f"n{k}")
                    for k, c in enumerate(columns)]).first() if direct_values else None
     if row is not None and sum(row) <= direct_values:
-        p = F.array(*[F.lit(float(x)) for x in probs])
-        return df.groupBy(*by).agg(*[F.percentile(col(c), p).alias(c) for c in columns])
+        return _direct(df, columns, probs, by)
+    if row is not None and by:
+        # a buffer holds the values of one group, and a task that meets many groups sorts them
+        sizes = df.groupBy(*by).count()
+        if (sizes.agg(F.max("count")).first()[0] or 0) * len(columns) <= GROUP_VALUES:
+            return _direct(df, columns, probs, by)
     return _narrowed(df, columns, probs, list(by))
 
 
+def _direct(df, columns, probs, by):
+    p = F.array(*[F.lit(float(x)) for x in probs])
+    return df.groupBy(*by).agg(*[F.percentile(col(c), p).alias(c) for c in columns])
+
+
 def _narrowed(df, columns, probs, by):
     long = df.select(
         *by,
