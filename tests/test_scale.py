@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -229,3 +230,39 @@ def test_label_codes_without_a_list(spark):
     assert {(r.a, r.a_code, r.b_code) for r in found.collect()} == {("hot", want["a"]["hot"], 7), (None, n, 3), ("", n, 0)}
     none = learn.label_encode(df.limit(0), ["a"])
     assert none.count() == 0
+
+
+def test_quantiles_of_many_small_groups_in_one_aggregate(spark, monkeypatch):
+    from tillwise.functions import quantiles as Q
+
+    df = spark.range(400).selectExpr("id % 100 AS g", "CAST(id * id % 37 AS DOUBLE) AS v")
+    want = {r.g: r.v for r in Q._narrowed(df, ["v"], [0.25, 0.75], ["g"]).collect()}
+    monkeypatch.setattr(Q, "_narrowed", lambda *_a: 1 / 0)
+    got = Q.quantiles(df, ["v"], [0.25, 0.75], ["g"], direct_values=10)
+    assert {r.g: r.v for r in got.collect()} == want
+    monkeypatch.setattr(Q, "GROUP_VALUES", 3)
+    with pytest.raises(ZeroDivisionError):  # a group of more rows goes the other way
+        Q.quantiles(df, ["v"], [0.25, 0.75], ["g"], direct_values=10)
+
+
+def test_runs_of_one_file_over_all_cores(spark, tmp_path):
+    from tillwise.plans.governance_reports import RUN_ROWS, runs
+    from tillwise.plans.inputs import Inputs
+
+    n = RUN_ROWS[0] * spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, 1).selectExpr("id AS c_custkey", "CAST(id AS DOUBLE) AS c_acctbal").write.parquet(
+        f"{tmp_path}/customer.parquet")
+    assert runs(Inputs(spark, str(tmp_path))).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_run_files_in_one_folder(spark, tmp_path):
+    from tillwise.sources.tables import latest_eval_run, read_eval_runs, write_eval_runs
+
+    df = spark.createDataFrame([(v, f'{{"revenue_model": {{"R2": {r}}}}}') for v, r in (
+        ("1995_1", 0.5), ("1995_2", 0.25), ("1995_2", 0.25), (None, 0.75))], "version string, body string")
+    folder = f"{tmp_path}/runs"
+    assert write_eval_runs(df, folder) == 4
+    assert len([f for f in (tmp_path / "runs").iterdir() if f.suffix == ".json"]) == 4
+    got = read_eval_runs(spark, folder).selectExpr("run_id", "revenue_model.R2 AS r2")
+    assert sorted(got.collect()) == [("", 0.75), ("1995_1", 0.5), ("1995_2", 0.25), ("1995_2", 0.25)]
+    assert latest_eval_run(got).first() == ("1995_2", 0.25)

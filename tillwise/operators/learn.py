@@ -23,6 +23,7 @@ from tillwise.functions.vocab import (
 )
 from tillwise.operators.calibration_jobs import Calibrators, apply_all
 from tillwise.operators.mapping import apply_mapping, pad_revenue_features, pad_zero_features
+from tillwise.session import spread
 
 
 # Preparation --------------------------------------------------------------------------------
@@ -110,22 +111,10 @@ def random_split(df: DataFrame, key: str, share: int = 80, seed: int = 42) -> Da
 
 # Training -----------------------------------------------------------------------------------
 
-#: Training rows of a task: at least so many, where the table has them, and at most.
+#: Training rows of a task, at least and at most: boosting scans them at every level of every tree.
 TASK_ROWS, MOST_ROWS = 20_000, 500_000
 
 
-def spread(train: DataFrame) -> DataFrame:
-    """``train`` over all cores, because boosting scans it at every level of every tree.
-
-    A table written by a few tasks would be scanned by those few each time.  One too small for two
-    tasks stays as it is.
-    """
-    n = train.count()
-    cores = train.sparkSession.sparkContext.defaultParallelism
-    tasks = max(min(cores, n // TASK_ROWS), n // MOST_ROWS)
-    return train.repartition(tasks) if tasks > 1 else train
-
-
 @dataclass
 class Trained:
     """A fitted model with its inputs, metrics (one row) and importances."""
@@ -153,7 +142,7 @@ def train_revenue_model(df: DataFrame, share: float = 0.80, trees: int = 300, de
     rows = _zeroed(temporal_split(df, "order_date", share), [f for f in feats if f not in cats])
     rows = rows.withColumn("label", F.col("net_revenue").cast("double"))
     used = [f"{f}_code" if f in cats else f for f in feats]
-    train = spread(rows.where("is_train"))
+    train = spread(rows.where("is_train"), TASK_ROWS, MOST_ROWS)
     steps = Pipeline(stages=[
         StringIndexer(inputCols=cats, outputCols=[f"{c}_code" for c in cats],
                       stringOrderType="alphabetAsc", handleInvalid="keep"),
@@ -173,7 +162,7 @@ def train_churn_model(df: DataFrame, trees: int = 300, depth: int = 4, rate: flo
     feats = [f for f in CHURN_MODEL_INPUTS if f in df.columns]
     rows = _zeroed(random_split(df, key), [f for f in feats if f not in cats])
     rows = rows.withColumn("label", F.col("is_churned").cast("double"))
-    train = spread(rows.where("is_train"))
+    train = spread(rows.where("is_train"), TASK_ROWS, MOST_ROWS)
     pos = train.agg(F.sum("label").alias("p"), F.count("*").alias("n")).first()
     weight = (pos.n - pos.p) / pos.p if pos.p else 1.0
     train = train.withColumn("weight", F.when(F.col("label") == 1, float(weight)).otherwise(1.0))
@@ -199,7 +188,7 @@ def train_growth_model(monthly: DataFrame, holdout: int = 4, trees: int = 100, d
     model = Pipeline(stages=[
         VectorAssembler(inputCols=feats, outputCol="features"),
         GBTRegressor(maxIter=trees, maxDepth=depth, stepSize=rate, subsamplingRate=0.8,
-                     featureSubsetStrategy="0.8", seed=42)]).fit(spread(rows.where("is_train")))
+                     featureSubsetStrategy="0.8", seed=42)]).fit(spread(rows.where("is_train"), TASK_ROWS, MOST_ROWS))
     test = model.transform(rows.where(~F.col("is_train")))
     return Trained(model, feats, regression_metrics(test, "label", "prediction"),
                    _importances(monthly.sparkSession, model.stages[-1], feats, "growth"))

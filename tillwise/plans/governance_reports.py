@@ -15,7 +15,8 @@ from tillwise.plans.inputs import rounded
 from tillwise.plans.profile_reports import _tenant_sql, _tenants
 from tillwise.plans.registry import query
 from tillwise.plans.text_reports import CHUNKS
-from tillwise.sources.tables import EVAL_SCHEMA, latest_eval_run, read_eval_runs
+from tillwise.session import checkpointed, spread
+from tillwise.sources.tables import EVAL_SCHEMA, latest_eval_run, read_eval_runs, write_eval_runs
 
 RUNS = """
 SELECT CAST(k AS STRING) AS run_id, k, CAST(CASE WHEN k % 10 = 0 THEN 0.97 ELSE (35 + k % 60) / CAST(100 AS DOUBLE) END AS DOUBLE) AS r2,
@@ -29,6 +30,10 @@ SELECT CAST(k AS STRING) AS run_id, k, CAST(CASE WHEN k % 10 = 0 THEN 0.97 ELSE
 FROM (SELECT c_custkey + 1 AS k, c_acctbal FROM customer) c"""
 
 
+#: Runs of a task, at least and at most; each costs a good part of a millisecond.
+RUN_ROWS = 1_000, 20_000
+
+
 def runs(i):
     """The flat view as nested evaluation runs."""
     c, s, lit = F.col, F.struct, F.lit
@@ -48,7 +53,7 @@ def runs(i):
     points = F.transform(F.sequence(lit(1), c("horizon")), lambda m: s(
         F.concat(lit("2002-"), F.lpad(m.cast("string"), 2, "0")).alias("period"),
         ((d + 705) * c("factor")).alias("forecast")))
-    flat = i.sql(RUNS)
+    flat = spread(i.sql(RUNS), *RUN_ROWS)
     df = flat.select(
         "run_id",
         F.when(c("k") % 29 != 0, s(
@@ -143,7 +148,7 @@ SELECT run_id, CASE model WHEN 'revenue' THEN 'Pricing & revenue optimisation' W
      ELSE CASE model WHEN 'churn' THEN 'Low confidence on a HIGH-impact decision -- requires human review before any commitment.'
        ELSE 'Address the underlying limitation before acting.' END END || ' Report of run ' || run_id || '. Second line.' END AS rationale FROM x""")
 def _(i):
-    conf = G.model_confidence(runs(i))
+    conf = checkpointed(G.model_confidence(runs(i)))  # read twice
     reported = F.startswith(F.col("reasons")[0], F.lit("Report of run"))
     keep = conf.select("run_id", "model", reported.alias("reported"))
     return G.decision_gates(conf).join(keep, ["run_id", "model"]).select(
@@ -214,11 +219,11 @@ SELECT '1995_' || s_suppkey AS run_id, ROUND(s_acctbal / 10000, 4) AS r2, CAST(s
 ORDER BY '1995_' || s_suppkey DESC LIMIT 1""")
 def _(i):
     path = i.scratch()
-    i.table("supplier").select(
-        F.concat(F.lit("_v1995_"), "s_suppkey").alias("evaluation_results"),
-        F.struct(F.round(F.col("s_acctbal") / 10000, 4).alias("R2")).alias("revenue_model"),
-        F.struct(F.col("s_nationkey").alias("train_months")).alias("growth_model"),
-    ).write.partitionBy("evaluation_results").json(path)
+    write_eval_runs(spread(i.table("supplier"), *RUN_ROWS).select(
+        F.concat(F.lit("1995_"), "s_suppkey").alias("version"),
+        F.to_json(F.struct(
+            F.struct(F.round(F.col("s_acctbal") / 10000, 4).alias("R2")).alias("revenue_model"),
+            F.struct(F.col("s_nationkey").alias("train_months")).alias("growth_model"))).alias("body")), path)
     return latest_eval_run(read_eval_runs(i.spark, path)).select(
         "run_id", F.col("revenue_model.R2").alias("r2"),
         F.col("growth_model.train_months").alias("months"))

@@ -46,3 +46,14 @@ def checkpointed(df, eager: bool = True):
     """Cut lineage through reliable storage, so a lost executor costs no recomputation."""
     checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager)
+
+
+def spread(df, least: int, most: int):
+    """``df`` over all cores where its rows are many: at least ``least`` rows a task, at most ``most``.
+
+    For rows that cost much each, or are scanned often, out of a table that few tasks read.  One too
+    small for two tasks stays as it is.
+    """
+    n = df.count()
+    tasks = max(min(df.sparkSession.sparkContext.defaultParallelism, n // least), n // most)
+    return df.repartition(tasks) if tasks > 1 else df

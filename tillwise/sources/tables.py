@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from urllib.parse import unquote
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +14,7 @@ from pyspark.sql import functions as F
 from tillwise.functions.exprs import col
 from tillwise.session import checkpointed
 from tillwise.sources import charsets as H
+from tillwise.sources.shared_files import put
 
 _TOP = "array<struct<feature:string,importance:string>>"
 _REPORT = ("strategy:string,confidence:string,definition:string,suitable_for:array<string>,"
@@ -144,6 +148,25 @@ def read_eval_runs(spark: SparkSession, path: str) -> DataFrame:
         F.regexp_extract("_metadata.file_path", r"_v(\d+_\d+)", 1).alias("run_id"), "*")
 
 
+def write_eval_runs(runs: DataFrame, folder: str) -> int:
+    """One JSON file for each row of ``runs`` (version, body), named after its version; their number.
+
+    The tasks write the files themselves.  A writer with a partition per run would make a folder for
+    each and move every file once more in the driver.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, n = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            for version, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                name = "evaluation_results" if version is None else f"evaluation_results_v{version}"
+                put(folder, f"{name}.{task}-{n}.json", body.encode())
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    return runs.select("version", "body").mapInArrow(write, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 def latest_eval_run(runs: DataFrame) -> DataFrame:
     """The run with the greatest version."""
     return runs.agg(F.max_by(F.struct(*runs.columns), "run_id").alias("r")).select("r.*")
