@@ -127,6 +127,15 @@ def runs(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, new])
 
 
+def order_by(part: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Ascending order by part, then by key, equal ones in any order: one unstable sort and one of small
+    numbers take less time than ``lexsort``."""
+    if len(part) and part.max() >= 1 << 16:
+        return np.lexsort((key, part))
+    order = np.argsort(key)
+    return order[np.argsort(part[order].astype(np.uint16), kind="stable")]
+
+
 def summed(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, first) if len(first) else values[:0]
 
@@ -425,7 +434,7 @@ class Scorer:
 
     def counts(self, name: str, part: np.ndarray, key: np.ndarray, columns: int = 1) -> list[np.ndarray]:
         """Counts of these hashes in the parts' files of that name."""
-        order = np.lexsort((key, part))
+        order = order_by(part, key)
         out = [np.zeros(len(key)) for _ in range(columns)]
         for p, i, j in self.by_part(part[order]):
             found = self.file(CountFile, f"{name}-{p}.bin").counts_of(key[order[i:j]], columns)
