@@ -266,3 +266,18 @@ def test_run_files_in_one_folder(spark, tmp_path):
     got = read_eval_runs(spark, folder).selectExpr("run_id", "revenue_model.R2 AS r2")
     assert sorted(got.collect()) == [("", 0.75), ("1995_1", 0.5), ("1995_2", 0.25), ("1995_2", 0.25)]
     assert latest_eval_run(got).first() == ("1995_2", 0.25)
+
+
+def test_clean_table_spreads_a_table_of_one_file(spark, monkeypatch):
+    from tillwise.plans import clean_table as P
+
+    def stop(df):
+        raise StopIteration(df.rdd.getNumPartitions(), df.count())
+
+    monkeypatch.setattr(P, "checkpointed", stop)
+    monkeypatch.setattr(P, "TASK_ROWS", (100, 1000))
+    n = 100 * spark.sparkContext.defaultParallelism
+    raw = spark.range(0, n, 1, 1).selectExpr("CAST(id AS STRING) AS order_id", "CAST(id % 9 AS STRING) AS units")
+    with pytest.raises(StopIteration) as got:
+        P.clean_table(raw, datetime.date(2025, 1, 1))
+    assert got.value.args == (spark.sparkContext.defaultParallelism, n)

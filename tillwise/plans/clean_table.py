@@ -14,7 +14,10 @@ from tillwise.operators import laws as L
 from tillwise.operators import quality as Q
 from tillwise.operators.coltypes import TypePlan, cast_types, is_numeric, plan_types, redetect_dates
 from tillwise.operators.rules import apply_rules
-from tillwise.session import checkpointed
+from tillwise.session import checkpointed, spread
+
+#: Rows of a task, at least and at most; every step parses or tests all cells of a row.
+TASK_ROWS = 20_000, 200_000
 
 
 @dataclass
@@ -38,11 +41,12 @@ def clean_table(raw: DataFrame, as_of: datetime.date, row_id: str | None = None,
     """
     report: list[tuple[str, str, float]] = []
     before = Q.null_and_shape_metrics(raw).first()
+    raw = spread(raw, *TASK_ROWS, before.n_rows)
 
     plan = plan_types(raw)
     df = C.dedup_rows(cast_types(raw, plan))
     df = C.garbage_to_null(C.text_normalise(df, plan), [*plan.ids, *plan.text])
-    df = checkpointed(df)
+    df = checkpointed(spread(df, *TASK_ROWS, before.n_rows))  # the rows of every step after it
     rows = df.count()
     report.append(("duplicates", "rows", float(before.n_rows - rows)))
 

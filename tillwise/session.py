@@ -48,12 +48,12 @@ def checkpointed(df, eager: bool = True):
     return df.checkpoint(eager)
 
 
-def spread(df, least: int, most: int):
+def spread(df, least: int, most: int, rows: int | None = None):
     """``df`` over all cores where its rows are many: at least ``least`` rows a task, at most ``most``.
 
     For rows that cost much each, or are scanned often, out of a table that few tasks read.  One too
-    small for two tasks stays as it is.
+    small for two tasks stays as it is.  ``rows``: their number, where it is known.
     """
-    n = df.count()
+    n = df.count() if rows is None else rows
     tasks = max(min(df.sparkSession.sparkContext.defaultParallelism, n // least), n // most)
     return df.repartition(tasks) if tasks > 1 else df
