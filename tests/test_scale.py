@@ -281,3 +281,46 @@ def test_clean_table_spreads_a_table_of_one_file(spark, monkeypatch):
     with pytest.raises(StopIteration) as got:
         P.clean_table(raw, datetime.date(2025, 1, 1))
     assert got.value.args == (spark.sparkContext.defaultParallelism, n)
+
+
+def test_exported_tables_share_their_lines(spark, monkeypatch, tmp_path):
+    """The lines are computed once for the three tables, which are those of a plan without stored lines."""
+    from decimal import Decimal
+
+    from tillwise.operators.aggregates import task_datasets
+    from tillwise.plans.inputs import Inputs
+    from tillwise.plans.registry import QUERIES
+    from tillwise.session import checkpoint_folder
+    import tillwise.plans.sales_reports  # noqa: F401
+
+    rng, day = random.Random(3), datetime.date(2020, 1, 1)
+    money = lambda: Decimal(rng.randrange(100_000)) / 100
+    rows = [(k, None if k % 17 == 0 else k % 7, None if k % 19 == 0 else day + datetime.timedelta(days=rng.randrange(500)),
+             k % 11, rng.choice(["Books", "Beauty", "Unknown", None]), "EU" if k % 7 else "ASIA", "cash",
+             money(), 5.0, rng.randrange(1, 9), rng.random(), money(), k % 2, 1 + k % 5, k % 40,
+             money(), None if k % 23 == 0 else money()) for k in range(300)]
+    rows += rows[:20]
+    plain = spark.createDataFrame(rows, """order_id long, customer_id long, order_date date, product_id long,
+        product_category string, customer_region string, payment_method string, price decimal(12,2),
+        discount_percent double, quantity_sold int, discounted_price double, total_revenue decimal(18,2),
+        is_returned int, rating int, review_count int, refund_amount decimal(18,2), net_revenue decimal(18,2)""")
+    made = spark.sparkContext.accumulator(0)
+
+    def note(v):
+        made.add(1)
+        return v
+
+    lines = plain.withColumn("order_date", F.udf(note, "date")("order_date"))
+    monkeypatch.setattr(Inputs, "view", lambda self, name: lines)
+    monkeypatch.setattr(Inputs, "scratch", lambda self: str(tmp_path))
+    got = {r.dataset: r for r in QUERIES["export_task_datasets"](spark, "").collect()}
+    assert made.value == len(rows)
+    assert got["revenue"].row_count == len(rows) and got["churn"].row_count == 8
+    for name, want in task_datasets(plain).items():
+        out = spark.read.parquet(f"{tmp_path}/{name}")
+        assert out.dtypes == want.dtypes and got[name].column_count == len(want.columns)
+        assert sorted(map(repr, out.collect())) == sorted(map(repr, want.collect()))
+    store = spark._jvm.org.apache.hadoop.fs.Path(checkpoint_folder(spark))
+    kept = store.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(
+        spark._jvm.org.apache.hadoop.fs.Path(store, "tillwise-*/lines"))
+    assert len(kept) == 0

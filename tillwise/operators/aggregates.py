@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tillwise.functions.exprs import bucket_label, clip, col, days_between, lookup, mean_of, ratio, scalar
 from tillwise.functions.vocab import COST_RATIO, SEASONAL_INDEX, SEGMENT_STEPS
+from tillwise.sources.staging import Scratch
 
 
 def valid_rows(df: DataFrame, date: str | None = None, amount: str | None = None,
@@ -169,10 +170,15 @@ def customer_segment(cust: DataFrame, orders: str = "total_orders") -> DataFrame
     return cust.withColumn("customer_segment", bucket_label(orders, SEGMENT_STEPS, "New"))
 
 
-def full_customer_table(df: DataFrame) -> DataFrame:
-    """Features, label, score, value and segment in one lazy plan."""
-    return customer_segment(clv_estimate(churn_risk_score(
-        churn_rule_label(customer_features(df)), df)))
+def full_customer_table(df: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """Features, label, score, value and segment in one lazy plan.
+
+    With ``scratch`` the features are stored there, and the greatest order count is read from them.
+    """
+    cust = customer_features(df)
+    if scratch is not None:
+        cust, df = scratch.table(cust, "customers"), None
+    return customer_segment(clv_estimate(churn_risk_score(churn_rule_label(cust), df)))
 
 
 # Order-level columns -----------------------------------------------------------------------
@@ -391,14 +397,20 @@ GROWTH_TASK = ["year", "month", "monthly_revenue", "monthly_orders", "new_custom
                "revenue_3m_avg", "revenue_3m_forecast"]
 
 
-def task_datasets(sales: DataFrame, cost_table: dict | None = None
+def task_datasets(sales: DataFrame, cost_table: dict | None = None, scratch: Scratch | None = None
                   ) -> dict[str, DataFrame]:
-    """The three training tables: revenue, churn and growth."""
+    """The three training tables: revenue, churn and growth.
+
+    Each scans the lines, some more than once.  With ``scratch`` the lines are stored there first, so
+    the joins and money columns behind them are computed once and a scan reads the columns it needs.
+    """
+    if scratch is not None:
+        sales = scratch.table(sales, "lines")
     lines = margin_features(cost_ratio_lookup(order_date_features(sales), cost_table))
     daily = daily_rolling(daily_rollup(sales))
     return {
         "revenue": join_daily_features(lines.select(*REVENUE_TASK), daily),
-        "churn": full_customer_table(sales).select(*CHURN_TASK),
+        "churn": full_customer_table(sales, scratch).select(*CHURN_TASK),
         "growth": monthly_growth_features(monthly_growth_table(sales)).select(*GROWTH_TASK),
     }
 

@@ -406,11 +406,12 @@ FROM sales s LEFT JOIN r ON s.order_date = r.order_date
 UNION ALL SELECT 'churn', COUNT(*), 17, CAST(SUM(total_orders) AS DOUBLE) FROM c
 UNION ALL SELECT 'growth', COUNT(*), 11, CAST(SUM(monthly_orders) AS DOUBLE) FROM p"""))
 def _(i):
+    from tillwise.sources.staging import Scratch
     from tillwise.sources.tables import export_task_datasets
 
-    where = i.scratch()
-    sales = i.view("sales")
-    export_task_datasets(A.task_datasets(sales), where)
+    where, scratch = i.scratch(), Scratch(i.spark)
+    export_task_datasets(A.task_datasets(i.view("sales"), scratch=scratch), where)
+    scratch.drop()
     out, spark = None, i.spark
     for name, total in (("revenue", F.sum("net_revenue")), ("churn", F.sum("total_orders")),
                         ("growth", F.sum("monthly_orders"))):
