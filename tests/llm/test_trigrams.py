@@ -74,3 +74,65 @@ def test_query_uses_two_words_of_context(spark, docs):
     expected = trigrams(rows, [(d, t) for d, t in rows if brute.fold(d, 10)])
     got = QUERIES["op9_language_model"](spark, SF).select("doc_id", "n_tokens", "score").collect()
     same_scores(got, expected)
+
+
+def test_hashes_that_agree_in_their_first_bits():
+    import tillwise.llm.ngram_lm as L
+
+    random = np.random.RandomState(2)
+    key = random.randint(0, 1 << 62, 3000).astype(np.uint64) >> np.uint64(40) << np.uint64(40)
+    key = np.r_[key, key[::3] + np.uint64(1), key[::5] + np.uint64(2), key[::-2]]
+    order, out = L.ascending(key)
+    assert np.array_equal(np.sort(order), np.arange(len(key)))
+    assert np.array_equal(out, np.sort(key)) and np.array_equal(key[order], out)
+    kinds, where, of = L.distinct(key)
+    assert np.array_equal(kinds, np.unique(key))
+    assert np.array_equal(key[where], kinds) and np.array_equal(kinds[of], key)
+    for k in range(3):
+        assert [len(x) for x in L.distinct(key[:k])] == [k, k, k]
+
+    kinds = np.unique(L.mix(np.arange(5000, dtype=np.uint64)))
+    count = random.randint(1, 600, len(kinds)).astype(np.uint64)
+    shuffled = random.permutation(len(kinds))
+    packed = L.packed_counts(kinds[shuffled], count[shuffled])
+    assert packed == L.packed_counts(kinds, count)
+    asked = np.r_[kinds, kinds[::7] ^ np.uint64(1 << 61)][random.permutation(len(kinds) + len(kinds[::7]))]
+    found, = L.CountFile(np.frombuffer(packed, np.uint8)).counts_of(asked)
+    known = dict(zip(kinds.tolist(), count.tolist()))
+    assert found.tolist() == [known.get(k, 0) for k in asked.tolist()]
+
+
+def test_grams_of_a_part_stand_together():
+    import tillwise.llm.ngram_lm as L
+
+    random = np.random.RandomState(3)
+    some = random.randint(0, 1 << 62, 40).astype(np.uint64) * np.uint64(4)
+    context, token, left = (np.r_[some, mark][random.randint(0, 41, 20_000)]
+                            for mark in (L.BEGIN, L.END, L.BEGIN))
+    for bits in (0, 1, 5):
+        part = L.part_of(context, token, np.sort(some[:3]), bits)
+        order = L.gram_order(part, context, token, left, bits)
+        assert np.array_equal(np.sort(order), np.arange(len(part)))
+        grams = [x[order] for x in (part, context, token, left)]
+        for k in (1, 2, 3, 4):
+            assert len(L.runs(*grams[:k])) == len(set(zip(*(x.tolist() for x in grams[:k]))))
+
+
+def test_a_gram_that_comes_twice_in_a_text_slice_is_looked_up_once(scratch, docs, monkeypatch):
+    import pyarrow as pa
+
+    import tillwise.llm.ngram_lm as L
+    from tillwise.llm.arrays import Words
+
+    model = L.train(docs.where("text is not null").limit(20), scratch, order=3)
+    text = docs.where("length(text) > 200").first()["text"]
+    asked, counts_of = [], L.CountFile.counts_of
+    monkeypatch.setattr(L.CountFile, "counts_of",
+                        lambda self, key, columns=1: asked.append(len(key)) or counts_of(self, key, columns))
+    scores = []
+    for copies in (1, 50):
+        asked.clear()
+        scores.append(L.Scorer(model)(Words(pa.array([text] * copies), lower=True)))
+        scores[-1]["asked"] = sum(asked)
+    assert np.array_equal(scores[1]["score"], np.repeat(scores[0]["score"], 50))
+    assert scores[1]["asked"] < 25 * scores[0]["asked"]

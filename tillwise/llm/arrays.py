@@ -122,10 +122,10 @@ class Words:
         if len(cut):
             start, end = np.sort(np.r_[start, cut]), np.sort(np.r_[end, cut])
         self.start, self.end = start, end
-        self.row = np.searchsorted(self.offsets, start, side="right") - 1
-        self.count = np.bincount(self.row, minlength=self.rows)
         #: Index of each row's first word, and one past the last word.
-        self.first = np.r_[0, np.cumsum(self.count)]
+        self.first = np.searchsorted(start, self.offsets)
+        self.count = np.diff(self.first)
+        self.row = np.repeat(np.arange(self.rows), self.count)
         self._hash = None
 
     def __len__(self) -> int:
