@@ -21,6 +21,7 @@ from tillwise.functions.lags import range_number
 from tillwise.functions.vocab import (
     CHURN_MODEL_INPUTS, GROWTH_MODEL_INPUTS, MODEL_FEATURES, REVENUE_MODEL_INPUTS,
 )
+from tillwise.operators.boosting import BoostedRegressor
 from tillwise.operators.calibration_jobs import Calibrators, apply_all
 from tillwise.operators.mapping import apply_mapping, pad_revenue_features, pad_zero_features
 from tillwise.session import spread
@@ -147,8 +148,8 @@ def train_revenue_model(df: DataFrame, share: float = 0.80, trees: int = 300, de
         StringIndexer(inputCols=cats, outputCols=[f"{c}_code" for c in cats],
                       stringOrderType="alphabetAsc", handleInvalid="keep"),
         VectorAssembler(inputCols=used, outputCol="features"),
-        GBTRegressor(maxIter=trees, maxDepth=depth, stepSize=rate, subsamplingRate=0.8,
-                     featureSubsetStrategy="0.8", seed=42)])
+        BoostedRegressor(maxIter=trees, maxDepth=depth, stepSize=rate, subsamplingRate=0.8,
+                         featureSubsetStrategy="0.8", seed=42)])
     model = steps.fit(train)
     test = model.transform(rows.where(~F.col("is_train")))
     return Trained(model, feats, regression_metrics(test, "label", "prediction"),

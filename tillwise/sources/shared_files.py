@@ -45,3 +45,10 @@ def mapped(folder: str, name: str) -> np.ndarray:
             copy.write(chunk)
     copy.flush()
     return np.memmap(copy, np.uint8, "r")
+
+
+def drop(folder: str, name: str) -> None:
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(f"{as_uri(folder)}/{name}")
+    store.delete_file(path)
