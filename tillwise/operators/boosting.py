@@ -473,9 +473,11 @@ class BoostedRegressor(GBTRegressor):
                 or (context.getConf().get("spark.dynamicAllocation.enabled") or "false") == "true"):
             return super()._fit(dataset)
         y = F.col(self.getLabelCol()).cast("double")
-        table = dataset.select(vector_to_array(self.getFeaturesCol()).alias("x"), F.when(
-            F.abs(y) < float("inf"), y).otherwise(F.raise_error(F.lit(
-                "Labels MUST NOT be Null, NaN or Infinity"))).alias("y"))
+        refused = lambda why: F.raise_error(F.lit(f"Labels MUST NOT be {why}"))
+        table = dataset.select(
+            vector_to_array(self.getFeaturesCol()).alias("x"),
+            F.when(y.isNull() | F.isnan(y), refused("Null or NaN")).when(
+                F.abs(y) == float("inf"), refused("Infinity")).otherwise(y).alias("y"))
         # one RDD for all passes, so a shuffle before them runs once
         rows = table._jdf.toJavaRDD()
         framed = lambda r: DataFrame(spark._jsparkSession.createDataFrame(r, table._jdf.schema()), spark)
